@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe
+from millrace.llm import bpe, packed_ids, token_counts
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def query(name: str, oracle: str | None = None):
 @query("op8_bpe_round_trip")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.write_and_count(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "file", "start")
+
+
+@query("op10_packed_ids")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.write_and_read(read(spark, sf_dir, "documents"))
