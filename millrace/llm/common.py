@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators: blank and the control characters 0x09 to 0x0D.
-BLANKS = " \t\n\x0b\x0c\r"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share.
@@ -51,8 +48,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, none for null."""
-    plain = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def word_count(text: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, packed_ids, token_counts
+from millrace.llm import bpe, packed_ids, quality_rules, quality_sql, token_counts
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packed_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.write_and_read(read(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_rules", quality_sql.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(read(spark, sf_dir, "documents"))

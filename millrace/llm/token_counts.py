@@ -117,9 +117,9 @@ def _stitched(folder: str):
 def count(spark: SparkSession, folder: str, files: list[tuple[str, int]], end_id: int = END, kind: str = "<u2", block: int = BLOCK) -> DataFrame:
     """doc_id, file, start (place in the file), n_tokens of each document in flat files."""
     names = spark.createDataFrame(files, "file string, n_ids long")
-    places = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_ids") - 1) / block))
-    blocks = names.filter("n_ids > 0").select("file", places.cast("long").alias("block"), "n_ids")
-    blocks = blocks.select("file", "block", (F.col("block") * block).alias("start"), F.least(F.lit(block), F.col("n_ids") - F.col("block") * block).alias("count"))
+    places = F.expr(f"explode(sequence(0L, (n_ids - 1) div {block}))")
+    blocks = names.filter("n_ids > 0").select("file", places.alias("block"), "n_ids")
+    blocks = blocks.select("file", "block", (F.col("block") * block).alias("start"), F.least(F.lit(block).cast("long"), F.col("n_ids") - F.col("block") * block).alias("count"))
     if files:
         blocks = blocks.repartition(max(1, sum((n + block - 1) // block for _, n in files)), "file", "block")
     found = blocks.mapInArrow(_scan(folder, end_id, kind), "file string, block long, ends array<long>")
