@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, packed_ids, quality_rules, quality_sql, simhash, token_counts
+from millrace.llm import bpe, packed_ids, quality_rules, quality_sql, secrets, simhash, token_counts
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_simhash_classes")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read(spark, sf_dir, "documents"))
+
+
+@query("op2_secret_spans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))

@@ -1,0 +1,86 @@
+"""op2 against running every expression over every text."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from millrace.llm import secrets
+from millrace.llm.trigrams import query, trigrams
+
+HEX = "0123456789abcdef" * 3
+TEXTS = [
+    None, "", "no secret here", "password = hunter22", 'PassWord": "x1/y2+z3="', "api_key:abc", "apikey= ABCDEF", "API_KEY='q-w.e_r'", "token = " + HEX, "ſecret = abcdefgh", "toKen=abcdef",
+    "AKIA" + "A1" * 8, "AKIA" + "B" * 15, "xAKIAAKIA" + "Z9" * 12, HEX[:24], HEX[:23], "é漢" + HEX + "é" + HEX[:30], "secret=secret=token=abcdef", "passwd : 'a'", "password=" + "k" * 50000,
+    "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 10, "xoxb-1234567890-abc", "AIza" + "x" * 35, "sk_live_" + "9" * 20, "eyJhbGciOiJI.eyJzdWIiOiIx.abc-_1", "https://user:pass99@host/x", "word " * 30000 + "token: trailing1",
+]
+
+
+def plain(text):
+    text = text or ""
+    base = []
+    names = "password|passwd|secret|token|api_?key"
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    for m in re.finditer(rf"""(?:{names})["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", lower):
+        if len(m[1]) >= 6:
+            base.append((m.start(), 0, m.end(), "assign"))
+    base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    base.sort()
+    more = sorted([*base, *((m.start(), n, m.end(), r.kind) for n, r in enumerate(secrets.MORE, 3) for m in re.finditer(r.pattern, text))])
+    spell = lambda s: ",".join(f"{k}:{a}:{b}" for a, _, b, k in s)
+    return (*(sum(s[1] == n for s in base) for n in range(3)), hashlib.sha256(spell(base).encode()).hexdigest(), spell(more))
+
+
+def test_scan_equals_brute_force(spark, monkeypatch):
+    rows = [(k, t, "clash") for k, t in enumerate(TEXTS)] + [(3, TEXTS[3], None), (None, TEXTS[9], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted(map(tuple, secrets.scan(df).collect()), key=repr)
+    assert got == sorted(((k, *plain(t)) for k, t, _ in rows), key=repr)
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_scan_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in secrets.scan(docs).collect():
+        assert tuple(r)[1:] == plain(text[r.doc_id])
+
+
+def test_small_blocks_change_nothing(monkeypatch):
+    whole = secrets.Scanner().scan([t or "" for t in TEXTS])
+    monkeypatch.setattr(secrets, "BLOCK", 10)
+    parts = []
+    for a, b in secrets._blocks([t or "" for t in TEXTS]):
+        parts += secrets.Scanner().scan([t or "" for t in TEXTS[a:b]])
+    assert parts == whole
+
+
+@pytest.mark.parametrize(("pattern", "want"), [("abc", "abc"), ("[0-9a-f]+", True), ("abcd", ("and", ("abc", "bcd"))), ("(?:abc|xyz)", ("or", ("abc", "xyz"))), ("a.c", True), ("AKIA[A-Z0-9]+", ("and", ("aki", "kia"))), ("x*abc", "abc")])
+def test_queries(pattern, want):
+    assert query(pattern) == want
+
+
+def test_every_match_satisfies_its_query():
+    rnd = random.Random(3)
+    index_of = lambda q, t: q is True or (q in t if isinstance(q, str) else (all if q[0] == "and" else any)(index_of(p, t) for p in q[1]))
+    for rule in secrets.BASE + secrets.MORE:
+        q = query(rule.pattern)
+        for t in TEXTS:
+            if t and re.search(rule.pattern, t):
+                assert index_of(q, t.lower()), (rule, t[:50])
+    for _ in range(3000):
+        pattern = "".join(rnd.choice(["ab", "c", "(?:ab|cd)", "[ab]", "[a-z]", "x?", "y+", "z*", "(?:abc){2}", "(?:de)+", ".", "q{2,3}"]) for _ in range(rnd.randrange(1, 6)))
+        text = "".join(rnd.choice("abcdexyzq") for _ in range(40))
+        if re.search(pattern, text):
+            assert index_of(query(pattern), text), (pattern, text)
+    assert trigrams(query("(?:abc|xyzw)")) == {"abc", "xyz", "yzw"}
+
+
+def test_redaction(spark):
+    rows = [(1, "a token=abcdef b AKIA" + "Z" * 16 + " c", "l", 9), (2, None, "l", None), (3, "plain", None, 5)]
+    out = {r.doc_id: r for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")).collect()}
+    assert out[1].text == "a [SECRET] b [SECRET] c" and out[1].n_chars == 23
+    assert out[2].text is None and out[3].text == "plain"
+    assert secrets.redacted("0123456789", [(0, 0, 4), (2, 1, 6), (8, 0, 9)]) == "[SECRET]67[SECRET]9"
