@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packed_ids, quality_rules, quality_sql, secrets, sharding, simhash, token_counts
+from millrace.llm import bpe, mixing, packed_ids, quality_model, quality_rules, quality_sql, secrets, sharding, simhash, token_counts
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_curriculum_mix", mixing.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
