@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, packed_ids, quality_model, quality_rules, quality_sql, secrets, sharding, simhash, token_counts
+from millrace.llm import bpe, mixing, packed_ids, quality_model, quality_rules, quality_sql, secrets, sharding, simhash, token_counts, topk
 from millrace.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_scores")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op7_bit_sliced_topk", topk.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_ten(read(spark, sf_dir, "embeddings"))
