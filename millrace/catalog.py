@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.operators import aggregation, joins, relational, subqueries, windows  # noqa: F401
 from millrace.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
