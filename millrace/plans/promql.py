@@ -122,7 +122,7 @@ class Engine:
         first = F.greatest(F.lit(0), F.ceil(ts / self.step)).cast("long")
         last = F.least(F.lit((self.end - self.start) // self.step), F.floor((ts + span - 1) / self.step)).cast("long")
         df = df.withColumn("_a", first).withColumn("_b", last).where("_a <= _b")
-        df = df.withColumn("step", F.explode(F.sequence("_a", "_b")) * self.step + self.start).drop("_a", "_b")
+        df = df.withColumn("_n", F.explode(F.sequence("_a", "_b"))).withColumn("step", F.col("_n") * self.step + self.start).drop("_a", "_b", "_n")
         return df.withColumn("_t", F.col("step") - offset)
 
     def _rows(self, x) -> tuple[DataFrame, int, int, object]:
