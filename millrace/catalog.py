@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millrace.functions import queries as functions  # noqa: F401
 from millrace.operators import aggregation, joins, relational, subqueries, windows  # noqa: F401
-from millrace.plans import metric_queries  # noqa: F401
+from millrace.plans import log_queries, metric_queries, profiles, trace_queries  # noqa: F401
 from millrace.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
