@@ -22,6 +22,7 @@ length are whole; a repeated row gives a repeated result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,10 +147,9 @@ class Codec:
                     memo[f] = past[f]
                 else:
                     new.append(f)
-            for i in range(0, len(new), 4096):
-                chunk = new[i : i + 4096]
-                for f, e in zip(chunk, self.tokenizer.encode_batch_fast([f.decode() for f in chunk], add_special_tokens=False)):
-                    memo[f] = np.array(e.ids, "<u4").tobytes()
+            encode = self.tokenizer.encode
+            for f in new:
+                memo[f] = array("I", encode(f.decode(), add_special_tokens=False).ids).tobytes()
             for p in parts:
                 yield b"".join([memo[f] for f in p])
 
