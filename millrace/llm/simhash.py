@@ -206,7 +206,8 @@ def classes(docs: DataFrame, near: int = NEAR) -> DataFrame:
     linked = components(links(firsts.select("fp"), near))
     firsts = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = settle(firsts)
-    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Settled, so that the join below has an exchange on both sides and a large class can be split over tasks.
+    least = settle(firsts.groupBy("root").agg(F.min("first").alias("component_id")))
     of = firsts.join(least, "root").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
