@@ -84,10 +84,10 @@ _time = lambda x: F.timestamp_seconds(x)
 _DATE = {"year": lambda x: F.year(_time(x)), "month": lambda x: F.month(_time(x)), "day_of_month": lambda x: F.dayofmonth(_time(x)), "day_of_week": lambda x: F.dayofweek(_time(x)) - 1, "day_of_year": lambda x: F.dayofyear(_time(x)), "days_in_month": lambda x: F.dayofmonth(F.last_day(_time(x))), "hour": lambda x: F.hour(_time(x)), "minute": lambda x: F.minute(_time(x))}
 _ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": _div, "%": lambda a, b: F.when(b == 0, F.lit(float("nan"))).otherwise(a % F.when(b == 0, F.lit(1.0)).otherwise(b)), "^": F.pow, "atan2": F.atan2}
 _COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: (a < b) & ~F.isnan(b), "<=": lambda a, b: (a <= b) & ~F.isnan(b), ">": lambda a, b: (a > b) & ~F.isnan(a), ">=": lambda a, b: (a >= b) & ~F.isnan(a)}
-_V = F.col("value")
-_NUMBERS = F.when(~F.isnan(_V), _V)
-_OVER = {"sum": lambda: F.sum(_V), "avg": lambda: F.avg(_V), "count": lambda: F.count("*").cast("double"), "min": lambda: _nan(F.min(_NUMBERS)), "max": lambda: _nan(F.max(_NUMBERS)), "stddev": lambda: F.stddev_pop(_V), "stdvar": lambda: F.var_pop(_V), "last": lambda: F.max_by(_V, F.col("ts")), "first": lambda: F.min_by(_V, F.col("ts")), "present": lambda: F.lit(1.0),
-         "mad": lambda: F.expr("percentile(value, 0.5)"), "ts_of_first": lambda: F.min("ts") / 1000, "ts_of_last": lambda: F.max("ts") / 1000, "ts_of_min": lambda: F.max_by(F.col("ts"), F.struct(-_V, F.col("ts"))) / 1000, "ts_of_max": lambda: F.max_by(F.col("ts"), F.struct(_V, F.col("ts"))) / 1000}
+_value = lambda: F.col("value")
+_numbers = lambda: F.when(~F.isnan("value"), F.col("value"))
+_OVER = {"sum": lambda: F.sum(_value()), "avg": lambda: F.avg(_value()), "count": lambda: F.count("*").cast("double"), "min": lambda: _nan(F.min(_numbers())), "max": lambda: _nan(F.max(_numbers())), "stddev": lambda: F.stddev_pop(_value()), "stdvar": lambda: F.var_pop(_value()), "last": lambda: F.max_by(_value(), F.col("ts")), "first": lambda: F.min_by(_value(), F.col("ts")), "present": lambda: F.lit(1.0),
+         "mad": lambda: F.expr("percentile(value, 0.5)"), "ts_of_first": lambda: F.min("ts") / 1000, "ts_of_last": lambda: F.max("ts") / 1000, "ts_of_min": lambda: F.max_by(F.col("ts"), F.struct(-_value(), F.col("ts"))) / 1000, "ts_of_max": lambda: F.max_by(F.col("ts"), F.struct(_value(), F.col("ts"))) / 1000}
 
 
 class Engine:
@@ -406,7 +406,7 @@ class Engine:
         if op == "count_values":
             text = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
             v = v.withColumn("g", F.map_concat(_less(F.col("g"), [x.param.value]), F.create_map(F.lit(x.param.value), text))).withColumn("gk", series_key(F.col("g")))
-        value = {"sum": lambda: F.sum(_V), "avg": lambda: F.avg(_V), "count": lambda: F.count("*"), "count_values": lambda: F.count("*"), "min": lambda: _nan(F.min(_NUMBERS)), "max": lambda: _nan(F.max(_NUMBERS)), "stddev": lambda: F.stddev_pop(_V), "stdvar": lambda: F.var_pop(_V), "group": lambda: F.lit(1.0), "quantile": lambda: self._quantile(self._const(x.param))}[op]()
+        value = {"sum": lambda: F.sum(_value()), "avg": lambda: F.avg(_value()), "count": lambda: F.count("*"), "count_values": lambda: F.count("*"), "min": lambda: _nan(F.min(_numbers())), "max": lambda: _nan(F.max(_numbers())), "stddev": lambda: F.stddev_pop(_value()), "stdvar": lambda: F.var_pop(_value()), "group": lambda: F.lit(1.0), "quantile": lambda: self._quantile(self._const(x.param))}[op]()
         return v.groupBy("gk", "step").agg(F.first("g").alias("labels"), value.cast("double").alias("value")).withColumnRenamed("gk", "series").select("labels", "series", "step", "value")
 
     def binary(self, x: P.Binary):

@@ -25,7 +25,7 @@ def _us(df: DataFrame) -> DataFrame:
     return df.withColumn("start", F.unix_micros("start")).withColumn("end", F.unix_micros("end"))
 
 
-_N, _V = F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")
+_sums = lambda: (F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 _W = "epoch_us(ts)"
 _TUMBLE = f"SELECT user_id, ({_W} // 86400000000) * 86400000000 AS start, ({_W} // 86400000000 + 1) * 86400000000 AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
@@ -56,18 +56,18 @@ def count_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("window_tumbling", _TUMBLE)
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _us(windows.tumbling(events(spark, sf_dir), "user_id", "ts", "1 day", _N, _V))
+    return _us(windows.tumbling(events(spark, sf_dir), "user_id", "ts", "1 day", *_sums()))
 
 
 @query("window_hopping", f"SELECT user_id, s AS start, s + 86400000000 AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM (SELECT user_id, value, unnest([({_W} // 43200000000) * 43200000000, ({_W} // 43200000000 - 1) * 43200000000]) AS s FROM events) GROUP BY ALL")
 def hopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _us(windows.hopping(events(spark, sf_dir), "user_id", "ts", "1 day", "12 hours", _N, _V))
+    return _us(windows.hopping(events(spark, sf_dir), "user_id", "ts", "1 day", "12 hours", *_sums()))
 
 
 @query("window_session", f"""SELECT user_id, min(us) AS start, max(us) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS s FROM (SELECT user_id, value, {_W} AS us,
 CASE WHEN {_W} - lag({_W}) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _us(windows.sessions(events(spark, sf_dir), "user_id", "ts", "6 hours", 21_600_000_000, _N, _V))
+    return _us(windows.sessions(events(spark, sf_dir), "user_id", "ts", "6 hours", 21_600_000_000, *_sums()))
 
 
 @query("window_sliding", f"""WITH e AS (SELECT user_id, {_W} // 1000 AS t, value FROM events), w AS (SELECT DISTINCT user_id, t - 3600000 AS start FROM e UNION SELECT user_id, t + 1 FROM e)

@@ -53,3 +53,12 @@ def test_entry_and_registry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 300
+
+
+def test_names_are_known_without_a_session():
+    """The driver may ask for the queries before it makes a session."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True, timeout=120)
