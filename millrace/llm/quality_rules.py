@@ -9,7 +9,8 @@ Every line of a text that has a word is held against three groups of rules:
 * boilerplate: it is no more than one of the usual notices (rights reserved,
   terms of use, cookies, scripts), or repeats an earlier line of the text.
 
-Failing lines are taken out. A document is rejected if what is left holds less
+Failing lines are taken out, and blank lines with them; a text without failing
+lines stays as it is. A document is rejected if what is left holds less
 than ``KEEP`` of its words, or if one of the base rules on the whole text fails
 (fewer than 50 words; more than half of its words in repeated windows of three
 words).
@@ -119,7 +120,7 @@ def judged(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> D
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        F.array_join("_good", "\n").alias("clean"),
+        F.when(F.size("_good") == F.size("_lines"), F.col("_t")).otherwise(F.array_join("_good", "\n")).alias("clean"),
         F.when(failed, False).otherwise(left >= KEEP * F.col("n_words")).alias("kept"),
     )
 

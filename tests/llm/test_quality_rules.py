@@ -44,6 +44,8 @@ def test_verdict(spark, text, kept):
 def test_clean_text_loses_failing_lines(spark):
     text = f"{LONG}\nHome | News | Sport | Contact\nSign in\nAll rights reserved."
     assert q.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().clean == LONG
+    whole = f"{LONG}\n\n  {LONG.upper()}\n"
+    assert q.judged(spark.createDataFrame([(1, whole)], "doc_id long, text string")).first().clean == whole
 
 
 def test_no_python_and_no_exchange(spark, sf):
