@@ -25,7 +25,7 @@ sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELEC
 sql("anti_not_in", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)", "same")
 sql("compare_all", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part)", "same")
 sql("lateral_join", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t", "same")
-sql("lateral_left_join", "SELECT c.c_custkey, t.n FROM customer c LEFT JOIN LATERAL (SELECT sum(o_totalprice) > 0 AS n FROM orders o WHERE o.o_custkey = c.c_custkey HAVING count(*) > 2) t ON true", "same")
+sql("lateral_left_join", "SELECT c.c_custkey, t.n FROM customer c LEFT JOIN LATERAL (SELECT max(o_orderkey) AS n FROM orders o WHERE o.o_custkey = c.c_custkey HAVING count(*) > 2) t ON true", "same")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], how: str = "left") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +26,7 @@ def duck(sf):
 def value(x):
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return "NULL"
-    if isinstance(x, bool):
+    if isinstance(x, (bool, np.bool_)):
         return str(x)
     try:
         return f"{float(x):.9g}" if not isinstance(x, str) else x
