@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, dates, jsons, maths, strings
-from millrace.registry import query, views
+from millrace.registry import query, sql, views
 
 
 @query("fn_string_rewrites", """SELECT p_partkey, chr(300 + p_size) AS c, to_hex(p_size) AS h, '''' || replace(p_brand, '''', '''''') || '''' AS q, 'NULL' AS n, '"' || p_brand || '"' AS i, left(p_name, 1) AS s, regexp_replace(p_name, '[aeiou]', '_') AS r, array_to_string(string_split(p_brand, '#'), '/') AS a FROM part""")
@@ -70,3 +70,8 @@ def jsonb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """current_setting, pg_typeof, pg_input_is_valid, crc32 of bytes."""
     return spark.range(1).select(F.lit(spark.conf.get("spark.sql.session.timeZone")).alias("tz"), F.typeof(F.lit(1)).alias("t"), F.lit("x1").try_cast("int").isNotNull().alias("v"), F.lower(F.hex(F.crc32(F.lit("abc").cast("binary")))).alias("crc"))
+
+
+sql("fn_by_name", "SELECT p_partkey, gcd(p_size, 12) AS g, lcm(p_size, 12) AS l, to_hex(p_size) AS h, strpos(p_type, 'STEEL') AS p, quote_literal(p_brand) AS q, array_to_string(string_to_array(p_type, ' '), '/') AS a, array_length(split(p_type, ' '), 1) AS n, round(sind(p_size), 9) AS s, jsonb_typeof('[1]') AS t FROM part",
+    "SELECT p_partkey, gcd(p_size, 12)::BIGINT AS g, lcm(p_size, 12)::BIGINT AS l, lower(to_hex(p_size)) AS h, strpos(p_type, 'STEEL')::INTEGER AS p, chr(39) || p_brand || chr(39) AS q, replace(p_type, ' ', '/') AS a, len(string_split(p_type, ' '))::INTEGER AS n, round(sin(radians(p_size)), 9) AS s, 'array' AS t FROM part")
+sql("fn_date_bin_by_name", "SELECT event_id, unix_micros(date_bin(INTERVAL '0 00:15:00' DAY TO SECOND, CAST(ts AS TIMESTAMP), TIMESTAMP '2024-01-01 00:00:00')) AS b, CAST(extract(epoch FROM ts) AS BIGINT) AS e FROM events", "SELECT event_id, epoch_us(time_bucket(INTERVAL 15 MINUTES, ts)) AS b, epoch_us(ts) // 1000000 AS e FROM events")

@@ -17,10 +17,12 @@ sql("grouping_sets", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*)
 sql("grouping_sets_nested", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY GROUPING SETS (ROLLUP (o_orderstatus, o_orderpriority), (o_orderpriority))",
     "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), (), (o_orderpriority))")
 sql("group_by_nothing", "SELECT count(*) AS n FROM orders GROUP BY GROUPING SETS (())", "SELECT count(*) AS n FROM orders")
-sql("group_by_distinct_sets", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())",
+sql("group_by_distinct_sets", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY DISTINCT ROLLUP (o_orderstatus, o_orderpriority), ROLLUP (o_orderstatus)",
     "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
-sql("grouping_of_two", "SELECT o_orderstatus AS s, o_orderpriority AS p, grouping_id(o_orderstatus, o_orderpriority) AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+sql("grouping_of_two", "SELECT o_orderstatus AS s, o_orderpriority AS p, grouping(o_orderstatus, o_orderpriority) AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "SELECT o_orderstatus AS s, o_orderpriority AS p, grouping(o_orderstatus, o_orderpriority)::BIGINT AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+sql("group_by_distinct_cube", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY DISTINCT CUBE (o_orderstatus, o_orderpriority), GROUPING SETS ((o_orderstatus), ())",
+    "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 sql("degenerate_having", "SELECT 1 AS one HAVING 1 < 2", "SELECT 1 AS one")
 sql("aggregate_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 1000) AS n, count(DISTINCT o_custkey) FILTER (WHERE o_totalprice > 1000) AS d FROM orders GROUP BY o_orderstatus", "same")
 sql("distinct_aggregates", "SELECT p_brand, count(DISTINCT p_size) AS n, CAST(sum(DISTINCT p_size) AS BIGINT) AS s FROM part GROUP BY p_brand", "same")

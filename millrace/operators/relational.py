@@ -35,7 +35,7 @@ sql("similar_to", "SELECT p_partkey FROM part WHERE p_type SIMILAR TO '%(STEEL|B
 sql("regex_operators", "SELECT p_partkey FROM part WHERE p_brand ~ '#1[0-9]' AND p_type ~* 'steel|tin|a' AND p_name !~ '^zz'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#1[0-9]') AND regexp_matches(p_type, '(?i)steel|tin|a') AND NOT regexp_matches(p_name, '^zz')")
 sql("case_forms", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'big' END AS a, CASE p_size % 3 WHEN 0 THEN 'fizz' WHEN 1 THEN 'one' END AS b FROM part", "same")
 sql("casts", "SELECT CAST(CAST(p_retailprice AS DECIMAL(12,1)) * 10 AS DOUBLE) AS d, CAST(p_size AS STRING) AS s, try_cast(p_name AS INT) AS t, p_size::double AS f FROM part", "SELECT CAST(CAST(p_retailprice AS DECIMAL(12,1)) * 10 AS DOUBLE) AS d, CAST(p_size AS VARCHAR) AS s, try_cast(p_name AS INT) AS t, p_size::double AS f FROM part")
-sql("arithmetic", "SELECT p_partkey, p_size + 1 AS a, p_size % 7 AS m, power(p_size, 2) AS p, p_size & 12 AS b, p_size | 3 AS o, p_size ^ 5 AS x, shiftleft(p_size, 2) AS s, sqrt(p_size) AS r, abs(10 - p_size) AS v FROM part", "SELECT p_partkey, p_size + 1 AS a, p_size % 7 AS m, power(p_size, 2) AS p, p_size & 12 AS b, p_size | 3 AS o, xor(p_size, 5) AS x, p_size << 2 AS s, sqrt(p_size) AS r, abs(10 - p_size) AS v FROM part")
+sql("arithmetic", "SELECT p_partkey, p_size + 1 AS a, p_size % 7 AS m, power(p_size, 2) AS p, p_size & 12 AS b, p_size | 3 AS o, p_size # 5 AS x, shiftleft(p_size, 2) AS s, |/ p_size AS r, @ (10 - p_size) AS v, (p_size + 1) ^ 2 AS q FROM part", "SELECT p_partkey, p_size + 1 AS a, p_size % 7 AS m, power(p_size, 2) AS p, p_size & 12 AS b, p_size | 3 AS o, xor(p_size, 5) AS x, p_size << 2 AS s, sqrt(p_size) AS r, abs(10 - p_size) AS v, power(p_size + 1, 2) AS q FROM part")
 sql("string_concat", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS STRING) AS s, n_name || NULL AS z FROM nation", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS z FROM nation")
 sql("any_array", "SELECT n_nationkey FROM nation WHERE n_regionkey = ANY (array(0, 2)) AND n_nationkey <> ALL (array(1, 5))", "SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 2) AND n_nationkey NOT IN (1, 5)")
 sql("array_predicates", "SELECT p_partkey, arrays_overlap(split(p_type, ' '), array('STEEL', 'SMALL')) AS o, size(array_except(array('STEEL'), split(p_type, ' '))) = 0 AS c, element_at(split(p_type, ' '), 1) AS f, array_join(slice(split(p_type, ' '), 1, 2), '+') AS s FROM part",

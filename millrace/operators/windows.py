@@ -31,6 +31,7 @@ for _n, _f in {
 }.items():
     sql(f"window_{_n}", f"SELECT k, CAST({_f} AS {'DOUBLE' if 'round' in _f else 'BIGINT'}) AS x {_P}", "same")
 sql("window_named", f"SELECT k, CAST(sum(v) OVER w AS BIGINT) AS s, CAST(row_number() OVER w AS BIGINT) AS r {_P} WINDOW w AS (PARTITION BY g ORDER BY k)", "same")
+sql("window_extends_named", f"SELECT k, CAST(sum(v) OVER (w ORDER BY k ROWS 1 PRECEDING) AS BIGINT) AS s, CAST(count(*) OVER (w) AS BIGINT) AS n {_P} WINDOW w AS (PARTITION BY g)", f"SELECT k, CAST(sum(v) OVER (PARTITION BY g ORDER BY k ROWS 1 PRECEDING) AS BIGINT) AS s, CAST(count(*) OVER (PARTITION BY g) AS BIGINT) AS n {_P}")
 sql("window_range_interval", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n FROM events", "same")
 sql("window_range_nulls", "SELECT k, count(*) OVER (ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM (SELECT p_partkey AS k, nullif(p_size % 6, 0) AS x FROM part)", "same")
 sql("window_over_groups", "SELECT o_orderstatus AS s, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC) AS BIGINT) AS r FROM orders GROUP BY o_orderstatus", "same")
