@@ -6,7 +6,7 @@ from millrace.functions import queries as functions  # noqa: F401
 from millrace.operators import aggregation, dml, joins, relational, subqueries, windows  # noqa: F401
 from millrace.plans import log_queries, metric_queries, profiles, trace_queries  # noqa: F401
 from millrace.registry import ORACLES, QUERIES
-from millrace.sources import connectors  # noqa: F401
+from millrace.sources import connectors, ingest  # noqa: F401
 from millrace.streaming import queries as streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.registry import query, sql, views
+from millrace.storage import checkpoints
 
 sql("scalar_subquery", "SELECT n_name, (SELECT max(s_acctbal) FROM supplier) AS hi, (SELECT r_name FROM region WHERE r_regionkey > 99) AS none FROM nation", "same")
 sql("correlated_subquery", "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n FROM customer c", "same")
@@ -43,12 +44,7 @@ def recursive_union(seed: DataFrame, step, limit: int = 100) -> DataFrame:
     A round joins only the rows that are new, and cuts its lineage in the
     checkpoint folder, so plans stay small and lost executors do not repeat rounds.
     """
-    spark = seed.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(at)
+    checkpoints(seed.sparkSession)
     found = new = seed.distinct().checkpoint()
     for _ in range(limit):
         new = step(new).distinct().join(found, seed.columns, "left_anti").checkpoint()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from millrace.storage import scratch
+
 
 def stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -20,8 +19,7 @@ def drain(df: DataFrame, mode: str = "append", batch=None) -> DataFrame:
     when a batch is run again, so the sink is idempotent.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
 
     def put(rows: DataFrame, n: int) -> None:
         (batch(rows, n) if batch else rows).write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
