@@ -68,3 +68,15 @@ _metric("quantile", event_lines, 'quantile_over_time(0.5, {event_type=~".+"} | j
 _metric("vector_aggregation", event_lines, 'sum(count_over_time({event_type=~".+"}[1d]))', (), _G.format("count(*)::DOUBLE", 86_400_000, 0).replace("event_type, round", "round"))
 _metric("binary", event_lines, 'count_over_time({event_type=~".+"}[1d]) / on (event_type) count_over_time({event_type=~".+"}[6h]) > 2', _EV, None)
 _metric("duration_unwrap", logfmt_lines, 'max by (event_type) (max_over_time({event_type=~".+"} | logfmt | unwrap duration(took) [1d]))', _EV, _G.format("max(event_id % 50) * 0.001::DOUBLE", 86_400_000, 0))
+
+
+_lines("keep_labels", talk, '{role="user"} | keep role', {"role": _l("role"), "conv": _l("conv"), "ts": _ts}, "SELECT role, '' AS conv, turn * 1000000000 AS ts FROM conversations WHERE role = 'user'")
+_lines("ip_filter", logfmt_lines, '{event_type="click"} |= ip("10.0.0.0/8")', {"ts": _ts}, "SELECT epoch_us(ts) * 1000 AS ts FROM events WHERE false")
+_metric("bytes_rate", event_lines, 'bytes_rate({event_type=~".+"}[6h])', _EV, _G.format("sum(strlen(props)) / 21600.0::DOUBLE", 21_600_000, 0))
+_metric("topk", event_lines, 'topk(1, count_over_time({event_type=~".+"}[1d]))', _EV, "SELECT * FROM (" + _G.format("count(*)::DOUBLE", 86_400_000, 0) + ") QUALIFY row_number() OVER (PARTITION BY step ORDER BY value DESC, event_type) = 1")
+_metric("label_replace", event_lines, 'label_replace(count_over_time({event_type=~".+"}[1d]), "kind", "k-$1", "event_type", "(.).*")', ("kind",), "SELECT step, kind, sum(value) AS value FROM (SELECT step, 'k-' || left(event_type, 1) AS kind, value, event_type FROM (" + _G.format("count(*)::DOUBLE", 86_400_000, 0) + ")) GROUP BY step, kind, event_type")
+_metric("set_unless", event_lines, 'count_over_time({event_type=~".+"}[1d]) unless count_over_time({event_type="click"}[1d])', _EV, "SELECT * FROM (" + _G.format("count(*)::DOUBLE", 86_400_000, 0) + ") WHERE event_type <> 'click'")
+for _f in ("min", "max", "avg"):
+    _metric(f"{_f}_unwrapped", event_lines, f'{_f} by (event_type) ({_f}_over_time({{event_type=~".+"}} | json | unwrap k [1d]))', _EV, _G.format(f"{_f}(k)", 86_400_000, 0))
+for _f, _g in (("first", "arg_min(k, ms)"), ("last", "arg_max(k, ms)")):
+    _metric(f"{_f}_unwrapped", event_lines, f'{_f}_over_time({{event_type="click"}} | json | unwrap k [1d])', _EV, "SELECT * FROM (" + _G.format(_g, 86_400_000, 0) + ") WHERE event_type = 'click'")

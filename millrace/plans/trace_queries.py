@@ -47,6 +47,20 @@ _search("ancestor", '{ status = error } << { name = "turn-1" }', _S + _X + f"{_N
 _search("not_descendant", '{ status = error } !>> { name = "turn-1" }', _S + _X + f"{_N} AND NOT {_UP}")
 _search("not_child", '{ status = error } !> { name = "turn-1" }', _S + _X + f"{_N} AND NOT " + _A.format("", "a.span_id = s.parent_id"))
 _search("union_child", '{ status = error } &> { name = "turn-1" }', _S + _X + f"({_N} AND " + _A.format("", "a.span_id = s.parent_id") + ") OR (s.status = 'error' AND EXISTS (SELECT 1 FROM s a WHERE a.trace_id = s.trace_id AND a.name = 'turn-1' AND a.parent_id = s.span_id))")
+_search("not_parent", '{ status = error } !< { name = "turn-1" }', _S + _X + f"{_N} AND NOT " + _A.format("", "a.parent_id = s.span_id"))
+_search("not_ancestor", '{ status = error } !<< { name = "turn-1" }', _S + _X + f"{_N} AND NOT {_DOWN}")
+_search("not_sibling", '{ status = error } !~ { name = "turn-1" }', _S + _X + f"{_N} AND NOT " + _A.format("", "a.parent_id = s.parent_id AND a.span_id <> s.span_id"))
+_BACK = "(s.status = 'error' AND EXISTS (SELECT 1 FROM s a {} WHERE a.trace_id = s.trace_id AND a.name = 'turn-1' AND {}))"
+_UP1 = "(s.status = 'error' AND EXISTS (SELECT 1 FROM up JOIN s a ON a.trace_id = up.trace_id AND a.span_id = up.anc WHERE up.trace_id = s.trace_id AND up.span_id = s.span_id AND a.name = 'turn-1'))"
+_DOWN1 = "(s.status = 'error' AND EXISTS (SELECT 1 FROM up JOIN s a ON a.trace_id = up.trace_id AND a.span_id = up.span_id WHERE up.trace_id = s.trace_id AND up.anc = s.span_id AND a.name = 'turn-1'))"
+_search("union_descendant", '{ status = error } &>> { name = "turn-1" }', _S + _X + f"({_N} AND {_UP}) OR {_DOWN1}")
+_search("union_ancestor", '{ status = error } &<< { name = "turn-1" }', _S + _X + f"({_N} AND {_DOWN}) OR {_UP1}")
+_search("union_parent", '{ status = error } &< { name = "turn-1" }', _S + _X + f"({_N} AND " + _A.format("", "a.parent_id = s.span_id") + ") OR " + _BACK.format("", "a.span_id = s.parent_id"))
+_search("union_sibling", '{ status = error } &~ { name = "turn-1" }', _S + _X + f"({_N} AND " + _A.format("", "a.parent_id = s.parent_id AND a.span_id <> s.span_id") + ") OR " + _BACK.format("", "a.parent_id = s.parent_id AND a.span_id <> s.span_id"))
+_search("parent_scope", '{ parent.turn = 1 && parent.name != nil }', _S + _X + "EXISTS (SELECT 1 FROM s a WHERE a.trace_id = s.trace_id AND a.span_id = s.parent_id AND a.turn = 1)")
+_search("root_fields", '{ rootServiceName = "user" && nestedSetParent != -1 }', _S + ", r AS (SELECT trace_id, arg_min(service, turn) AS root FROM s WHERE parent_id IS NULL OR parent_id = span_id GROUP BY trace_id) SELECT s.trace_id, s.span_id FROM s JOIN r USING (trace_id) WHERE r.root = 'user' AND s.parent_id IS NOT NULL AND s.parent_id <> s.span_id")
+_search("by_coalesce", '{ } | by(kind) | coalesce() | count() > 2', _S + _X + "(SELECT count(*) FROM s a WHERE a.trace_id = s.trace_id) > 2")
+_search("pipeline_filter", '{ status = error } | { name = "turn-1" } | max(duration) > 60ms', _S + _X + "status = 'error' AND name = 'turn-1' AND (SELECT max(duration) FROM s a WHERE a.trace_id = s.trace_id AND a.status = 'error' AND a.name = 'turn-1') > 60000000")
 _search("count_filter", '{ status = error } | count() > 1', _S + _X + "status = 'error' AND (SELECT count(*) FROM s a WHERE a.trace_id = s.trace_id AND a.status = 'error') > 1")
 _search("avg_filter", '{ } | avg(duration) > 80ms', _S + _X + "(SELECT avg(duration) FROM s a WHERE a.trace_id = s.trace_id) > 80000000")
 _search("by_filter", '{ } | by(kind) | count() > 2', _S + _X + "(SELECT count(*) FROM s a WHERE a.trace_id = s.trace_id AND a.kind = s.kind) > 2")
@@ -72,6 +86,7 @@ _metric("count_over_time", "{ } | count_over_time()", "step group value", _M.for
 for _f in ("sum", "avg", "min", "max"):
     _metric(f"{_f}_over_time", f"{{ }} | {_f}_over_time(duration) by (kind)", "step group value", _M.format("kind", f"{_f}(duration)::DOUBLE", "true"))
 _metric("topk", "{ } | count_over_time() by (name) | topk(1)", "step group value", "SELECT step, \"group\", value FROM (" + _M.format("name", "count(*)::DOUBLE", "true") + ") QUALIFY row_number() OVER (PARTITION BY step ORDER BY value DESC, \"group\") = 1")
+_metric("bottomk", "{ } | count_over_time() by (name) | bottomk(1)", "step group value", "SELECT step, \"group\", value FROM (" + _M.format("name", "count(*)::DOUBLE", "true") + ") QUALIFY row_number() OVER (PARTITION BY step ORDER BY value, \"group\") = 1")
 _metric("quantile_over_time", "{ } | quantile_over_time(duration, 0.5, 0.9)", "step group p value", None)
 _metric("histogram_over_time", "{ } | histogram_over_time(duration)", "step group bucket value", None)
 
@@ -94,3 +109,47 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trace_tag_values", _S + "SELECT DISTINCT 'n' AS tag, n::VARCHAR AS v FROM s UNION SELECT DISTINCT 'turn', turn::VARCHAR FROM s")
 def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(spark, sf_dir).select(F.explode("attrs").alias("tag", "v")).distinct()
+
+
+@query("trace_tag_names", "SELECT 'resource' AS scope, 'env' AS tag UNION ALL SELECT 'span', 'n' UNION ALL SELECT 'span', 'turn'")
+def tag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spans(spark, sf_dir)
+    own = lambda scope, c: s.select(F.lit(scope).alias("scope"), F.explode(F.map_keys(c)).alias("tag"))
+    return own("span", "attrs").union(own("resource", "resource")).distinct()
+
+
+@query("trace_search_recent", _S + "SELECT trace_id, min(start) AS start, count(*) AS matched FROM s WHERE status = 'error' GROUP BY trace_id ORDER BY start DESC, trace_id LIMIT 5")
+def search_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search response with the most_recent hint: the newest traces and their matched spans; the limit is the feature."""
+    out = traceql.Traces(spans(spark, sf_dir)).search("{ status = error }").groupBy("trace_id").agg(F.min("start").alias("start"), F.count("*").alias("matched"))
+    return out.orderBy(F.col("start").desc(), "trace_id").limit(5)
+
+
+@query("trace_events_and_links", "SELECT conv_id::VARCHAR AS trace_id, turn::VARCHAR AS span_id FROM conversations WHERE turn % 3 = 1")
+def events_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event and link scopes: a span matches if one of its events (links) does."""
+    c = views(spark, sf_dir, "conversations").table("conversations")
+    event = F.struct(F.concat(F.lit("e"), (F.col("turn") % 3).cast("string")).alias("name"), F.create_map(F.lit("k"), F.lit("v")).alias("attrs"))
+    df = c.select(F.col("conv_id").cast("string").alias("trace_id"), F.col("turn").cast("string").alias("span_id"), F.array(event).alias("events"), F.array(F.struct(F.lit("t").alias("trace_id"), F.create_map(F.lit("k"), F.lit("w")).alias("attrs"))).alias("links"))
+    return traceql.Traces(df).search('{ event:name = "e1" && event.k = "v" && link.k != "z" }').select("trace_id", "span_id")
+
+
+@query("nested_sets", _S + "SELECT s.trace_id, s.span_id, (SELECT count(*) FROM up WHERE up.trace_id = s.trace_id AND up.anc = s.span_id) AS below FROM s")
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants of each span from its nested set alone."""
+    return spans(spark, sf_dir).select("trace_id", "span_id", F.floor((F.col("rgt") - F.col("lft")) / 2).alias("below"))
+
+
+@query("service_graph_unpaired", _S + "SELECT b.trace_id, b.span_id FROM s b WHERE b.kind = 'client' AND NOT EXISTS (SELECT 1 FROM s a WHERE a.trace_id = b.trace_id AND a.parent_id = b.span_id AND a.kind = 'server')")
+def unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client spans whose server span never came: the edges that expire."""
+    s = spans(spark, sf_dir)
+    servers = s.where("kind = 'server'").select("trace_id", F.col("parent_id").alias("span_id"))
+    return s.where("kind = 'client'").join(servers, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id")
+
+
+@query("trace_shard_merge", _S + "SELECT service, count(*) AS calls FROM s GROUP BY service")
+def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of shards with the same labels are summed."""
+    s = spans(spark, sf_dir).select("service", F.pmod(F.xxhash64("trace_id"), F.lit(4)).alias("shard"))
+    return s.groupBy("shard", "service").agg(F.count("*").alias("calls")).groupBy("service").agg(F.sum("calls").alias("calls"))

@@ -162,9 +162,14 @@ class Traces:
         if self.peek() == "}":
             self.take()
             return self.spans
+        self.with_parents = False
         test = self.condition()
         self.take("}")
-        return self.spans.where(test)
+        if not self.with_parents:
+            return self.spans.where(test)
+        s = self.spans
+        up = s.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_p"), F.struct(*s.columns).alias("up"))
+        return s.join(up, (s["trace_id"] == up["_t"]) & (s["parent_id"] == up["_p"]), "left").where(test).select(*[s[c] for c in s.columns])
 
     # conditions
 
@@ -192,7 +197,8 @@ class Traces:
         if scope == "span":
             return at("attrs", key)
         if scope == "parent":
-            raise ValueError("parent scope needs a join; use the > operator")
+            self.with_parents = True
+            return F.col("up." + _INTRINSIC[key]) if key in _INTRINSIC else F.coalesce(at("up.attrs", key), at("up.resource", key))
         return F.coalesce(at("attrs", key), F.col("service") if key == "service.name" else at("resource", key))
 
     def comparison(self) -> Column:
@@ -207,10 +213,18 @@ class Traces:
         word = self.take()
         if word in ("true", "false"):
             return F.lit(word == "true")
-        have = self.field(word)
         op = self.take()
         kind, text = self.t[self.k]
         self.take()
+        nested = re.fullmatch(r"(event|link)(?:\.|:)(.+)", word)
+        if nested:
+            key = nested[2]
+            get = lambda e: e[{"name": "name", "traceID": "trace_id", "spanID": "span_id"}[key]] if word[len(nested[1])] == ":" else F.try_element_at(e["attrs"], F.lit(key))
+            return F.coalesce(F.exists(nested[1] + "s", lambda e: self._compare(get(e), op, kind, text)), F.lit(False))
+        return self._compare(self.field(word), op, kind, text)
+
+    @staticmethod
+    def _compare(have: Column, op: str, kind: str, text: str) -> Column:
         if text == "nil":
             return have.isNull() if op == "=" else have.isNotNull()
         if kind == "str":
