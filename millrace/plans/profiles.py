@@ -81,3 +81,61 @@ def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("profile_label_values", "SELECT DISTINCT p_brand AS brand FROM part")
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("brand").distinct()
+
+
+def profile_type(text: str) -> dict[str, str]:
+    """name:sample type:sample unit:period type:period unit, with ``:delta`` at the end if the profile is one."""
+    fields = text.split(":")
+    delta = len(fields) == 6 and fields[5] == "delta"
+    if len(fields) != 5 + delta or not all(fields[:2]):
+        raise ValueError(f"not a profile type: {text!r}")
+    return dict(zip(("name", "sample_type", "sample_unit", "period_type", "period_unit"), fields)) | {"delta": str(delta).lower()}
+
+
+def select(samples: DataFrame, selector: str, start: int, end: int) -> DataFrame:
+    """Samples in [start, end) whose ``labels`` match a selector such as ``{a="b", c=~"d.*"}``."""
+    from millrace.plans import promql_parser
+    from millrace.plans.promql import matches
+
+    matchers = promql_parser.parse(selector).matchers
+    return samples.where(matches(F.col("labels"), matchers)).where((F.col("ts") >= start) & (F.col("ts") < end))
+
+
+def stats(samples: DataFrame) -> DataFrame:
+    """Whether there is data, and the first and last time of it."""
+    return samples.agg((F.count("*") > 0).alias("data"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).withColumn("labels", F.create_map(F.lit("brand"), "brand", F.lit("kind"), F.get("stack", F.lit(0))))
+
+
+@query("profile_select", "SELECT p_partkey AS ts, p_size::BIGINT AS value FROM part WHERE p_brand LIKE 'Brand#1%' AND string_split(p_type, ' ')[1] <> 'SMALL' AND p_partkey >= 50 AND p_partkey < 150")
+def profile_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select(labelled(spark, sf_dir), '{brand=~"Brand#1.*", kind!="SMALL", none=""}', 50, 150).select("ts", "value")
+
+
+@query("profile_stats", "SELECT count(*) > 0 AS data, min(p_partkey) AS oldest, max(p_partkey) AS newest FROM part")
+def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(parts(spark, sf_dir))
+
+
+@query("profile_types", "SELECT 'process_cpu' AS name, 'cpu' AS sample_type, 'nanoseconds' AS sample_unit, 'true' AS delta UNION ALL SELECT 'memory', 'alloc_space', 'bytes', 'false'")
+def profile_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [profile_type(x) for x in ("process_cpu:cpu:nanoseconds:cpu:nanoseconds:delta", "memory:alloc_space:bytes:space:bytes")]
+    return spark.createDataFrame([(x["name"], x["sample_type"], x["sample_unit"], x["delta"]) for x in found], "name string, sample_type string, sample_unit string, delta string")
+
+
+@query("profile_label_series", "SELECT p_brand AS brand, string_split(p_type, ' ')[1] AS kind, count(*) AS n FROM part GROUP BY ALL")
+def label_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label sets that have samples."""
+    return labelled(spark, sf_dir).groupBy(F.col("labels")["brand"].alias("brand"), F.col("labels")["kind"].alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("profile_hot_cold_union", "SELECT string_split(p_type, ' ')[1] AS path, sum(p_size)::BIGINT AS total FROM part GROUP BY ALL")
+def profile_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree over cold blocks and the hot head, whose rows overlap."""
+    from millrace.sources.connectors import hot_and_cold
+
+    p = parts(spark, sf_dir)
+    return tree(hot_and_cold(p.where("ts % 3 < 2"), p.where("ts % 3 > 0"), ["ts"])).where("depth = 1").select("path", "total")

@@ -157,3 +157,123 @@ def streamed_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one update a day and key."""
     src = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("k"), F.floor(F.col("us") / 1000).alias("ms"), "value")
     return runtime.drain(stateful.suppress_until(src, "k", "ms", "value", 86_400_000))
+
+
+@query("stream_select_key", "SELECT o_orderkey % 7 AS k, count(*) AS n FROM orders GROUP BY 1")
+def select_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """map / select_key marks a new key; the exchange comes with the grouping."""
+    o = views(spark, sf_dir, "orders").table("orders")
+    return o.select((F.col("o_orderkey") % 7).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("stream_repartition", "SELECT count(*) AS n, count(DISTINCT user_id) AS keys FROM events")
+def repartition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repartition(n): a key's records share a partition."""
+    e = events(spark, sf_dir).repartition(6, "user_id").withColumn("p", F.spark_partition_id())
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("p").alias("p")).agg(F.sum("n").alias("n"), F.count_if(F.col("p") == 1).alias("keys"))
+
+
+@query("stream_peek", "SELECT event_id FROM events WHERE value > 20")
+def peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """peek sees the records on their way: counted by an observation, none changed."""
+    return events(spark, sf_dir).observe("seen", F.count("*").alias("n")).where("value > 20").select("event_id")
+
+
+@query("cogroup_tumbling", f"SELECT k, ({_W} // 86400000000) * 86400000000 AS start, sum(a)::BIGINT AS clicks, round(sum(b), 4) AS bought FROM (SELECT user_id AS k, ts, (event_type = 'click')::INTEGER AS a, CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS b FROM events WHERE event_type IN ('click', 'purchase')) GROUP BY ALL")
+def cogroup_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams with an aggregator each into one windowed result."""
+    e = events(spark, sf_dir)
+    tagged = e.where("event_type = 'click'").select("user_id", "ts", F.lit(1).alias("a"), F.lit(0.0).alias("b")).unionByName(e.where("event_type = 'purchase'").select("user_id", "ts", F.lit(0).alias("a"), F.col("value").alias("b")))
+    out = windows.tumbling(tagged.withColumnRenamed("user_id", "k"), "k", "ts", "1 day", F.sum("a").alias("clicks"), F.round(F.sum("b"), 4).alias("bought"))
+    return out.select("k", F.unix_micros("start").alias("start"), "clicks", "bought")
+
+
+@query("cogroup_session", f"""SELECT user_id, min(us) AS start, max(us) AS "end", sum(a)::BIGINT AS clicks, sum(b)::BIGINT AS views FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS s FROM (SELECT user_id, (event_type = 'click')::INTEGER AS a, (event_type = 'view')::INTEGER AS b, {_W} AS us,
+CASE WHEN {_W} - lag({_W}) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events WHERE event_type IN ('click', 'view'))) GROUP BY user_id, s""")
+def cogroup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).where("event_type IN ('click', 'view')")
+    return _us(windows.sessions(e, "user_id", "ts", "6 hours", 21_600_000_000, F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views")))
+
+
+@query("cogroup_sliding", f"""WITH e AS (SELECT user_id, {_W} // 1000 AS t, (CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 1000 END)::DOUBLE AS value FROM events WHERE event_type IN ('click', 'view')), w AS (SELECT DISTINCT user_id, t - 3600000 AS start FROM e UNION SELECT user_id, t + 1 FROM e)
+SELECT w.user_id, w.start, round(sum(value), 4) AS total FROM w JOIN e ON e.user_id = w.user_id AND e.t BETWEEN w.start AND w.start + 3600000 GROUP BY ALL""")
+def cogroup_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).where("event_type IN ('click', 'view')").withColumn("ms", F.floor(F.col("us") / 1000)).withColumn("w", F.when(F.col("event_type") == "click", 1.0).otherwise(1000.0))
+    return windows.sliding(e, "user_id", "ms", 3_600_000, "w").select("user_id", "start", F.round("total", 4).alias("total"))
+
+
+@query("grouped_table_count", "SELECT event_type AS k, count(*) AS n FROM (SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id) GROUP BY 1")
+def grouped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table grouped by a value: each change takes the old value out and puts the new one in."""
+    from pyspark.sql import Window as W
+
+    e = events(spark, sf_dir).select("user_id", "us", "event_type")
+    e = e.withColumn("old", F.lag("event_type").over(W.partitionBy("user_id").orderBy("us")))
+    signed = e.select(F.col("event_type").alias("k"), F.lit(1).alias("d")).unionByName(e.where("old IS NOT NULL").select(F.col("old").alias("k"), F.lit(-1).alias("d")))
+    return signed.groupBy("k").agg(F.sum("d").alias("n")).where("n > 0")
+
+
+@query("table_to_stream_changes", "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS old, event_type AS new FROM events")
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """to_stream of a table: (old, new) of each update."""
+    from pyspark.sql import Window as W
+
+    e = events(spark, sf_dir)
+    return e.select("event_id", F.lag("event_type").over(W.partitionBy("user_id").orderBy("us")).alias("old"), F.col("event_type").alias("new"))
+
+
+@query("interactive_key_query", "SELECT arg_max(event_type, ts) AS event_type FROM events WHERE user_id = 3")
+def key_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point query of a store: its key's predicate reaches the scan."""
+    e = events(spark, sf_dir).where("user_id = 3")
+    return windows.latest(e.select("user_id", "us", "event_type"), "user_id", "us").select("event_type")
+
+
+@query("interactive_range_query", "SELECT user_id, count(*) AS n FROM events WHERE user_id BETWEEN 2 AND 5 GROUP BY user_id")
+def range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_reduce(spark, sf_dir).where("user_id BETWEEN 2 AND 5").select("user_id", "n")
+
+
+@query("interactive_window_query", _TUMBLE.replace("FROM events", "FROM events WHERE user_id = 2 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'"))
+def window_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a key that start in a range of time."""
+    out = windows.tumbling(events(spark, sf_dir).where("user_id = 2"), "user_id", "ts", "1 day", *_sums())
+    return _us(out.where("start >= TIMESTAMP '2024-01-05' AND start < TIMESTAMP '2024-01-08'"))
+
+
+@query("interactive_versioned_query", "SELECT event_id, event_type FROM events WHERE user_id = 2 AND ts <= TIMESTAMP '2024-01-10' ORDER BY ts DESC LIMIT 1")
+def versioned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version of a key that was valid at a time."""
+    v = windows.versions(events(spark, sf_dir).where("user_id = 2"), "user_id", "us")
+    at = F.unix_micros(F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    return v.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))).select("event_id", "event_type")
+
+
+@query("streamed_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly once by id, as a stream."""
+    src = event_stream(spark, sf_dir).withWatermark("ts", "60 days").select("user_id", "event_type", "ts")
+    return runtime.drain(src.dropDuplicatesWithinWatermark(["user_id", "event_type"])).select("user_id", "event_type")
+
+
+@query("streamed_interval_join", """SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view'
+AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 3600000000 AND epoch_us(a.ts) + 7200000000""")
+def streamed_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream-stream join with an asymmetric window; watermarks bound its state."""
+    side = lambda kind, n: event_stream(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("event_id").alias(n), F.col("user_id").alias("u" + n), F.col("ts").alias("t" + n)).withWatermark("t" + n, "1 hour")
+    a, b = side("click", "a"), side("view", "b")
+    return runtime.drain(a.join(b, F.expr("ua = ub AND tb BETWEEN ta - INTERVAL 1 HOUR AND ta + INTERVAL 2 HOURS")).select("a", "b"))
+
+
+@query("streamed_punctuation", """WITH e AS (SELECT user_id::VARCHAR AS k, epoch_us(ts) // 1000 AS ms, value FROM events), b AS (SELECT *, ms // 86400000 AS d, lag(ms // 86400000) OVER (PARTITION BY k ORDER BY ms, value) AS p, sum(value) OVER (PARTITION BY k ORDER BY ms, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS total FROM e)
+SELECT k, d * 86400000 AS ms, round(total, 4) AS total FROM b WHERE p IS NOT NULL AND d > p""")
+def streamed_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("k"), F.floor(F.col("us") / 1000).alias("ms"), "value")
+    return runtime.drain(stateful.punctuated(src, "k", "ms", "value", 86_400_000)).withColumn("total", F.round("total", 4))
+
+
+@query("streamed_window_close")
+def streamed_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emit on close (suppress until the window closes): one row for each closed window; those still open have none, so it has no twin."""
+    out = windows.tumbling(event_stream(spark, sf_dir).withWatermark("ts", "1 hour"), "user_id", "ts", "1 day", F.count("*").alias("n"))
+    return _us(runtime.drain(out))

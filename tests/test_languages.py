@@ -122,3 +122,15 @@ def test_functions_of_their_own(spark):
     assert jsons.path_query({"a": [{"b": 1}, {"b": 5}]}, "$.a[*] ? (@.b > 2).b") == [5]
     assert one(dates.extract("isodow", F.lit("2024-01-07").cast("timestamp_ntz"))) == 7
     assert one(dates.to_char(F.lit("2024-01-07 15:04:05").cast("timestamp_ntz"), "YYYY-MM-DD HH24:MI:SS")) == "2024-01-07 15:04:05"
+
+
+def test_grace_join_as_a_stream(spark, tmp_path):
+    left = [("a", 5, "1"), ("a", 50, "2"), ("a", 30, "3"), ("a", 45, "4"), ("a", 70, "5")]
+    right = [("a", 0, "x"), ("a", 40, "y"), ("b", 1, "z")]
+    schema = "k string, ms long, v string"
+    for n, row in enumerate(left):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/left/{n}")
+    spark.createDataFrame(right, schema).coalesce(1).write.parquet(f"{tmp_path}/right/0")
+    read = lambda side: spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{side}/*")
+    got = runtime.drain(stateful.stream_grace_join(read("left"), read("right"), "k", "ms", "v", 10)).collect()
+    assert sorted(map(tuple, got)) == [("a", 5, "1", "x"), ("a", 45, "4", "y"), ("a", 50, "2", "y")]
