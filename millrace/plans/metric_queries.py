@@ -97,7 +97,15 @@ z AS (SELECT *, CASE WHEN d > 0 AND v0 >= 0 AND si * v0 / d < s1 THEN si * v0 /
 metric("increase", "increase(v[1d])", _BOTH, _RATE + "SELECT step, event_type, u, round(d * ((si + s2 + e1) / si), 6) AS value FROM z")
 metric("rate", "rate(v[1d])", _BOTH, _RATE + "SELECT step, event_type, u, round(d * ((si + s2 + e1) / si) / 86400, 6) AS value FROM z")
 metric("delta", "delta(v[1d])", _BOTH, _RATE + "SELECT step, event_type, u, round(plain * ((si + s1 + e1) / si), 6) AS value FROM z")
-metric("predict_linear", "predict_linear(v[1d], 3600)", _BOTH)
+metric("predict_linear", "predict_linear(v[1d], 3600)", _BOTH, f"WITH {_S}, {_G} SELECT step, event_type, u, round(regr_slope(value, (ts - step) / 1000) * 3600 + regr_intercept(value, (ts - step) / 1000), 6) AS value FROM g JOIN s ON s.ts > step - 86400000 AND s.ts <= step GROUP BY ALL HAVING count(*) > 1")
+metric("matcher_alternatives", 'count_over_time({event_type="click",u=~"[0-2]" or event_type="view",u!~"[0-2]"}[1d])', _BOTH, _over("count(*)::DOUBLE", where="(event_type = 'click' AND u IN ('0', '1', '2')) OR (event_type = 'view' AND u NOT IN ('0', '1', '2'))"))
+metric("scalar_of_vector", "sum_over_time(v[1d]) / scalar(sum(sum_over_time(v[1d])))", _BOTH, _SUM + "SELECT step, event_type, u, round(value / sum(value) OVER (PARTITION BY step), 6) AS value FROM x")
+metric("step_and_range", "vector(step() + range())", (), f"WITH {_G} SELECT step, {(STEP + END - START) / 1000}::DOUBLE AS value FROM g")
+metric("sort_desc", "sort_desc(sum_over_time(v[1d]))", _BOTH, _over("sum(value)"))
+metric("increase_anchored", "increase(v[1d] anchored)", _BOTH)
+metric("delta_smoothed", "delta(v[1d] smoothed)", _BOTH)
+metric("histogram_quantiles", 'histogram_quantiles(sum_over_time(h_bucket[2d]), "q", 0.5, 0.9)', ("event_type", "q"), source=bucket_samples)
+metric("histogram_fraction", "histogram_fraction(0, 25, sum_over_time(h_bucket[2d]))", ("event_type",), _over("count(*) FILTER (WHERE value <= 25) / count(*)::DOUBLE", 172_800_000).replace("s.ts > step", "(s.ts // 86400000) * 86400000 > step").replace("s.ts <= step", "(s.ts // 86400000) * 86400000 <= step").replace("event_type, u,", "event_type,"), source=bucket_samples)
 metric("double_exponential_smoothing", "double_exponential_smoothing(v[1d], 0.5, 0.3)", _BOTH)
 metric("histogram_quantile", "histogram_quantile(0.9, sum_over_time(h_bucket[2d]))", ("event_type",), source=bucket_samples)
 
@@ -132,3 +140,64 @@ def alerting_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("run", F.col("step") - F.row_number().over(w.orderBy("step")) * STEP)
     held = F.col("step") - F.min("step").over(W.partitionBy("event_type", "run"))
     return out.select("step", "event_type", F.when(held >= 43_200_000, "firing").otherwise("pending").alias("state"))
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose series have job and instance labels, and a target_info series for each instance."""
+    v = samples(spark, sf_dir)
+    own = v.select(F.create_map(F.lit("__name__"), F.lit("v"), F.lit("job"), F.col("labels")["event_type"], F.lit("instance"), F.col("labels")["u"]).alias("labels"), "ts", "value")
+    info = own.select(F.create_map(F.lit("__name__"), F.lit("target_info"), F.lit("job"), F.col("labels")["job"], F.lit("instance"), F.col("labels")["instance"], F.lit("zone"), F.concat(F.lit("z"), F.col("labels")["instance"])).alias("labels"), "ts", F.lit(1.0).alias("value"))
+    return own.unionByName(info)
+
+
+metric("info", "info(last_over_time(v[5m]))", ("job", "instance", "zone"), _over("arg_max(value, ts)", 300_000).replace("event_type, u,", "event_type AS job, u AS instance, 'z' || u AS zone,"), source=described)
+
+
+@query("metric_label_names", "SELECT unnest(['__name__', 'event_type', 'u']) AS name")
+def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).select(F.explode(F.map_keys("labels")).alias("name")).distinct()
+
+
+@query("metric_series", "SELECT DISTINCT event_type, (user_id % 7)::VARCHAR AS u FROM events WHERE event_type <> 'view'")
+def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that match a selector."""
+    from millrace.plans.promql import matches
+
+    v = samples(spark, sf_dir).where(matches(F.col("labels"), (("__name__", "=", "v"), ("event_type", "!=", "view"))))
+    return v.select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["u"].alias("u")).distinct()
+
+
+@query("metric_tsdb_stats", "SELECT event_type AS v, count(DISTINCT user_id % 7) AS series, count(*) AS samples FROM events GROUP BY event_type")
+def tsdb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series and samples by the value of a label."""
+    from millrace.plans.promql import series_key
+
+    v = samples(spark, sf_dir).withColumn("k", series_key(F.col("labels")))
+    return v.groupBy(F.col("labels")["event_type"].alias("v")).agg(F.count_distinct("k").alias("series"), F.count("*").alias("samples"))
+
+
+@query("metric_exemplars", "SELECT event_type, event_id::VARCHAR AS trace_id, value FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-10'")
+def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exemplars of the series of a selector in a range of time."""
+    e = views(spark, sf_dir, "events").sql("SELECT map('__name__', 'v', 'event_type', event_type) AS labels, unix_millis(CAST(ts AS TIMESTAMP)) AS ts, value, CAST(event_id AS STRING) AS trace_id FROM events")
+    from millrace.plans.promql import matches
+
+    e = e.where(matches(F.col("labels"), (("event_type", "=", "purchase"),))).where(F.col("ts").between(1_704_412_800_000, 1_704_844_800_000))
+    return e.select(F.col("labels")["event_type"].alias("event_type"), "trace_id", "value")
+
+
+@query("metric_metadata", "SELECT * FROM (VALUES ('v', 'gauge', 'Value of an event.', ''), ('h', 'histogram', 'Values by size.', '')) AS m(metric, type, help, unit)")
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest metadata of each metric family, out of an ingestion log."""
+    rows = [("v", 1, "counter", "old", ""), ("v", 2, "gauge", "Value of an event.", ""), ("h", 1, "histogram", "Values by size.", "")]
+    log = spark.createDataFrame(rows, "metric string, ts int, type string, help string, unit string")
+    return log.groupBy("metric").agg(F.max_by(F.struct("type", "help", "unit"), "ts").alias("m")).select("metric", "m.*")
+
+
+@query("metric_remote_read", "SELECT epoch_us(ts) // 1000 AS ts, value FROM events WHERE event_type = 'click' AND user_id % 7 = 2 AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-10'")
+def remote_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw samples of matchers and a range of time."""
+    from millrace.plans.promql import matches
+
+    v = samples(spark, sf_dir).where(F.col("ts").between(1_704_412_800_000, 1_704_844_800_000))
+    return v.where(matches(F.col("labels"), (("event_type", "=", "click"), ("u", "=~", "2")))).select("ts", "value")

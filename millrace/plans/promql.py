@@ -34,6 +34,12 @@ def matches(labels: Column, matchers) -> Column:
     """All matchers hold; an absent label is the empty string and expressions are anchored."""
     out = F.lit(True)
     for name, op, value in matchers:
+        if op == "or":
+            any_of = F.lit(False)
+            for alternative in value:
+                any_of |= matches(labels, alternative)
+            out &= any_of
+            continue
         have = F.coalesce(F.try_element_at(labels, F.lit(name)), F.lit(""))
         test = have.rlike(f"^(?s:{value})$") if "~" in op else have == value
         out &= ~test if op.startswith("!") else test
@@ -47,6 +53,13 @@ class Scalar:
     column: Column
 
 
+@dataclass
+class PerStep:
+    """A number for each step that comes from data: rows (step, s)."""
+
+    rows: DataFrame
+
+
 def _only(labels: Column, names) -> Column:
     return F.map_filter(labels, lambda k, v: k.isin(list(names)) if names else F.lit(False))
 
@@ -101,6 +114,8 @@ class Engine:
     def query(self, text: str) -> DataFrame:
         """labels, step, value of the expression."""
         out = self.eval(P.parse(text))
+        if isinstance(out, PerStep):
+            out = self._vector(out)
         if isinstance(out, Scalar):
             out = self.grid().withColumn("value", out.column).withColumn("labels", F.create_map().cast("map<string,string>"))
         return out.select("labels", "step", F.col("value").cast("double").alias("value"))
@@ -143,13 +158,76 @@ class Engine:
     def window(self, x) -> DataFrame:
         return self._spread(*self._rows(x))
 
+    def _vector(self, x: PerStep) -> DataFrame:
+        return x.rows.select(F.create_map().cast("map<string,string>").alias("labels"), F.lit("").alias("series"), "step", F.col("s").alias("value"))
+
+    def extended(self, x: P.Selector) -> DataFrame:
+        """arrays() with the window's borders known: ``left`` is the value at its start, ``w`` its samples and ``t`` its end.
+
+        Anchored, the start has the last sample at or before it; smoothed, both ends
+        have values between the samples around them (``right`` at the end, if a sample
+        follows). A window without samples of its own is left out.
+        """
+        df, span, offset, at = self._rows(x)
+        after = self.lookback if x.mode == "smoothed" else 0
+        df = self._spread(df, span + self.lookback + after, offset - after, at)
+        df = df.groupBy("series", "step").agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("all"), (F.first("_t") - after).alias("t"))
+        low = F.col("t") - span
+        before, own, later = F.filter("all", lambda s: s["ts"] <= low), F.filter("all", lambda s: (s["ts"] > low) & (s["ts"] <= F.col("t"))), F.filter("all", lambda s: s["ts"] > F.col("t"))
+        df = df.withColumns({"lo": F.try_element_at(before, F.lit(-1)), "w": own, "hi": F.get(later, F.lit(0)), "low": low})
+        return df.where((F.size("w") > 0) | (F.col("hi").isNotNull() & F.col("lo").isNotNull() if after else F.lit(False)))
+
+    def extended_function(self, name: str, x: P.Selector) -> DataFrame:
+        allowed = {"anchored": ("resets", "changes", "rate", "increase", "delta"), "smoothed": ("rate", "increase", "delta")}[x.mode]
+        if name not in allowed:
+            raise ValueError(f"{x.mode} modifier can only be used with: {', '.join(allowed)} - not with {name}")
+        df = self.extended(x)
+        counter = name in ("rate", "increase")
+        first, last = F.get(F.col("w"), F.lit(0)), F.try_element_at("w", F.lit(-1))
+        point = lambda ts, v: F.struct(ts.alias("ts"), v.alias("value"))
+
+        def between(a, b, t, left):
+            y1, y2 = a["value"], b["value"]
+            if counter:
+                y1, y2 = (F.when(y2 < y1, 0.0).otherwise(y1), y2) if left else (y1, F.when(y2 < y1, y1 + y2).otherwise(y2))
+            return y1 + (y2 - y1) * (t - a["ts"]) / (b["ts"] - a["ts"])
+
+        if x.mode == "anchored":
+            left = F.when(F.col("lo").isNotNull(), F.col("lo.value")).otherwise(first["value"])
+            points = F.concat(F.array(point(F.col("low"), left)), F.col("w"))
+        else:
+            following, preceding = F.coalesce(first, F.col("hi")), F.coalesce(last, F.col("lo"))
+            left = F.when(F.col("lo").isNull(), following["value"]).when(F.col("lo.ts") == F.col("low"), F.col("lo.value")).otherwise(between(F.col("lo"), following, F.col("low"), True))
+            right = F.when(F.col("hi").isNull() | (preceding["ts"] == F.col("t")), preceding["value"]).otherwise(between(preceding, F.col("hi"), F.col("t"), False))
+            points = F.concat(F.array(point(F.col("low"), left)), F.col("w"), F.array(point(F.col("t"), right)))
+        df = df.withColumn("p", points)
+        n = F.size("p")
+        pairs = F.zip_with(F.slice("p", 1, n - 1), F.slice("p", 2, n), lambda a, b: F.struct(a["value"].alias("a"), b["value"].alias("b")))
+        pairs = F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+        add = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p))
+        if name == "changes":
+            value = add(lambda p: F.when(p["a"] != p["b"], 1.0).otherwise(0.0))
+        elif name == "resets":
+            value = add(lambda p: F.when(p["b"] < p["a"], 1.0).otherwise(0.0))
+        else:
+            value = F.element_at("p", -1)["value"] - F.element_at("p", 1)["value"]
+            if counter:
+                value = value + add(lambda p: F.when(p["b"] < p["a"], p["a"]).otherwise(0.0))
+            if name == "rate":
+                value = value / (x.range / 1000)
+        return _nameless(df.withColumn("value", value).select("labels", "series", "step", "value"))
+
     def instant(self, x: P.Selector) -> DataFrame:
+        if x.mode:
+            raise ValueError(f"{x.mode} modifier needs a range and a function over it")
         df = self.samples.where(matches(F.col("labels"), x.matchers)).select("labels", series_key(F.col("labels")).alias("series"), "ts", "value")
         df = self._spread(df, self.lookback, x.offset, x.at)
         out = df.groupBy("series", "step").agg(F.first("labels").alias("labels"), F.max_by(F.struct("value"), F.col("ts")).alias("v"), F.max("ts").alias("ts"))
         return out.select("labels", "series", "step", F.col("v.value").alias("value"), "ts").where("value IS NOT NULL")
 
     def over(self, x, value: Column, keep_name: bool = False) -> DataFrame:
+        if getattr(x, "mode", None):
+            raise ValueError(f"{x.mode} modifier can only be used with rates, changes and resets")
         df = self.window(x).groupBy("series", "step").agg(F.first("labels").alias("labels"), value.alias("value")).where("value IS NOT NULL")
         return df if keep_name else _nameless(df)
 
@@ -176,6 +254,8 @@ class Engine:
         v = self.eval(x)
         if isinstance(v, Scalar):
             return Scalar(f(v.column))
+        if isinstance(v, PerStep):
+            return PerStep(v.rows.withColumn("s", f(F.col("s")).cast("double")))
         v = v.withColumn("value", f(F.col("value")).cast("double"))
         return _nameless(v) if drop else v
 
@@ -234,6 +314,8 @@ class Engine:
 
     def range_function(self, name: str, args) -> DataFrame:
         x = args[0]
+        if getattr(x, "mode", None):
+            return self.extended_function(name, x)
         df = self.arrays(x)
         w, n = F.col("w"), F.size("w")
         first, last = F.get(w, F.lit(0)), F.element_at(w, -1)
@@ -292,12 +374,23 @@ class Engine:
     def fn_pi(self):
         return Scalar(F.lit(math.pi))
 
+    def fn_step(self):
+        return Scalar(F.lit(self.step / 1000))
+
+    def fn_range(self):
+        return Scalar(F.lit((self.end - self.start) / 1000))
+
     def fn_vector(self, x):
+        own = self.eval(x)
+        if isinstance(own, PerStep):
+            return self._vector(own)
         df = self.grid().withColumn("value", self._number(x).cast("double"))
         return df.select(F.create_map().cast("map<string,string>").alias("labels"), F.lit("").alias("series"), "step", "value")
 
     def fn_scalar(self, x):
-        raise ValueError("scalar() of a vector is only supported inside vector-scalar operations")
+        """The value where a step has exactly one series, else NaN."""
+        one = self.eval(x).groupBy("step").agg(F.when(F.count("*") == 1, F.first("value")).alias("s"))
+        return PerStep(self.grid().join(one, "step", "left").select("step", _nan(F.col("s")).alias("s")))
 
     def fn_timestamp(self, x):
         if isinstance(x, P.Selector):
@@ -373,6 +466,37 @@ class Engine:
                  .when(F.col("at") == F.size("b") - 1, last).when((F.col("at") == 0) & (hi["le"] <= 0), hi["le"]).otherwise(inside))
         return df.select("labels", "series", "step", value.alias("value"))
 
+    def fn_histogram_quantiles(self, x, label, *qs):
+        """A series for each quantile, told apart by a label."""
+        out = None
+        for q in qs:
+            part = self.fn_histogram_quantile(q, x)
+            text = f"{self._const(q):g}"
+            part = _relabel(part, F.map_concat(_less(F.col("labels"), [label.value]), F.create_map(F.lit(label.value), F.lit(text)))).select("labels", "series", "step", "value")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def fn_histogram_fraction(self, lower, upper, x):
+        """Share of observations between the bounds, with counts interpolated inside classic buckets."""
+        lower, upper = self._number(lower), self._number(upper)
+        df = self.eval(x).withColumn("le", F.try_element_at("labels", F.lit("le")))
+        le = F.when(F.col("le").isin("+Inf", "Inf"), F.lit(math.inf)).otherwise(F.col("le").try_cast("double"))
+        df = df.withColumn("le", le).where("le IS NOT NULL")
+        df = _relabel(df, _less(F.col("labels"), ["le", "__name__"]))
+        df = df.groupBy("series", "step").agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(F.struct("le", "value"))).alias("b"))
+        df = df.withColumn("total", F.element_at("b", -1)["value"])
+
+        def rank(bound: Column) -> Column:
+            at = F.size(F.filter("b", lambda e: e["le"] < bound))
+            hi, lo = F.get(F.col("b"), at), F.when(at > 0, F.get(F.col("b"), at - 1))
+            low = F.when(at > 0, lo["le"]).otherwise(F.when(hi["le"] > 0, 0.0).otherwise(F.lit(-math.inf)))
+            count = F.coalesce(lo["value"], F.lit(0.0))
+            inside = count + (hi["value"] - count) * _div(bound - low, hi["le"] - low)
+            return F.when(bound == math.inf, F.col("total")).when((at == 0) & (bound <= low), 0.0).when(hi["le"] == bound, hi["value"]).when(hi["le"] == math.inf, count).otherwise(inside)
+
+        value = F.when((F.col("total") == 0) | F.isnan(lower) | F.isnan(upper) | (F.element_at("b", -1)["le"] != math.inf), F.lit(math.nan)).when(lower >= upper, 0.0).otherwise((rank(upper) - rank(lower)) / F.col("total"))
+        return df.select("labels", "series", "step", value.alias("value"))
+
     def fn_info(self, x, selector=None):
         """Labels of the latest *_info series with the same job and instance."""
         name = (("__name__", "=", "target_info"),)
@@ -409,8 +533,27 @@ class Engine:
         value = {"sum": lambda: F.sum(_value()), "avg": lambda: F.avg(_value()), "count": lambda: F.count("*"), "count_values": lambda: F.count("*"), "min": lambda: _nan(F.min(_numbers())), "max": lambda: _nan(F.max(_numbers())), "stddev": lambda: F.stddev_pop(_value()), "stdvar": lambda: F.var_pop(_value()), "group": lambda: F.lit(1.0), "quantile": lambda: self._quantile(self._const(x.param))}[op]()
         return v.groupBy("gk", "step").agg(F.first("g").alias("labels"), value.cast("double").alias("value")).withColumnRenamed("gk", "series").select("labels", "series", "step", "value")
 
+    def _with_steps(self, x: P.Binary, a, b):
+        """An operator with numbers that come from data on one side or both."""
+        op = _ARITHMETIC.get(x.op) or (lambda l, r: _COMPARE[x.op](l, r).cast("int").cast("double"))
+        if not isinstance(a, DataFrame) and not isinstance(b, DataFrame):
+            rows = a.rows if isinstance(a, PerStep) else b.rows
+            if isinstance(a, PerStep) and isinstance(b, PerStep):
+                rows = rows.join(b.rows.withColumnRenamed("s", "s2"), "step")
+            left = F.col("s") if isinstance(a, PerStep) else a.column
+            right = b.column if isinstance(b, Scalar) else F.col("s2" if isinstance(a, PerStep) else "s")
+            return PerStep(rows.select("step", op(left, right).cast("double").alias("s")))
+        v, rows = (a, b.rows) if isinstance(a, DataFrame) else (b, a.rows)
+        v = v.join(rows, "step")
+        left, right = (F.col("value"), F.col("s")) if isinstance(a, DataFrame) else (F.col("s"), F.col("value"))
+        if x.op in _ARITHMETIC or x.bool_:
+            return _nameless(v.withColumn("value", op(left, right).cast("double"))).drop("s")
+        return v.where(_COMPARE[x.op](left, right)).drop("s")
+
     def binary(self, x: P.Binary):
         a, b = self.eval(x.left), self.eval(x.right)
+        if isinstance(a, PerStep) or isinstance(b, PerStep):
+            return self._with_steps(x, a, b)
         if isinstance(a, Scalar) and isinstance(b, Scalar):
             return Scalar(_ARITHMETIC[x.op](a.column, b.column) if x.op in _ARITHMETIC else _COMPARE[x.op](a.column, b.column).cast("int").cast("double"))
         if isinstance(a, Scalar) or isinstance(b, Scalar):

@@ -134,3 +134,19 @@ def test_grace_join_as_a_stream(spark, tmp_path):
     read = lambda side: spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{side}/*")
     got = runtime.drain(stateful.stream_grace_join(read("left"), read("right"), "k", "ms", "v", 10)).collect()
     assert sorted(map(tuple, got)) == [("a", 5, "1", "x"), ("a", 45, "4", "y"), ("a", 50, "2", "y")]
+
+
+def test_extended_windows(spark):
+    rows = series(spark, [1, 2, 3, 4, 5, 9, 10, 11, 12, 13], step=15_000)
+    at = lambda text, t: [v for *_, v in metric(spark, rows, text, t * 1000, t * 1000)]
+    assert [at("increase(m[1m] anchored)", t) for t in (5, 20, 80, 125)] == [[0], [1], [7], [7]]
+    assert [at("increase(m[1m] smoothed)", t) for t in (5, 65, 125)] == [[pytest.approx(1 / 3)], [pytest.approx(5)], [pytest.approx(6)]]
+    with pytest.raises(ValueError, match="anchored modifier"):
+        metric(spark, rows, "deriv(m[1m] anchored)", 0, 0)
+
+
+def test_scalars_from_data(spark):
+    rows = series(spark, [2, 4], {"a": "x"}) + series(spark, [3, 5], {"a": "y"})
+    assert [v for *_, v in metric(spark, rows, 'm{a="x"} * scalar(m{a="y"})', 0, 60_000)] == [6.0, 20.0]
+    assert math.isnan(metric(spark, rows, "vector(scalar(m) + 1)", 0, 0)[0][2])
+    assert [v for *_, v in metric(spark, rows, '{a="x" or a="y",__name__="m"}', 0, 0)] == [2.0, 3.0]
