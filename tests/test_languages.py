@@ -150,3 +150,18 @@ def test_scalars_from_data(spark):
     assert [v for *_, v in metric(spark, rows, 'm{a="x"} * scalar(m{a="y"})', 0, 60_000)] == [6.0, 20.0]
     assert math.isnan(metric(spark, rows, "vector(scalar(m) + 1)", 0, 0)[0][2])
     assert [v for *_, v in metric(spark, rows, '{a="x" or a="y",__name__="m"}', 0, 0)] == [2.0, 3.0]
+
+
+def test_native_histograms(spark):
+    from millrace.plans import histograms as h
+
+    rows = [("one", (0, 0.0, 0.0, 4.0, 5.0, {0: 1.0, 1: 2.0, 2: 1.0}, {}, [])), ("none", (0, 0.0, 0.0, 0.0, 0.0, {}, {}, [])), ("both", (0, 0.001, 2.0, 6.0, 0.0, {1: 2.0}, {1: 2.0}, [])), ("custom", (-53, 0.0, 0.0, 4.0, 20.0, {0: 1.0, 1: 3.0}, {}, [5.0, 10.0]))]
+    df = spark.createDataFrame(rows, f"k string, hist {h.TYPE}")
+    x = F.col("hist")
+    got = {r.k: r for r in df.select("k", h.quantile(0.5, x).alias("q"), h.fraction(1.0, 2.0, x).alias("f"), h.fraction(0.0, 8.0, x).alias("g"), h.average(x).alias("a"), h.variance(x).alias("v")).collect()}
+    assert got["one"].q == pytest.approx(2**0.5) and got["one"].f == 0.5 and got["one"].g == 1 and got["one"].a == 1.25
+    assert math.isnan(got["none"].q) and math.isnan(got["none"].f) and math.isnan(got["none"].a)
+    assert got["both"].q == pytest.approx(0, abs=0.001) and got["both"].v == pytest.approx(4 * 2 / 6)
+    assert got["custom"].q == pytest.approx(5 + 5 / 3) and got["custom"].a == 5
+    total = h.merged(df.where("k = 'one'").unionByName(spark.createDataFrame([("one", (1, 0.0, 0.0, 2.0, 3.0, {2: 1.0, 3: 1.0}, {}, []))], df.schema)), ["k"]).first().hist
+    assert (total.schema, total["count"], total.sum, dict(total.positive)) == (0, 6.0, 8.0, {0: 1.0, 1: 3.0, 2: 2.0})
