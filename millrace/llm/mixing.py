@@ -112,14 +112,13 @@ def training_order(docs: DataFrame) -> DataFrame:
     Texts stay whole: the document in which a source's last pass ends comes once
     more if half of it or more is taken there.
     """
-    names = docs.columns
-    out = planned(docs)
+    out = planned(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row")))
     times = F.col("_full") + F.when((F.col("_rest") > 0) & (2 * F.col("_rest") >= F.col("size")), 1).otherwise(0)
     out = out.where("size > 0").withColumn("_times", times).where("_times > 0")
     out = out.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
     words = F.col("_pass") * F.col("source_size") + F.col("before")
     out = out.withColumn("_at", position(words.cast("double"), F.col("goal").cast("double"), F.col("slope")))
-    return out.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*names)
+    return out.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").select("_row.*")
 
 
 ORACLE = f"""

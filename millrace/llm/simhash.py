@@ -216,6 +216,7 @@ def one_of_each(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """The document with the least doc_id of each class, all columns; rows without doc_id stand for themselves, copies aside."""
     found = classes(docs, near)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"])).drop("_keep")
-    nth = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").drop("_nth")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]))
+    nth = W.partitionBy("_id", F.when(F.col("_id").isNull(), F.col("_hash"))).orderBy("_hash")
+    return kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").select("_row.*")

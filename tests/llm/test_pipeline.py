@@ -66,3 +66,16 @@ def test_run_on_a_folder(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert quality_rules.KEEP == 0.5
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns that the stages use inside themselves pass through unchanged."""
+    more = ["n_words", "kept", "clean", "_row", "_keep", "_nth", "_id", "_hash", "fp", "first", "root", "fingerprint", "component_id", "size", "source_size", "target", "taken", "before", "goal", "slope", "_at", "_pass", "_times", "_full", "_rest", "_key", "_bucket", "spans", "ids"]
+    rows = [(*r, *[f"{r[0]}-{c}" for c in more]) for r in corpus() if r[0] is not None]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in more))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert docs.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *more]
+        got = docs.collect()
+        assert got and all(r[c] == f"{r.doc_id}-{c}" for r in got for c in more)
+    assert corpus_pipeline.encode(spark, docs, "").count() == len(got)
