@@ -19,10 +19,10 @@ from millrace.llm.common import stored
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = quality_rules.judged(docs, also=tuple(others)).where("kept")
-    kept = kept.select("doc_id", *others, F.col("clean").alias("text"), F.length("clean").cast("long").alias("n_chars"))
-    return kept.select(*[c for c in docs.columns if c in kept.columns])
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    kept = quality_rules.judged(packed, also=("_row",)).where("kept")
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return kept.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
