@@ -91,7 +91,7 @@ sql("fn_extract", "SELECT event_id, " + ", ".join(f"CAST({_SPARK.get(f, f'extrac
 sql("fn_epoch", "SELECT event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS us FROM events", "SELECT event_id, epoch_us(ts) AS us FROM events")
 sql("fn_date_trunc", "SELECT event_id, " + ", ".join(f"date_format(date_trunc('{u}', ts), 'yyyy-MM-dd HH:mm:ss') AS {u}_" for u in ("year", "quarter", "month", "week", "day", "hour", "minute")) + " FROM events",
     "SELECT event_id, " + ", ".join(f"strftime(date_trunc('{u}', ts), '%Y-%m-%d %H:%M:%S') AS {u}_" for u in ("year", "quarter", "month", "week", "day", "hour", "minute")) + " FROM events")
-sql("fn_make_dates", "SELECT o_orderkey, CAST(make_date(1990 + o_orderkey % 30, 1 + o_orderkey % 12, 1 + o_orderkey % 28) AS STRING) AS d, CAST(make_timestamp_ntz(2000, 1, 1 + o_orderkey % 28, 3, 4, 5) AS STRING) AS t FROM (SELECT CAST(o_orderkey AS INT) AS o_orderkey FROM orders)",
+sql("fn_make_dates", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(make_date(1990 + o_orderkey % 30, 1 + o_orderkey % 12, 1 + o_orderkey % 28) AS STRING) AS d, CAST(make_timestamp_ntz(2000, 1, 1 + o_orderkey % 28, 3, 4, 5) AS STRING) AS t FROM (SELECT CAST(o_orderkey AS INT) AS o_orderkey FROM orders)",
     "SELECT o_orderkey, strftime(make_date(1990 + o_orderkey % 30, 1 + o_orderkey % 12, 1 + o_orderkey % 28), '%Y-%m-%d') AS d, strftime(make_timestamp(2000, 1, 1 + o_orderkey % 28, 3, 4, 5), '%Y-%m-%d %H:%M:%S') AS t FROM orders")
 sql("fn_to_char", "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS s, date_format(ts, 'dd/MM/yy') AS d FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, strftime(ts, '%d/%m/%y') AS d FROM events")
 sql("fn_timezone", "SELECT event_id, date_format(convert_timezone('UTC', 'Asia/Tokyo', ts), 'yyyy-MM-dd HH:mm:ss') AS t FROM events", "SELECT event_id, strftime(ts + INTERVAL 9 HOURS, '%Y-%m-%d %H:%M:%S') AS t FROM events")

@@ -54,7 +54,7 @@ sql("limit_subquery", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() O
 sql("fetch_first", "SELECT p_partkey FROM part ORDER BY p_partkey FETCH FIRST 4 ROWS ONLY", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 4")
 sql("fetch_with_ties", "SELECT p_partkey, p_size FROM part ORDER BY p_size FETCH FIRST 3 ROWS WITH TIES", "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size) AS r FROM part) WHERE r <= 3")
 sql("topk_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2", "same")
-_A, _B = "SELECT n_regionkey % 3 AS k FROM nation", "SELECT p_size % 4 AS k FROM part WHERE p_partkey < 40"
+_A, _B = "SELECT n_regionkey % 3 AS k FROM nation", "SELECT p_size % 4 + 1 AS k FROM part WHERE p_partkey < 40"
 for _op in ("UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEPT ALL"):
     sql("set_" + _op.lower().replace(" ", "_"), f"({_A}) {_op} ({_B})", "same")
 sql("set_nulls", "(SELECT 1 AS a UNION ALL SELECT NULL) INTERSECT (SELECT NULL UNION ALL SELECT 2)", "same")

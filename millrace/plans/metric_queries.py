@@ -27,10 +27,11 @@ def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric(name: str, text: str, labels: tuple[str, ...], oracle: str | None = None, source=samples) -> None:
-    @query("promql_" + name, oracle)
+    # Rounding leaves negative zeros; adding zero makes them plain on both sides.
+    @query("promql_" + name, f"SELECT * REPLACE (value + 0 AS value) FROM ({oracle})" if oracle else None)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = Engine(source(spark, sf_dir), START, END, STEP).query(text)
-        return out.select("step", *[F.coalesce(F.try_element_at("labels", F.lit(x)), F.lit("")).alias(x) for x in labels], F.round("value", 6).alias("value"))
+        return out.select("step", *[F.coalesce(F.try_element_at("labels", F.lit(x)), F.lit("")).alias(x) for x in labels], (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 _S = "s AS (SELECT epoch_us(ts) // 1000 AS ts, event_type, (user_id % 7)::VARCHAR AS u, value::DOUBLE AS value FROM events)"
