@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,39 +23,76 @@ _INTRINSIC = {"name": "name", "duration": "duration", "kind": "kind", "status":
 _STRUCTURAL = {">>", "<<", ">", "<", "~", "!>>", "!<<", "!>", "!<", "!~", "&>>", "&<<", "&>", "&<", "&~"}
 
 
+def _preorder(spans: list, parents: list) -> tuple[list[int], list[int], list[int]]:
+    """lft, rgt, parent of the spans of one trace, which come in order of start."""
+    at = {s: i for i, s in enumerate(spans)}
+    children: dict[int, list[int]] = {}
+    roots = []
+    for i, p in enumerate(parents):
+        if p is not None and at.get(p, i) != i:
+            children.setdefault(at[p], []).append(i)
+        else:
+            roots.append(i)
+    size = len(spans)
+    lft, rgt, up, n = [0] * size, [0] * size, [-1] * size, 0
+    for root in [*roots, *range(size)]:
+        stack = [] if lft[root] else [(root, -1)]
+        while stack:
+            i, p = stack.pop()
+            if i < 0:
+                n += 1
+                rgt[~i] = n
+            elif not lft[i]:
+                n += 1
+                lft[i], up[i] = n, p
+                stack.append((~i, 0))
+                stack += [(c, n) for c in reversed(children.get(i, ()))]
+    return lft, rgt, up
+
+
 def nested_sets(spans: DataFrame) -> DataFrame:
-    """lft, rgt, parent of each span by preorder of its trace; roots have parent -1, cycles are cut at their first span."""
-    names = spans.columns
-
-    def number(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["start", "span_id"]).reset_index(drop=True)
-        at = {s: i for i, s in enumerate(batch["span_id"])}
-        children: dict[int, list[int]] = {}
-        roots = []
-        for i, p in enumerate(batch["parent_id"]):
-            if p is not None and p == p and p in at and at[p] != i:
-                children.setdefault(at[p], []).append(i)
-            else:
-                roots.append(i)
-        lft, rgt, par, n = {}, {}, {}, 0
-        for root in [*roots, *range(len(batch))]:
-            if root in lft:
+    """lft, rgt, parent of each span by preorder of its trace; roots have parent -1, cycles are cut at their first span.
+
+    Traces are dealt by id and sorted once; a task streams over them and holds one
+    batch and one trace.
+    """
+    df = spans.drop("lft", "rgt", "parent")
+    names = df.columns
+    t, s, p = (names.index(c) for c in ("trace_id", "span_id", "parent_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def numbered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            trace, span, parent = (rows.column(k).to_pylist() for k in (t, s, p))
+            out: tuple[list, list, list] = ([], [], [])
+            start = 0
+            for k in range(1, len(trace) + 1):
+                if k == len(trace) or trace[k] != trace[start]:
+                    for whole, part in zip(out, _preorder(span[start:k], parent[start:k])):
+                        whole += part
+                    start = k
+            for name, values in zip(("lft", "rgt", "parent"), out):
+                rows = rows.append_column(name, pa.array(values, pa.int64()))
+            yield from rows.combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            stack = [(root, -1, False)]
-            while stack:
-                i, p, done = stack.pop()
-                if done:
-                    n += 1
-                    rgt[i] = n
-                elif i not in lft:
-                    n += 1
-                    lft[i], par[i] = n, p
-                    stack.append((i, p, True))
-                    stack += [(c, lft[i], False) for c in reversed(children.get(i, []))]
-        return batch.assign(lft=[lft[i] for i in range(len(batch))], rgt=[rgt[i] for i in range(len(batch))], parent=[par[i] for i in range(len(batch))])
-
-    out = spans.drop("lft", "rgt", "parent").schema.add("lft", "long").add("rgt", "long").add("parent", "long")
-    return spans.drop("lft", "rgt", "parent").groupBy("trace_id").applyInPandas(number, out) if names else spans
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            trace = rows.column(t).to_pylist()
+            cut = len(trace) - 1
+            while cut and trace[cut - 1] == trace[-1]:
+                cut -= 1
+            if cut:
+                yield from numbered(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield from numbered(held)
+
+    order = [F.col("trace_id"), F.col("start").asc_nulls_last(), F.col("span_id").asc_nulls_last()]
+    out = df.schema.add("lft", "long").add("rgt", "long").add("parent", "long")
+    return df.repartition("trace_id").sortWithinPartitions(*order).mapInArrow(run, out)
 
 
 def enriched(spans: DataFrame) -> DataFrame:
