@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a single file that is dealt out before costly work.
+SMALL = 64 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share.
@@ -46,6 +49,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """The rows of one small file dealt to all cores, which would else be one task; anything else as it is."""
+    if len(df.inputFiles()) != 1:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

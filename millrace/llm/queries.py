@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, packed_ids, quality_model, quality_rules, quality_sql, secrets, sharding, simhash, token_counts, topk
-from millrace.llm.common import read
+from millrace.llm.common import read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,12 +26,12 @@ def query(name: str, oracle: str | None = None):
 
 @query("op8_bpe_round_trip")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(read(spark, sf_dir, "documents"))
+    return bpe.encode_decode(spread(read(spark, sf_dir, "documents")))
 
 
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.write_and_count(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "file", "start")
+    return token_counts.write_and_count(spread(read(spark, sf_dir, "documents"))).select("doc_id", "n_tokens", "file", "start")
 
 
 @query("op10_packed_ids")
@@ -41,17 +41,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_quality_rules", quality_sql.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.rules(read(spark, sf_dir, "documents"))
+    return quality_rules.rules(spread(read(spark, sf_dir, "documents")))
 
 
 @query("op1_simhash_classes")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.classes(read(spark, sf_dir, "documents"))
+    return simhash.classes(spread(read(spark, sf_dir, "documents")))
 
 
 @query("op2_secret_spans")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"))
+    return secrets.scan(spread(read(spark, sf_dir, "documents")))
 
 
 @query("op3_histogram_shards")
@@ -63,12 +63,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_curriculum_mix", mixing.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(spread(read(spark, sf_dir, "documents")))
 
 
 @query("op6_quality_scores")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality_model.scores(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
 
 
 @query("op7_bit_sliced_topk", topk.ORACLE)
