@@ -165,3 +165,39 @@ def test_native_histograms(spark):
     assert got["custom"].q == pytest.approx(5 + 5 / 3) and got["custom"].a == 5
     total = h.merged(df.where("k = 'one'").unionByName(spark.createDataFrame([("one", (1, 0.0, 0.0, 2.0, 3.0, {2: 1.0, 3: 1.0}, {}, []))], df.schema)), ["k"]).first().hist
     assert (total.schema, total["count"], total.sum, dict(total.positive)) == (0, 6.0, 8.0, {0: 1.0, 1: 3.0, 2: 2.0})
+
+
+def test_traces_that_span_batches(spark):
+    rows = [(t, f"{k}", f"{k // 2}" if k else None, "n", "s", k, 5) for t in ("p", "q", None) for k in range(7)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, name string, service string, start long, duration long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 2)
+        small = sorted(map(repr, traceql.nested_sets(df).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert small == sorted(map(repr, traceql.nested_sets(df).collect())) and len(small) == 21
+    root = [r for r in traceql.nested_sets(df).collect() if r.span_id == "0"]
+    assert all((r.lft, r.rgt, r.parent) == (1, 14, -1) for r in root) and len(root) == 3
+    assert traceql.nested_sets(df.limit(0)).count() == 0
+
+
+def test_double_exponential_smoothing(spark):
+    values, sf, tf = [3.0, 5, 4, 8, 9], 0.4, 0.3
+    s, b = values[0], values[1] - values[0]
+    for y in values[1:]:
+        last = s
+        s = sf * y + (1 - sf) * (s + b)
+        b = tf * (s - last) + (1 - tf) * b
+    got = metric(spark, series(spark, values), f"double_exponential_smoothing(m[5m], {sf}, {tf})", 240_000, 240_000)
+    assert got[0][2] == pytest.approx(s)
+
+
+def test_histogram_quantiles_are_labelled(spark):
+    rows = []
+    for le, c in (("1", 2.0), ("2", 6.0), ("4", 8.0), ("+Inf", 10.0)):
+        rows += series(spark, [c], {"le": le}, name="b")
+    got = {dict(k)["q"]: v for k, _, v in metric(spark, rows, 'histogram_quantiles(b, "q", 0.4, 0.95)', 0, 0)}
+    assert got == {"0.4": pytest.approx(1.5), "0.95": 4.0}
+    assert metric(spark, rows, "histogram_fraction(1, 2, b)", 0, 0)[0][2] == pytest.approx(0.4)
