@@ -6,7 +6,7 @@ every undecided cut keeps a bracket of keys; each round puts ``PROBES`` keys
 evenly inside each bracket, all partitions count the exact bytes and rows below
 every probe, and the brackets shrink to the two probes around the target. A cut
 is decided when its count is within its tolerance, or when its bracket holds one
-key. A bracket of one hash (a group of copies larger than the tolerance) is
+row or one key. A bracket of one hash (a group of copies larger than the tolerance) is
 refined by doc_id inside it, so a hot group is cut as well.
 
 Besides the cuts between shards, looser cuts split every shard into parts of
@@ -133,7 +133,7 @@ def splitters(keys: DataFrame, targets: list[tuple[int, float]], total: tuple[in
                 if x[1] >= want and p < high[k][0]:
                     high[k] = x
             best = min(low[k], high[k], key=lambda x: abs(x[1] - want))
-            if abs(best[1] - want) <= slack or low[k][1] == high[k][1]:
+            if abs(best[1] - want) <= slack or low[k][1] == high[k][1] or high[k][2] - low[k][2] <= 1:
                 found[k] = best
     return found
 
