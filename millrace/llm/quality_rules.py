@@ -19,11 +19,12 @@ Repeated windows are found without leaving the row and without an exchange. If
 all windows' hashes differ there are none. Else the hashes are packed with their
 places into longs and sorted as primitives; places whose hash has a neighbour
 are then compared by their words, so equal hashes of different words do no harm.
+Where a text has more windows than places fit a long (2^24), structs of hash and
+place are sorted instead.
 
 Defined results: a null text has no words and fails the base rules; texts of any
-length are whole (a text may have 2^24 words; places beyond are out of the
-packed range and the query fails rather than miscount); repeated rows are each
-judged alone; an empty table gives no rows; other columns are not read.
+length are whole; repeated rows are each judged alone; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ LEAST_WORDS = 50
 NOTICE_CHARS = 160
 MENU = r"(?i)^\W*(home|menu|search|login|log in|sign in|sign up|register|subscribe|next|previous|back to top|read more|share|contact us|about us|skip to content)\W*$"
 NOTICE = r"(?i)^\W*((©|\(c\)|copyright)\b.{0,80}|.{0,60}all rights reserved.{0,20}|(terms of (use|service)|privacy policy|cookie policy)\W*|(this|our) (site|website) uses cookies.{0,80}|please enable javascript.{0,80})\W*$"
+#: Greatest place that is packed with a hash: a run of low bits.
 _PLACE = (1 << 24) - 1
 
 
@@ -53,11 +55,17 @@ def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more."""
     n = F.size(words)
 
+    def twins(keys: Column, near) -> Column:
+        return _let(F.sort_array(keys), lambda p: F.filter(p, lambda x, k: near(F.get(p, k - 1), x) | near(F.get(p, k + 1), x)))
+
     def places(hashes: Column) -> Column:
+        bits = _PLACE.bit_length()
         packed = F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
-        near = lambda a, b: F.coalesce(F.shiftright(a, 24) == F.shiftright(b, 24), F.lit(False))
-        twins = _let(F.sort_array(packed), lambda p: F.filter(p, lambda x, k: near(F.get(p, k - 1), x) | near(F.get(p, k + 1), x)))
-        return F.transform(twins, lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))
+        near = lambda a, b: F.coalesce(F.shiftright(a, bits) == F.shiftright(b, bits), F.lit(False))
+        few = F.transform(twins(packed, near), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))
+        wide = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        many = F.transform(twins(wide, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))), lambda x: x["i"])
+        return F.when(F.size(hashes) <= _PLACE + 1, few).otherwise(many)
 
     def exact(w: Column, hashes: Column) -> Column:
         shingle = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))

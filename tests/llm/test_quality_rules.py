@@ -53,3 +53,11 @@ def test_no_python_and_no_exchange(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert q.rules(spark.read.parquet(f"{sf}/documents.parquet").limit(0)).count() == 0
+
+
+def test_texts_with_more_windows_than_packed_places(spark, monkeypatch):
+    """With 4 bits for a place, as with 24 for a text of more than 2^24 words."""
+    monkeypatch.setattr(q, "_PLACE", 15)
+    texts = [*TEXTS, " ".join(f"w{k % 30}" for k in range(60)), " ".join(f"w{k}" for k in range(18)), " ".join(["a b c"] * 6)]
+    got = q.rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {k: base(t)[4] for k, t in enumerate(texts)}
