@@ -8,7 +8,8 @@ trigram run over every text. Index and block live in the task, so the scan is
 map-only and needs memory for one block.
 
 The base kinds are assign, access and hex; the other rules add spans and take
-none away. Places are code points, ends exclusive.
+none away. Places are code points, ends exclusive. A private key's span runs to
+its END line, or to the end of its base64 lines where that line is missing.
 
 Defined results: a null or empty text has no spans; texts of any length are
 whole (one text larger than a block is a block); repeated rows repeat their
@@ -53,14 +54,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: What follows a BEGIN line: all up to an END line that is the next mark of five hyphens; without one, header lines and the base64 lines, a short last one included.
+_KEY_BODY = (
+    r"(?:(?:[^-]|-(?!----))*+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\r\n]*)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}={0,2})++(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]+={0,2}(?=[\r\n]|\Z))?)?)"
+)
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----" + _KEY_BODY),
     Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("pay_key", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"://[^/\s:@]{1,64}:[^/\s:@]{3,64}@"),
+    Rule("url_login", r"://[^/\s:@]+:[^/\s:@]{3,}@"),
 )
 
 

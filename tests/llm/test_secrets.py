@@ -84,3 +84,27 @@ def test_redaction(spark):
     assert out[1].text == "a [SECRET] b [SECRET] c" and out[1].n_chars == 23
     assert out[2].text is None and out[3].text == "plain"
     assert secrets.redacted("0123456789", [(0, 0, 4), (2, 1, 6), (8, 0, 9)]) == "[SECRET]67[SECRET]9"
+
+
+def test_whole_keys_and_long_logins_go(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "q1W+/e9Z" * 6] * 12 + ["Zm9vYmFy=="])
+    label = "RSA PRIVATE KEY"
+    pem = f"-----BEGIN {label}-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n{body}\n-----END {label}-----"
+    texts = {
+        "whole": (f"a\n{pem}\nb", "a\n[SECRET]\nb"),
+        "escaped": ("a " + pem.replace("\n", "\\n") + " b", "a [SECRET] b"),
+        "two": (f"{pem}\nand\n{pem}", "[SECRET]\nand\n[SECRET]"),
+        "cut": (f"a\n-----BEGIN PRIVATE KEY-----\n{body}\nplain words follow", "a\n[SECRET]\nplain words follow"),
+        "cut, then whole": (f"-----BEGIN PRIVATE KEY-----\n{body}\nand\n{pem}\nb", None),
+        "header alone": ("see -----BEGIN PRIVATE KEY----- in some words", "see [SECRET] in some words"),
+        "login": ("x https://user:" + "p" * 500 + "@host/y", "x https[SECRET]host/y"),
+        "user": ("x https://" + "u" * 200 + ":pass99@host/y", "x https[SECRET]host/y"),
+    }
+    rows = [(k, t) for k, (t, _) in enumerate(texts.values())]
+    out = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, (_, want)) in enumerate(texts.items()):
+        assert want is None or out[k] == want, name
+        assert "MIIE" not in out[k] and "Zm9v" not in out[k] and "END" not in out[k] and "pppp" not in out[k], name
+    # Many BEGIN lines, one huge body and one huge login take time in proportion.
+    for t in ("-----BEGIN PRIVATE KEY-----\n" * 50000, "-----BEGIN PRIVATE KEY-----\n" + ("A" * 64 + "\n") * 100000, "://" + "a" * 3000000 + ":" + "b" * 3000000):
+        secrets.Scanner().scan([t])
