@@ -20,9 +20,9 @@ blocks. Queries come to the driver and go to the tasks in chunks of
 ``QUERY_BYTES`` at most, by a hash of their id, one pass over the index each.
 
 Defined results: vectors that are null, or hold a null or a component that is
-not finite, take no part, nor do rows without id; components are clipped to
-2^27 in scaled size so that scores fit a long; shorter vectors count as padded with
-zeros; rows of a query's own id are not its candidates, and a query id that comes
+not finite, take no part, nor do rows without id; a scaled component that does not
+fit a long fails the query, and so does a score that may be among the k best and
+does not fit one; shorter vectors count as padded with zeros; rows of a query's own id are not its candidates, and a query id that comes
 several times is asked once, with its least vector; with fewer than k candidates
 all are returned; an empty table gives no rows; other columns are not read.
 """
@@ -43,14 +43,14 @@ SCALE = 1024
 SLICES = 8
 BLOCK = 1 << 15
 QUERY_BYTES = 32 << 20
-_CLIP = 1 << 27
+_LONG = 1 << 63
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and v (scaled integer components) of the rows that take part."""
     x = F.col(embedding).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    scaled = F.transform(x, lambda c: F.least(F.greatest(F.floor(c * SCALE), F.lit(-_CLIP)), F.lit(_CLIP)).cast("long"))
+    scaled = F.transform(x, lambda c: F.when(F.abs(c * SCALE) < float(_LONG), F.floor(c * SCALE)).otherwise(F.raise_error(F.lit("a scaled component does not fit a long")).cast("long")))
     return vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("v"))
 
 
@@ -147,6 +147,22 @@ def at_least(slices: list[np.ndarray], rows: np.ndarray, value: int) -> np.ndarr
     return above | equal
 
 
+def total(q: np.ndarray) -> int:
+    """The sum as a Python number, which has no bounds."""
+    return sum(q.tolist())
+
+
+def scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows with q; one that does not fit a long raises."""
+    size = max(int(v.max(initial=0)), -int(v.min(initial=0)))
+    if size * sum(map(abs, q.tolist())) < _LONG:
+        return v @ q
+    exact = [sum(a * b for a, b in zip(row, q.tolist())) for row in v.tolist()]
+    if any(not -_LONG <= s < _LONG for s in exact):
+        raise OverflowError("a score does not fit a long")
+    return np.array(exact, np.int64)
+
+
 class Block:
     def __init__(self, ids: np.ndarray, v: np.ndarray, cut: int, maps: np.ndarray):
         self.ids, self.v, self.cut, self.maps = ids, v, cut, maps
@@ -168,9 +184,10 @@ class Block:
         top = (1 << self.maps.shape[1]) - 1
         # score = 2^cut * (sum - shift) + rest, and rest lies in [least, most]
         half = (top + 1) // 2
-        shift = int(q[q > 0].sum()) * half + int(-q[q < 0].sum()) * (top - half)
+        above, below = total(q[q > 0]), total(q[q < 0])
+        shift = above * half - below * (top - half)
         rest = (1 << self.cut) - 1
-        least, most = rest * int(q[q < 0].sum()), rest * int(q[q > 0].sum())
+        least, most = rest * below, rest * above
         bound = kth(slices, rows, k)
         reach = ((bound - shift) << self.cut) + least  # k rows, or all there are, score this or more
         if int(np.bitwise_count(rows).sum()) < k:
@@ -180,7 +197,7 @@ class Block:
         if reach is not None:
             rows = at_least(slices, rows, -((most - reach) >> self.cut) + shift)
         at = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
-        return self.ids[at], self.v[at] @ q
+        return self.ids[at], scores(self.v[at], q)
 
 
 def _index(width: int, block: int):
@@ -193,7 +210,8 @@ def _index(width: int, block: int):
         def out() -> pa.RecordBatch:
             i, v = np.concatenate(ids), np.concatenate(rows)
             cut, maps = sliced(v)
-            kind = "<i2" if np.abs(v).max(initial=0) < 1 << 15 else "<i4"
+            size = np.abs(v).max(initial=0)
+            kind = "<i2" if size < 1 << 15 else "<i4" if size < 1 << 31 else "<i8"
             return pa.RecordBatch.from_arrays([pa.array([len(i)], pa.int32()), pa.array([cut], pa.int32()), pa.array([kind]), pa.array([i.astype("<i8").tobytes()]), pa.array([v.astype(kind).tobytes()]), pa.array([maps.tobytes()])], ["n", "cut", "kind", "ids", "v", "maps"])
 
         for whole in batches:
@@ -230,7 +248,7 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int):
                     new_ids, new = own.best(int(ids[m]), queries[m], k, int(have[-1]) if len(have) == k else None)
                     if len(new):
                         a, s = np.concatenate([have_ids, new_ids]), np.concatenate([have, new])
-                        best = np.lexsort((a, -s))[:k]
+                        best = np.lexsort((a, ~s))[:k]
                         kept[m] = (a[best], s[best])
         for m in range(0, len(ids), 4096):
             part = kept[m : m + 4096]

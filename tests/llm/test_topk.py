@@ -59,3 +59,21 @@ def test_slice_arithmetic():
         assert topk.kth(slices, rows, 7) == np.sort(want)[-7]
         marked = np.unpackbits(topk.at_least(slices, rows, int(np.median(want))).view(np.uint8), bitorder="little")[:200]
         assert (marked == (want >= int(np.median(want)))).all()
+
+
+@pytest.mark.parametrize(("scale", "block"), [(4e5, 1 << 15), (4e5, 50), (6e5, 64)])
+def test_large_components_keep_their_values(spark, scale, block):
+    rnd = random.Random(7)
+    rows = [(k, [rnd.gauss(0, scale) for _ in range(8)]) for k in range(150)]
+    rows += [(200, [1e6, 0.0]), (201, [0.0] * 8 + [1e15]), (300, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = topk.search(df, df.where("vec_id % 100 = 0"), 10, block=block).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10, lambda i: i % 100 == 0)
+
+
+def test_scores_beyond_a_long_fail(spark):
+    assert topk.scores(np.array([[1 << 40, 1 << 40]]), np.array([1 << 40, -(1 << 40)])).tolist() == [0]
+    for far in (1e14, 1e300):
+        df = spark.createDataFrame([(0, [far]), (1, [far])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.search(df, df).collect()
