@@ -80,13 +80,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for batch in slices(whole, 1024):
             values = np.array([fingerprint(t) for t in binary_texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, if asked for, hash (of the text) of each row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *([F.xxhash64("text").alias("hash")] if hashed else []))
+    return texts.mapInArrow(_fingerprints, "doc_id long, fp long" + ", hash long" * hashed)
 
 
 def embedding(fp: Column) -> Column:
@@ -199,24 +199,33 @@ def links(distinct: DataFrame, near: int = NEAR, cell: int = CELL, work: int = W
     return out.union(more.where(close))
 
 
-def classes(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (least doc_id of the class) of each row."""
-    own = settle(fingerprints(docs))
+def _members(docs: DataFrame, near: int, hashed: bool = False) -> DataFrame:
+    """The fingerprints of each row, with root (a fingerprint that names the class) and component_id (its least doc_id)."""
+    own = settle(fingerprints(docs, hashed))
     firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(links(firsts.select("fp"), near))
     firsts = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = settle(firsts)
     # Settled, so that the join below has an exchange on both sides and a large class can be split over tasks.
     least = settle(firsts.groupBy("root").agg(F.min("first").alias("component_id")))
-    of = firsts.join(least, "root").select("fp", "component_id")
-    return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = firsts.join(least, "root").select("fp", "root", "component_id")
+    return own.join(of, "fp")
+
+
+def classes(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (least doc_id of the class) of each row."""
+    return _members(docs, near).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """The document with the least doc_id of each class, all columns; rows without doc_id stand for themselves, copies aside."""
-    found = classes(docs, near)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep")).distinct()
+    """The document with the least doc_id of each class, all columns; rows without doc_id stand for themselves, copies aside.
+
+    A doc_id may come with texts of several classes: rows are known by doc_id and the
+    text's hash, and each class keeps one.
+    """
+    found = _members(docs, near, hashed=True)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep"), F.col("hash").alias("_text"), F.col("root").alias("_class")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
-    kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]))
-    nth = W.partitionBy("_id", F.when(F.col("_id").isNull(), F.col("_hash"))).orderBy("_hash")
+    kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]) & (rows["_hash"] == keep["_text"]))
+    nth = W.partitionBy("_class", "_id", F.when(F.col("_id").isNull(), F.col("_hash"))).orderBy("_hash")
     return kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").select("_row.*")

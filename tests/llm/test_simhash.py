@@ -110,3 +110,15 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, 2, 9]
     assert out.columns == ["doc_id", "text", "lang"]
     assert simhash.classes(out.limit(0)).count() == 0
+
+
+def test_one_of_each_where_a_doc_id_has_several_texts(spark):
+    a, near = near_copies(2, 1)[0], None
+    for text in near_copies(60, 1):
+        if text != a and (plain(text) ^ plain(a)).bit_count() <= 4:
+            near = text
+    b, c = "quite other words " * 3 + "stand in here", "and a third one of its own " * 4
+    assert near and min((plain(x) ^ plain(y)).bit_count() for x, y in ((a, b), (a, c), (b, c))) > 4
+    rows = [(1, a), (2, near), (2, b), (2, b), (2, c), (5, c), (None, a), (None, a), (None, b)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(1, a), (2, b), (2, c), (None, a), (None, b)], key=repr)
