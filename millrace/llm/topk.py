@@ -15,9 +15,11 @@ or of the k-th exact score known so far, are the boundary; another pass from the
 most significant slice downward marks them and their inner products are computed
 exactly. Nothing is approximate: a row outside the boundary has k better ones.
 
-Each task keeps k rows for each query of a chunk while it passes over its
-blocks. Queries come to the driver and go to the tasks in chunks of
-``QUERY_BYTES`` at most, by a hash of their id, one pass over the index each.
+Queries are dealt into chunks of about ``QUERY_BYTES`` by a hash of their id and
+written to the shared folder beside the index; none comes to the driver. The work
+is a table of rows (index file, chunk): a task reads a row's chunk and passes
+over the file's blocks one at a time, keeping k rows for each query of the chunk.
+The number of tasks is fixed by the cluster, and a lost task reads its files again.
 
 Defined results: vectors that are null, or hold a null or a component that is
 not finite, take no part, nor do rows without id; a scaled component that does not
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import filesystem, fresh_dir, stored
 
 SCALE = 1024
 SLICES = 8
@@ -233,47 +235,66 @@ def index(candidates: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     return stored(candidates.mapInArrow(_index(width, block), "n int, cut int, kind string, ids binary, v binary, maps binary"), "slices")
 
 
-def _search(ids: np.ndarray, queries: np.ndarray, k: int):
-    """Function for mapInArrow over blocks: the k best rows of each query among the task's blocks."""
+def _best_rows(blocks: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each query among the blocks of one file."""
+    width = queries.shape[1]
+    kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
+    for batch in blocks:
+        for j in range(batch.num_rows):
+            n, cut, kind, i, v, maps = (c[j].as_py() for c in batch.columns)
+            own = Block(np.frombuffer(i, "<i8"), np.frombuffer(v, kind).reshape(n, width).astype(np.int64), cut, np.frombuffer(maps, np.uint64).reshape(width, SLICES, -1))
+            for m in range(len(ids)):
+                have_ids, have = kept[m]
+                new_ids, new = own.best(int(ids[m]), queries[m], k, int(have[-1]) if len(have) == k else None)
+                if len(new):
+                    a, s = np.concatenate([have_ids, new_ids]), np.concatenate([have, new])
+                    best = np.lexsort((a, ~s))[:k]
+                    kept[m] = (a[best], s[best])
+    for m in range(0, len(ids), 4096):
+        part = kept[m : m + 4096]
+        lengths = [len(a) for a, _ in part]
+        if sum(lengths):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[m : m + 4096], lengths)), pa.array(np.concatenate([a for a, _ in part])), pa.array(np.concatenate([s for _, s in part]))], ["query_id", "vec_id", "score"])
+
+
+def _search(folder: str, width: int, k: int):
+    """Function for mapInArrow over (file, chunk): the k best rows of each of the chunk's queries among the file's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = queries.shape[1]
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
+        from pyarrow import fs as arrow_fs
+        from pyarrow import parquet
+
         for batch in batches:
-            for j in range(batch.num_rows):
-                n, cut, kind, i, v, maps = (c[j].as_py() for c in batch.columns)
-                own = Block(np.frombuffer(i, "<i8"), np.frombuffer(v, kind).reshape(n, width).astype(np.int64), cut, np.frombuffer(maps, np.uint64).reshape(width, SLICES, -1))
-                for m in range(len(ids)):
-                    have_ids, have = kept[m]
-                    new_ids, new = own.best(int(ids[m]), queries[m], k, int(have[-1]) if len(have) == k else None)
-                    if len(new):
-                        a, s = np.concatenate([have_ids, new_ids]), np.concatenate([have, new])
-                        best = np.lexsort((a, ~s))[:k]
-                        kept[m] = (a[best], s[best])
-        for m in range(0, len(ids), 4096):
-            part = kept[m : m + 4096]
-            lengths = [len(a) for a, _ in part]
-            if sum(lengths):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[m : m + 4096], lengths)), pa.array(np.concatenate([a for a, _ in part])), pa.array(np.concatenate([s for _, s in part]))], ["query_id", "vec_id", "score"])
+            for file, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+                store, at = filesystem(f"{folder}/chunk={chunk}")
+                infos = store.get_file_info(arrow_fs.FileSelector(at, allow_not_found=True))
+                parts = [parquet.read_table(i.path, filesystem=store, columns=["vec_id", "v"]) for i in infos if i.path.endswith(".parquet")]
+                asked = pa.concat_tables(parts).combine_chunks() if parts else None
+                if asked is None or not asked.num_rows:
+                    continue
+                q = matrix(asked["v"].combine_chunks(), width)
+                store, at = filesystem(file)
+                with store.open_input_file(at) as source:
+                    blocks = parquet.ParquetFile(source).iter_batches(batch_size=1, columns=["n", "cut", "kind", "ids", "v", "maps"])
+                    yield from _best_rows(blocks, asked["vec_id"].to_numpy(), q, k)
 
     return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of ``vectors`` for each of ``queries`` (both vec_id, embedding)."""
+    spark = vectors.sparkSession
     rows = quantised(vectors)
+    width = max(1, rows.agg(F.max(F.size("v")).alias("w")).first().w or 0)
     asked = quantised(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    width = rows.agg(F.max(F.size("v")).alias("w")).first().w or 0
-    asked = stored(asked, "queries")
-    blocks = index(rows, max(width, 1), block)
-    chunks = max(1, -(-asked.count() * 8 * max(width, 1) // query_bytes))
-    found = None
-    for c in range(chunks):
-        chunk = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).orderBy("vec_id").toArrow().combine_chunks()
-        ids = chunk["vec_id"].to_numpy()
-        q = matrix(pa.chunked_array(chunk["v"]).combine_chunks() if chunk.num_rows else pa.array([], pa.list_(pa.int64())), max(width, 1))
-        part = blocks.mapInArrow(_search(ids, q, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
+    chunks = max(1, -(-quantised(queries).select("vec_id").count() * 8 * width // query_bytes))
+    folder = fresh_dir(spark, "queries")
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk")
+    asked.select("vec_id", "v", chunk).repartition(min(chunks, 8 * spark.sparkContext.defaultParallelism), "chunk").write.partitionBy("chunk").parquet(folder)
+    files = index(rows, width, block).select(F.input_file_name().alias("file")).distinct()
+    work = files.select("file", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    work = work.repartition(8 * spark.sparkContext.defaultParallelism, "file", "chunk")
+    found = work.mapInArrow(_search(folder, width, k), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

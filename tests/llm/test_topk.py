@@ -77,3 +77,15 @@ def test_scores_beyond_a_long_fail(spark):
         df = spark.createDataFrame([(0, [far]), (1, [far])], "vec_id long, embedding array<double>")
         with pytest.raises(Exception, match="does not fit a long"):
             topk.search(df, df).collect()
+
+
+def test_many_chunks_over_several_files(spark):
+    rows = spark.range(20_000).selectExpr("id AS vec_id", "transform(sequence(0, 3), k -> CAST((id * (k + 3) * 7919) % 2001 - 1000 AS DOUBLE) / 1000) AS embedding")
+    queries = rows.where("vec_id % 4 = 0")
+    got = topk.search(rows, queries, 1, block=4096, query_bytes=1600)
+    assert got.count() == 5000
+    few = {r.query_id: (r.vec_id, r.score) for r in got.where("query_id % 1000 = 0").collect()}
+    plain = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in rows.collect()]
+    for i, (j, s) in few.items():
+        q = plain[i][1]
+        assert (-s, j) == min((-sum(a * b for a, b in zip(q, v)), o) for o, v in plain if o != i)
