@@ -12,8 +12,12 @@ left out where they would matter:
   no cut is made before one unless an ASCII letter or digit stands before it.
 
 Strings of added tokens are taken out first, as the library does. As nearly
-every word end is a cut, fragments repeat, and a bounded memo per worker keeps
-the ids of those already seen; only new fragments reach the library.
+every word end is a cut, fragments repeat, and a memo per worker keeps the ids of
+those already seen; only new fragments reach the library. The memo is bounded in
+bytes: fragments above ``MEMO_FRAGMENT`` bytes are encoded and not kept, and when
+those kept reach ``MEMO_BYTES`` they become the past generation, which is dropped
+at the next turn. A long text is worked through in pieces of about ``PIECE``
+bytes that end at a cut.
 
 Defined results: null encodes as the empty text, which has no ids; texts of any
 length are whole; a repeated row gives a repeated result.
@@ -29,10 +33,16 @@ import numpy as np
 import pyarrow as pa
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Fragments that a worker remembers as a generation; it keeps two.
-MEMO = 250_000
-#: Characters of text whose new fragments go to the library at once.
-SLICE = 1 << 21
+#: Bytes that a generation of remembered fragments takes; a worker keeps two.
+MEMO_BYTES = 64 << 20
+#: Longest fragment that is remembered, in bytes.
+MEMO_FRAGMENT = 64
+#: What a remembered fragment takes besides its bytes and its ids' bytes.
+_ENTRY = 200
+#: Bytes of a text whose fragments are objects at a time, as far as cuts allow.
+PIECE = 1 << 20
+#: Ids that are digested at a time.
+DIGEST = 1 << 16
 
 _BLANK = [*range(9, 14), 32]
 #: ASCII bytes that some engine takes for white space, and last bytes of the other white space of Unicode.
@@ -69,6 +79,28 @@ def forced_cuts(tokens: list[bytes]) -> np.ndarray:
     return cut
 
 
+class Memo(dict):
+    """Ids of fragments; those not yet known are encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.past, self.held = encode, {}, 0
+
+    def __missing__(self, fragment: bytes) -> bytes:
+        ids = self.past.get(fragment)
+        if ids is None:
+            ids = array("I", self.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
+            if len(fragment) > MEMO_FRAGMENT:
+                return ids
+        size = len(fragment) + len(ids) + _ENTRY
+        if self.held + size > MEMO_BYTES:
+            self.past, self.held = dict(self), 0
+            self.clear()
+        self.held += size
+        self[fragment] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes with one tokenizer file; not shared between processes."""
 
@@ -97,8 +129,7 @@ class Codec:
         self.cut = forced_cuts([self.bytes_of[i] for t, i in vocab.items() if t not in added]).reshape(-1)
         self.added = {t.encode(): np.array([i], "<u4").tobytes() for t, i in added.items()} if specials else {}
         self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
-        self.memo: dict[bytes, bytes] = {}
-        self.past: dict[bytes, bytes] = {}
+        self.memo = Memo(self.tokenizer.encode)
 
     @classmethod
     def of(cls, path: str, specials: bool = True) -> Codec:
@@ -108,18 +139,29 @@ class Codec:
             cls._own[key] = cls(path, specials)
         return cls._own[key]
 
-    def fragments(self, text: bytes) -> list[bytes]:
-        """Pieces of the text whose ids, put together, are the text's ids."""
-        if not text:
-            return []
+    def parts(self, text: bytes) -> list[bytes]:
+        """The text parted at the strings of added tokens, which stand at odd places."""
         if self.split is not None and any(t in text for t in self.added):
-            out: list[bytes] = []
-            for part in self.split.split(text):
-                out += [part] if part in self.added else self._cut(part)
-            return out
-        return self._cut(text)
+            return self.split.split(text)
+        return [text]
+
+    def pieces(self, text: bytes) -> Iterator[bytes]:
+        """The text in runs of about ``PIECE`` bytes that end at a cut; a run without cuts stays whole."""
+        start, at = 0, PIECE
+        while at < len(text):
+            near = np.frombuffer(text, np.uint8, min(PIECE, len(text) - at) + 1, at - 1)
+            ends = np.flatnonzero(self.cut[(near[:-1].astype(np.uint16) << 8) | near[1:]])
+            if len(ends):
+                end = at + int(ends[0])
+                yield text[start:end]
+                start, at = end, end + PIECE
+            else:
+                at += PIECE
+        if start < len(text):
+            yield text[start:] if start else text
 
-    def _cut(self, text: bytes) -> list[bytes]:
+    def fragments(self, text: bytes) -> list[bytes]:
+        """The text, free of added tokens, at all its cuts: the ids of the fragments put together are the text's."""
         if not text:
             return []
         at = np.frombuffer(text, np.uint8)
@@ -128,35 +170,43 @@ class Codec:
         ends = (np.flatnonzero(self.cut[pairs]) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
+    def encode_one(self, text: bytes) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        known = self.memo.__getitem__
+        out = []
+        for k, part in enumerate(self.parts(text)):
+            if k % 2:
+                out.append(self.added[part])
+            elif len(part) <= PIECE:
+                out += map(known, self.fragments(part))
+            else:
+                out += (b"".join(map(known, self.fragments(piece))) for piece in self.pieces(part))
+        return b"".join(out)
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        k = 0
-        while k < len(texts):
-            size, first = 0, k
-            while k < len(texts) and (k == first or size + len(texts[k]) <= SLICE):
-                size += len(texts[k])
-                k += 1
-            parts = [self.fragments(t) for t in texts[first:k]]
-            if len(self.memo) > MEMO:
-                self.past, self.memo = self.memo, {}
-            memo, past = self.memo, self.past
-            memo.update(self.added)
-            new = []
-            for f in {f for p in parts for f in p if f not in memo}:
-                if f in past:
-                    memo[f] = past[f]
-                else:
-                    new.append(f)
-            encode = self.tokenizer.encode
-            for f in new:
-                memo[f] = array("I", encode(f.decode(), add_special_tokens=False).ids).tobytes()
-            for p in parts:
-                yield b"".join([memo[f] for f in p])
+        """Ids of each text."""
+        return map(self.encode_one, texts)
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        table = self.bytes_of
+        return b"".join([table[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, special tokens included; broken UTF-8 becomes U+FFFD."""
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the decimal ids joined by commas, and of the decoded text."""
+        if len(ids) <= DIGEST:
+            few, dec = ids.tolist(), self.decimal
+            return hashlib.sha256(b"".join([dec[i] for i in few])[:-1]).hexdigest(), hashlib.sha256(self.decode(few).encode()).hexdigest()
+        own, text, dec = hashlib.sha256(), [], self.decimal
+        for k in range(0, len(ids), DIGEST):
+            few = ids[k : k + DIGEST].tolist()
+            joined = b"".join([dec[i] for i in few])
+            own.update(joined if k + DIGEST < len(ids) else joined[:-1])
+            text.append(self.decode_bytes(few))
+        return own.hexdigest(), hashlib.sha256(b"".join(text).decode("utf-8", "replace").encode()).hexdigest()
 
 
 def binary_texts(column: pa.Array) -> list[bytes]:
@@ -179,11 +229,10 @@ def round_trip(path: str):
             for batch in slices(whole):
                 counts, ids_sha, text_sha = [], [], []
                 for raw in codec.encode(binary_texts(batch.column(1))):
-                    ids = np.frombuffer(raw, "<u4").tolist()
+                    ids = np.frombuffer(raw, "<u4")
                     counts.append(len(ids))
-                    dec = codec.decimal
-                    ids_sha.append(hashlib.sha256(b"".join([dec[i] for i in ids])[:-1]).hexdigest())
-                    text_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                    for out, digest in zip((ids_sha, text_sha), codec.digests(ids)):
+                        out.append(digest)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -199,17 +248,3 @@ def encode_decode(docs, path: str | None = None):
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return docs.mapInArrow(round_trip(path or tokenizer_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def encode_column(docs, path: str | None = None):
-    """All columns of ``docs`` and ``ids array<int>`` of its text; a column named ids is replaced."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
-    path = path or tokenizer_path()
-
-    @F.udf(T.ArrayType(T.IntegerType()), useArrow=True)
-    def ids(text):
-        return np.frombuffer(next(Codec.of(path).encode([bytes(text or b"")])), "<u4").tolist()
-
-    return docs.withColumn("ids", ids(F.col("text").cast("binary")))

@@ -36,14 +36,35 @@ def test_random_texts_encode_as_the_library_does(library):
 
 
 def test_memo_generations_do_not_change_ids(library, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 3)
-    monkeypatch.setattr(bpe, "SLICE", 20)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 900)
+    monkeypatch.setattr(bpe, "PIECE", 20)
     codec = bpe.Codec(bpe.tokenizer_path())
-    texts = [f"some words {k % 3} again, and {k}" for k in range(50)]
+    texts = [f"some words {k % 3} again, <|endoftext|> and {k}" + "acgt" * (k % 9) for k in range(50)]
     for text, raw in zip(texts, codec.encode([t.encode() for t in texts])):
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def unbroken(seed=3, size=100_000):
+    """Long runs without white space: digits, letters of DNA, base64, one letter, CJK."""
+    rnd = random.Random(seed)
+    sets = ["0123456789", "ACGT", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "a", "\u6f22\u5b57\u4eee\u540d"]
+    return ["".join(rnd.choices(s, k=size)) for s in sets]
+
+
+def test_long_fragments_leave_the_memo_small(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1 << 20)
+    codec = bpe.Codec(bpe.tokenizer_path())
+    texts = [t for seed in range(3) for t in unbroken(seed)] + ["many words " + " ".join(f"w{k * 7919 % 99991}" for k in range(60_000))]
+    for text in texts:
+        raw = codec.encode_one(text.encode())
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == want
+        assert codec.digests(np.array(want, "<u4")) == (hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest())
+    for generation in (codec.memo, codec.memo.past):
+        assert sum(len(f) + len(i) + bpe._ENTRY for f, i in generation.items()) <= 1 << 20
+        assert max(map(len, generation), default=0) <= bpe.MEMO_FRAGMENT
+
+
 def test_round_trip_query(spark, docs, library):
     want = []
     for r in docs.collect():
@@ -54,13 +75,6 @@ def test_round_trip_query(spark, docs, library):
     assert bpe.encode_decode(docs.limit(0)).count() == 0
 
 
-def test_encode_column_keeps_the_rest(docs, library):
-    out = bpe.encode_column(docs)
-    assert out.columns == docs.columns
-    for r in out.collect():
-        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids
-
-
 @pytest.mark.parametrize("width", [1, 7, 16, 17, 31, 32])
 def test_pack_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64).astype("<u4")
