@@ -8,21 +8,32 @@ distance of two embeddings is at most the number of differing bits. Written in
 unary (0 = 00, 1 = 01, 2 = 11) the 32 counts fill one long, and their Manhattan
 distance is the bit count of an exclusive or.
 
-*Grid.* The segments form 8 blocks. At a Manhattan distance of 4 or less, at
-least 4 of the 8 blocks have equal counts. So each fingerprint goes to the 70
-cells named by 4 blocks and their counts, and every pair to be linked meets in
-one of them. Only distinct fingerprints go there: exact copies are one row.
-
-*Verification.* Within a cell, pairs near by Manhattan distance are checked
-exactly. Links are found by breadth-first search: a fingerprint is compared only
-with those not reached yet, so a dense group costs about its size and emits a
-tree, never all pairs. A cell keeps 8 bytes for a fingerprint.
-
-*Hot cells.* If a cell holds more than ``CELL`` fingerprints, or the search
-makes more than ``WORK`` comparisons, its open fingerprints take another exact
-way: two that differ in 4 bits share a point within 2 bits of both, and two that
-share such a point differ in 4 bits at most; so grouping the 2,081 points around
-each by their least fingerprint links them, in work linear in their number.
+*Grid.* The segments form 6 blocks. At a Manhattan distance of 4 or less at most
+4 of the blocks differ, so at least 2 have equal counts. Each fingerprint goes to
+the 15 cells named by 2 blocks and their counts, and every pair to be linked
+meets in one of them (for a nearer ``near``, more blocks name a cell). Only distinct
+fingerprints go there: exact copies are one row.
+
+*Range join.* The rows of a cell come in the order of their whole bit count, the
+coarsest embedding of all: one segment. Its Manhattan distance bounds that of the
+32 segments from below, so a row meets only the rows whose count is at most
+``near`` above its own, a band found by binary search. Pairs of the band are held
+against the Manhattan distance of the 32 segments, and those left are verified
+exactly. A cell emits no more links than it has rows: where a cell has more pairs than
+rows, a breadth-first search emits a tree instead of them.
+
+*Large cells.* A cell of more than ``SWEEP`` rows is first searched breadth-first for
+dense groups, which costs about their size; what is left is gridded again in
+memory by the counts of the other blocks' segments (7 smaller blocks, 35 cells),
+and each finer cell is joined by range as above. A cell keeps some 50 bytes for a
+fingerprint.
+
+*The rest.* If a cell holds more than ``CELL`` fingerprints, or its search would make
+more than ``WORK`` comparisons, its open fingerprints take another exact way: two
+that differ in ``near`` bits share a point within half of that of both, rounded
+up for one of them. So each is sent to the points around it, at most 2,081, and
+linked there to the least of those at the smaller distance, in work linear in
+their number.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
 other; fewer than four words are one shingle; texts of any length are whole;
@@ -32,7 +43,8 @@ an empty table gives no rows. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -48,13 +60,37 @@ from millrace.llm.components import components
 NEAR = 4
 SHINGLE = 4
 SEED = 42
-CELL = 1 << 20
+CELL = 1 << 22
 WORK = 1 << 31
+#: Rows of a cell that are joined by range at once.
+SWEEP = 512
 _LOW = 0x5555555555555555
-#: Masks of the 70 choices of 4 blocks of 8 bits, as signed longs.
-MASKS = [int(np.uint64(sum(0xFF << 8 * b for b in blocks)).astype(np.int64)) for blocks in combinations(range(8), 4)]
-#: Points within 2 bits of zero.
-AROUND = [0, *(1 << a for a in range(64)), *((1 << a) | (1 << b) for a, b in combinations(range(64), 2))]
+_SEGMENTS = range(32)
+
+
+def blocks(segments: Iterable[int], n: int) -> list[int]:
+    """Masks of n blocks of near equal numbers of two-bit segments."""
+    segments = list(segments)
+    return [sum(3 << 2 * g for g in segments[len(segments) * k // n : len(segments) * (k + 1) // n]) for k in range(n)]
+
+
+def cell_masks(near: int) -> list[int]:
+    """Masks of the blocks that name a cell: as many as are equal at least."""
+    return [sum(c) for c in combinations(blocks(_SEGMENTS, 6), 6 - near)]
+
+
+def finer_masks(mask: int, near: int) -> list[int]:
+    """The same for the segments outside of a mask, in 7 blocks."""
+    return [sum(c) for c in combinations(blocks([g for g in _SEGMENTS if not mask >> 2 * g & 1], 7), 7 - near)]
+
+
+def around(radius: int) -> list[int]:
+    """The points within so many bits of zero."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -100,103 +136,159 @@ def embedded(fp: np.ndarray) -> np.ndarray:
     return low | high | ((low & high) << np.uint64(1))
 
 
-def cell_links(fp: np.ndarray, near: int = NEAR, work: int = WORK) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Tree links (a, b) among distinct fingerprints of a cell, and those that the work did not suffice for."""
+Links = list[tuple[np.ndarray, np.ndarray]]
+
+
+def tree(fp: np.ndarray, near: int = NEAR, work: int = WORK) -> tuple[Links, np.ndarray, int]:
+    """Tree links among distinct fingerprints by breadth-first search, those left open as the work ran out, and the work left."""
     fp = np.sort(fp)
     u = embedded(fp)
-    links: list[tuple[int, int]] = []
+    links: Links = []
     left = np.arange(len(fp))
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        queue, left = deque([int(left[0])]), left[1:]
         while queue and len(left):
+            if work < len(left):
+                return links, fp[np.concatenate([np.array(queue, int), left])], work
             work -= len(left)
-            if work < 0:
-                return links, fp[np.concatenate([np.array(queue, int), left])]
-            at = queue.pop(0)
+            at = queue.popleft()
             maybe = np.bitwise_count(u[left] ^ u[at]) <= near  # Manhattan distance, a lower bound
             maybe[maybe] = np.bitwise_count(fp[left[maybe]] ^ fp[at]) <= near
             found = left[maybe]
             if len(found):
-                links += [(int(fp[k]), int(fp[at])) for k in found]
+                links.append((fp[found], np.full(len(found), fp[at])))
                 queue += found.tolist()
                 left = left[~maybe]
-    return links, fp[:0]
+    return links, fp[:0], work
 
 
-def _cells(near: int, cell: int, work: int):
-    """Function for mapInArrow over (mask, key, fp) in order: links (a, b), or (a, null) for a fingerprint of a hot cell."""
+def range_links(fp: np.ndarray, cell: np.ndarray, near: int = NEAR) -> Links:
+    """Links within cells; rows are in the order of (cell number, bit count)."""
+    u = embedded(fp)
+    place = cell.astype(np.int64) * 128 + np.bitwise_count(fp)
+    ends = np.searchsorted(place, place + near, "right")
+    at, j = np.arange(len(fp)), 0
+    found_a, found_b = [], []
+    while True:
+        j += 1
+        at = at[at + j < ends[at]]
+        if not len(at):
+            break
+        some = at[np.bitwise_count(u[at] ^ u[at + j]) <= near]  # Manhattan distance, a lower bound
+        some = some[np.bitwise_count(fp[some] ^ fp[some + j]) <= near]
+        found_a.append(some)
+        found_b.append(some + j)
+    if not found_a:
+        return []
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    if not len(a):
+        return []
+    dense = np.bincount(cell[a], minlength=cell[-1] + 1) > np.bincount(cell)
+    few = ~dense[cell[a]]
+    out: Links = [(fp[b[few]], fp[a[few]])]
+    for c in np.flatnonzero(dense):
+        out += tree(fp[np.searchsorted(cell, c, "left") : np.searchsorted(cell, c, "right")], near)[0]
+    return out
+
+
+def large_cell(fp: np.ndarray, mask: int, near: int = NEAR, work: int = WORK, sweep: int = SWEEP) -> tuple[Links, np.ndarray]:
+    """Links of a large cell, and the fingerprints that the work did not suffice for."""
+    links, fp, _ = tree(fp, near, min(work, 64 * len(fp)))
+    if not len(fp):
+        return links, fp
+    u, count, open_rows = embedded(fp), np.bitwise_count(fp), []
+    for finer in finer_masks(mask, near):
+        key = u & np.uint64(finer)
+        order = np.lexsort((count, key))
+        cell = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
+        sizes = np.bincount(cell)
+        small = sizes[cell] <= sweep
+        links += range_links(fp[order[small]], np.cumsum(np.diff(cell[small], prepend=cell[small][:1]) != 0), near) if small.any() else []
+        for c in np.flatnonzero(sizes > sweep):
+            more, rest, work = tree(fp[order[np.searchsorted(cell, c, "left") : np.searchsorted(cell, c, "right")]], near, work)
+            links += more
+            open_rows.append(rest)
+    return links, np.unique(np.concatenate(open_rows)) if open_rows else fp[:0]
+
+
+def _cells(masks: list[int], near: int, cell: int, work: int, sweep: int):
+    """Function for mapInArrow over (c, key, fp) in order: links (a, b), or (a, null) for a fingerprint that stays open."""
+
+    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        low = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), low], ["a", "b"])
+
+    def emit(links: Links, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in links:
+            if len(a):
+                yield out(a, b)
+        if len(rest):
+            yield out(rest, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # the cell that is open: its fingerprints, or none if it is hot
-        open_cell, held = None, 0
-
-        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            low = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), low], ["a", "b"])
+        kept: list[np.ndarray] = []  # the open cell: its fingerprints so far, none of them if there are too many
+        name, held = None, 0
 
         def close() -> Iterator[pa.RecordBatch]:
             if 1 < held <= cell:
-                links, rest = cell_links(np.concatenate(kept), near, work)
-                if links:
-                    pairs = np.array(links, np.uint64)
-                    yield out(pairs[:, 0].copy(), pairs[:, 1].copy())
-                if len(rest):
-                    yield out(rest, None)
+                fp = np.concatenate(kept)
+                if held <= sweep:
+                    yield from emit(range_links(fp, np.zeros(held, np.int64), near), fp[:0])
+                else:
+                    yield from emit(*large_cell(fp, masks[name[0]], near, work, sweep))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mask, key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            c, key, fp = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             fp = fp.view(np.uint64)
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
-            # Cells of two rows inside the batch, all at once.
-            inner = np.flatnonzero(ends - starts == 2)
-            inner = inner[(inner > 0) & (inner < len(starts) - 1)]
-            a, b = fp[starts[inner]], fp[starts[inner] + 1]
-            near_by = np.bitwise_count(embedded(a) ^ embedded(b)) <= near
-            near_by[near_by] = np.bitwise_count(a[near_by] ^ b[near_by]) <= near
-            if near_by.any():
-                yield out(a[near_by], b[near_by])
-            for k in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts > 2).tolist())):
-                s, e = starts[k], ends[k]
-                if k == 0 and open_cell != (mask[0], key[0]) or k > 0:
+            starts = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (key[1:] != key[:-1])) + 1])
+            ends = np.concatenate([starts[1:], [len(fp)]])
+            sizes = ends - starts
+            # Small cells inside the batch are joined all at once.
+            inner = (sizes > 1) & (sizes <= min(sweep, cell))
+            inner[[0, -1]] = False
+            if inner.any():
+                mine = np.repeat(inner, sizes)
+                yield from emit(range_links(fp[mine], np.repeat(np.arange(int(inner.sum())), sizes[inner]), near), fp[:0])
+            for k in sorted({0, len(starts) - 1} | set(np.flatnonzero(~inner & (sizes > 1)).tolist())):
+                if k > 0 or name != (c[0], key[0]):
                     yield from close()
-                    kept, held, open_cell = [], 0, (mask[s], key[s])
-                if held <= cell < held + e - s:  # too many: hand on what was kept
+                    kept, held, name = [], 0, (int(c[starts[k]]), int(key[starts[k]]))
+                rows = fp[starts[k] : ends[k]]
+                if held <= cell < held + len(rows):  # too many: hand on what was kept
                     for x in kept:
                         yield out(x, None)
                     kept = []
-                held += e - s
+                held += len(rows)
                 if held > cell:
-                    yield out(fp[s:e], None)
+                    yield out(rows, None)
                 else:
-                    kept.append(fp[s:e].copy())
+                    kept.append(rows.copy())
         yield from close()
 
     return run
 
 
-def links(distinct: DataFrame, near: int = NEAR, cell: int = CELL, work: int = WORK) -> DataFrame:
-    """Links (a, b) that join all of the distinct fingerprints fp which differ in ``near`` (4 at most) bits at most."""
-    if near > 4:
-        raise ValueError("the grid finds links of 4 differing bits at most")
+def links(distinct: DataFrame, near: int = NEAR, cell: int = CELL, work: int = WORK, sweep: int = SWEEP) -> DataFrame:
+    """Links (a, b) that join all of the distinct fingerprints fp which differ in ``near`` (1 to 4) bits at most."""
+    if not 1 <= near <= 4:
+        raise ValueError("the grid finds links of 1 to 4 differing bits")
+    masks = cell_masks(near)
     u = embedding(F.col("fp"))
-    masks = F.array(*[F.lit(m) for m in MASKS])
-    cells = distinct.select("fp", u.alias("u")).select("fp", "u", F.explode(masks).alias("mask"))
-    cells = cells.select("mask", F.col("u").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    cells = cells.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    found = settle(cells.mapInArrow(_cells(near, cell, work), "a long, b long").distinct())
-    hot = found.where("b IS NULL").select(F.col("a").alias("fp"))
+    cells = distinct.select("fp", u.alias("u")).select("fp", "u", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("c", "mask"))
+    cells = cells.select("c", F.col("u").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    cells = cells.repartition("c", "key").sortWithinPartitions("c", "key", F.bit_count("fp"))
+    found = settle(cells.mapInArrow(_cells(masks, near, cell, work, sweep), "a long, b long").distinct())
+    rest = found.where("b IS NULL").select(F.col("a").alias("fp"))
     out = found.where("b IS NOT NULL")
-    if hot.isEmpty():
+    if rest.isEmpty():
         return out
-    signed = np.array(AROUND, np.uint64).view(np.int64).tolist() if near > 2 else AROUND[:65]
-    points = hot.select("fp", F.explode(F.array(*[F.lit(m) for m in signed])).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
-    least = points.groupBy("z").agg(F.min("fp").alias("low"))
+    points = rest.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in around((near + 1) // 2)])).alias("m"))
+    points = points.select("fp", F.bit_count("m").alias("bits"), F.col("fp").bitwiseXOR(F.col("m")).alias("z"))
+    least = points.groupBy("z").agg(F.min(F.when(F.col("bits") <= near // 2, F.col("fp"))).alias("low"))
     more = points.join(least, "z").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= near
-    return out.union(more.where(close))
+    return out.union(more)
 
 
 def _members(docs: DataFrame, near: int, hashed: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def classes(fps):
+def classes(fps, near=4):
     """Root index of each by brute force."""
     root = list(range(len(fps)))
 
@@ -29,7 +29,7 @@ def classes(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if (fps[i] ^ fps[j]).bit_count() <= near:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(x) for x in range(len(fps))]
@@ -52,16 +52,22 @@ def test_fingerprint_is_the_stated_one():
         assert simhash.fingerprint((t or "").encode()) == plain(t)
 
 
-def test_distances_in_the_grid():
+@pytest.mark.parametrize("near", [1, 2, 3, 4])
+def test_distances_in_the_grid(near):
     rnd = np.random.default_rng(5)
     a = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64)
     b = a.copy()
-    for _ in range(4):
+    for _ in range(near):
         b ^= np.uint64(1) << rnd.integers(0, 64, 3000, dtype=np.uint64)
     ua, ub = simhash.embedded(a), simhash.embedded(b)
     assert (np.bitwise_count(ua ^ ub) <= np.bitwise_count(a ^ b)).all()
-    masks = np.array(simhash.MASKS, np.int64).view(np.uint64)
-    assert ((ua[:, None] & masks) == (ub[:, None] & masks)).any(1).all()
+    masks = simhash.cell_masks(near)
+    assert len(masks) <= 20
+    same = (ua[:, None] & np.array(masks, np.uint64)) == (ub[:, None] & np.array(masks, np.uint64))
+    assert same.any(1).all()
+    for k in range(50):  # and in a finer grid of the rest
+        finer = np.array(simhash.finer_masks(masks[int(np.flatnonzero(same[k])[0])], near), np.uint64)
+        assert ((ua[k] & finer) == (ub[k] & finer)).any()
 
 
 def test_classes_equal_brute_force(spark):
@@ -78,17 +84,27 @@ def test_classes_equal_brute_force(spark):
     assert sorted(map(tuple, got), key=repr) == want
 
 
-@pytest.mark.parametrize(("cell", "work"), [(1 << 20, 1 << 31), (5, 1 << 31), (1 << 20, 9)])
-def test_hot_cells_lose_no_link(spark, cell, work):
+LIMITS = [(1 << 22, 1 << 31, 512), (1 << 22, 1 << 31, 2), (5, 1 << 31, 512), (1 << 22, 9, 2), (1 << 22, 300, 4)]
+
+
+@pytest.mark.parametrize("near", [1, 2, 3, 4])
+@pytest.mark.parametrize(("cell", "work", "sweep"), LIMITS)
+def test_hot_cells_lose_no_link(spark, near, cell, work, sweep):
     rnd = random.Random(4)
     centre = [rnd.getrandbits(64) for _ in range(3)]
-    fps = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(5))) for c in centre for _ in range(30)}
-    signed = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
-    df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {r.node: r.root for r in components.components(simhash.links(df, cell=cell, work=work)).collect()}
-    root = classes(signed)
+    fps = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(near + 1))) for c in centre for _ in range(30)}
+    fps |= {rnd.getrandbits(64) for _ in range(20)}
+    walk = rnd.getrandbits(64)
+    for _ in range(12):  # a chain of links at the greatest distance
+        walk ^= sum(1 << b for b in rnd.sample(range(64), near))
+        fps.add(walk)
+    values = sorted(simhash.signed(f) for f in fps)
+    df = spark.createDataFrame([(f,) for f in values], "fp long")
+    found = simhash.links(df, near, cell, work, sweep)
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= near for a, b in found.collect())
+    got = {r.node: r.root for r in components.components(found).collect()}
     groups = {}
-    for f, r in zip(signed, root):
+    for f, r in zip(values, classes([f & (1 << 64) - 1 for f in values], near)):
         groups.setdefault(r, []).append(f)
     for members in groups.values():
         if len(members) > 1:
@@ -97,6 +113,47 @@ def test_hot_cells_lose_no_link(spark, cell, work):
             assert members[0] not in got
 
 
+@pytest.mark.parametrize("sweep", [512, 40])
+def test_large_cells_without_spark(sweep):
+    """Thousands of fingerprints that share two blocks, dense groups among them."""
+    rnd = np.random.default_rng(8)
+    mask = simhash.cell_masks(4)[3]
+    fp = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64) & ~np.uint64(mask)
+    fp |= np.uint64(0x5555555555555555 & mask)
+    for _ in range(3):
+        other = fp[:1500] ^ (np.uint64(1) << rnd.integers(0, 64, 1500, dtype=np.uint64))
+        fp = np.unique(np.concatenate([fp, other[((other ^ fp[:1500]) & np.uint64(mask)) == 0]]))
+    links, rest = simhash.large_cell(fp, mask, 4, sweep=sweep)
+    assert not len(rest) and sum(len(a) for a, _ in links) < 40 * len(fp)
+    root = {int(f): int(f) for f in fp}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        assert (np.bitwise_count(a ^ b) <= 4).all()
+        for x, y in zip(a.tolist(), b.tolist()):
+            root[find(x)] = find(y)
+    for k in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp[k + 1 :] ^ fp[k]) <= 4):
+            assert find(int(fp[k])) == find(int(fp[k + 1 + j]))
+
+
+def test_a_hub_of_many_links(spark):
+    edges = spark.range(1, 50_000).selectExpr("id AS a", "0L AS b").union(spark.range(1, 50_000).selectExpr("id AS a", "id + 100000 AS b"))
+    out = components.components(edges)
+    assert out.count() == 99_999 and out.where("root <> 0").count() == 0
+
+
+def test_refused_distances(spark):
+    for near in (0, 5):
+        with pytest.raises(ValueError, match="1 to 4"):
+            simhash.links(spark.createDataFrame([(1,)], "fp long"), near)
+
+
 def test_components_of_a_path_and_of_nothing(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(99, 98), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.components(path).collect()}
