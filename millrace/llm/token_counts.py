@@ -9,7 +9,9 @@ separators before it, both from a window over the blocks of its file.
 
 Texts are encoded with the strings of special tokens as ordinary text, so the
 separator stands only behind documents. A sidecar file carries the doc_ids in
-the same order; it holds no lengths or places.
+the same order; it holds no lengths or places. A task writes both files into a
+folder of its own attempt and renames that folder once, so the two always come
+from one attempt; an attempt that finds the name taken drops its own.
 
 Defined results: a null or empty text counts zero ids; repeated rows count each
 for itself; an empty table gives no rows; a null doc_id stays null.
@@ -31,6 +33,8 @@ from millrace.llm.common import filesystem, fresh_dir
 #: Ids in a block of the scan.
 BLOCK = 1 << 20
 END = 50256
+#: Tasks of the scan for each core, however many blocks there are.
+SCAN_TASKS = 4
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -41,9 +45,10 @@ def _flat(folder: str, path: str, end_id: int, kind: str):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        codec, part, n, docs = Codec.of(path, specials=False), task.partitionId(), 0, 0
+        codec, part = Codec.of(path, specials=False), task.partitionId()
         fs, at = filesystem(folder)
-        own = f"{at}/.{part:07d}-{task.taskAttemptId()}"
+        name = f"flat-{part:07d}"
+        own = f"{at}/.{name}-{task.taskAttemptId()}"
         end = np.array([end_id], kind).tobytes()
         sink = side = None
         for whole in batches:
@@ -51,26 +56,33 @@ def _flat(folder: str, path: str, end_id: int, kind: str):
                 if not batch.num_rows:
                     continue
                 if sink is None:
-                    fs.create_dir(at, recursive=True)
-                    sink, side = fs.open_output_stream(own + ".tok"), fs.open_output_stream(own + ".doc")
+                    fs.create_dir(own, recursive=True)
+                    sink, side = fs.open_output_stream(f"{own}/tok"), fs.open_output_stream(f"{own}/doc")
                 for raw in codec.encode(binary_texts(batch.column(1))):
-                    data = np.frombuffer(raw, "<u4").astype(kind).tobytes() + end
-                    sink.write(data)
-                    n += len(data)
-                ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
-                side.write(ids.astype("<i8").tobytes())
-                docs += len(ids)
+                    sink.write(np.frombuffer(raw, "<u4").astype(kind).tobytes() + end)
+                side.write(batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
         if sink is not None:
             sink.close()
             side.close()
-            name = f"flat-{part:07d}"
-            fs.move(own + ".doc", f"{at}/{name}.doc")
-            fs.move(own + ".tok", f"{at}/{name}.tok")
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n // np.dtype(kind).itemsize], pa.int64())], ["file", "n_ids"])
+            commit(fs, own, f"{at}/{name}")
+            size = fs.get_file_info(f"{at}/{name}/tok").size
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size // np.dtype(kind).itemsize], pa.int64())], ["file", "n_ids"])
 
     return run
 
 
+def commit(fs, own: str, name: str) -> None:
+    """Rename a folder to its final name, or drop it where another attempt was first."""
+    try:
+        if fs.get_file_info(f"{name}/tok").is_file:
+            raise FileExistsError(name)
+        fs.move(own, name)
+    except OSError:
+        if not fs.get_file_info(f"{name}/tok").is_file:
+            raise
+        fs.delete_dir(own)
+
+
 def kind_of(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -88,7 +100,7 @@ def _scan(folder: str, end_id: int, kind: str):
         wide = np.dtype(kind).itemsize
         for batch in batches:
             for file, block, start, count in zip(*(c.to_pylist() for c in batch.columns)):
-                with fs.open_input_file(f"{at}/{file}.tok") as source:
+                with fs.open_input_file(f"{at}/{file}/tok") as source:
                     source.seek(start * wide)
                     ids = np.frombuffer(source.read(count * wide), kind)
                 ends = np.flatnonzero(ids == end_id) + start
@@ -104,7 +116,7 @@ def _stitched(folder: str):
             for file, ends, last, before in zip(*(c.to_pylist() for c in batch.columns)):
                 if not ends:
                     continue
-                with fs.open_input_file(f"{at}/{file}.doc") as source:
+                with fs.open_input_file(f"{at}/{file}/doc") as source:
                     source.seek(8 * before)
                     ids = np.frombuffer(source.read(8 * len(ends)), "<i8")
                 ends = np.array(ends, np.int64)
@@ -120,8 +132,9 @@ def count(spark: SparkSession, folder: str, files: list[tuple[str, int]], end_id
     places = F.expr(f"explode(sequence(0L, (n_ids - 1) div {block}))")
     blocks = names.filter("n_ids > 0").select("file", places.alias("block"), "n_ids")
     blocks = blocks.select("file", "block", (F.col("block") * block).alias("start"), F.least(F.lit(block).cast("long"), F.col("n_ids") - F.col("block") * block).alias("count"))
+    tasks = SCAN_TASKS * spark.sparkContext.defaultParallelism
     if files:
-        blocks = blocks.repartition(max(1, sum((n + block - 1) // block for _, n in files)), "file", "block")
+        blocks = blocks.repartition(max(1, min(tasks, sum((n + block - 1) // block for _, n in files))), "file", "block")
     found = blocks.mapInArrow(_scan(folder, end_id, kind), "file string, block long, ends array<long>")
     so_far = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     last = F.last(F.when(F.size("ends") > 0, F.element_at("ends", -1)), ignorenulls=True).over(so_far)

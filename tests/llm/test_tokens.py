@@ -114,3 +114,35 @@ def test_counts_from_flat_files(spark, docs, block):
 
 def test_counts_of_no_documents(docs):
     assert token_counts.write_and_count(docs.limit(0)).count() == 0
+
+
+def test_many_blocks_take_a_fixed_number_of_tasks(spark, docs):
+    from millrace.llm.common import fresh_dir
+
+    folder = fresh_dir(spark, "flat-test")
+    files = token_counts.write_flat(docs.repartition(2), folder)
+    got = token_counts.count(spark, folder, files, block=64)
+    seen = []
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    assert got.count() == docs.count()
+    tracker = spark.sparkContext.statusTracker()
+    for job in tracker.getJobIdsForGroup("blocks"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            info = tracker.getStageInfo(stage)
+            seen.append(info.numTasks if info else 0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(n for _, n in files) // 64 > 50
+    assert max(seen) <= token_counts.SCAN_TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_a_second_attempt_leaves_the_first_one_whole(tmp_path):
+    from pyarrow import fs
+
+    store = fs.LocalFileSystem()
+    for own, text in (("a", b"first"), ("b", b"second")):
+        store.create_dir(f"{tmp_path}/.{own}")
+        for name in ("tok", "doc"):
+            (tmp_path / f".{own}" / name).write_bytes(text)
+        token_counts.commit(store, f"{tmp_path}/.{own}", f"{tmp_path}/flat")
+    assert {(tmp_path / "flat" / n).read_bytes() for n in ("tok", "doc")} == {b"first"}
+    assert not (tmp_path / ".b").exists()
