@@ -50,18 +50,23 @@ def interval(left: DataFrame, right: DataFrame, by: Column, left_ts: Column, rig
 
     Times are cut into buckets of the window's width and the left side is sent to
     each bucket it reaches (three at most), so the join is an equi-join on key and
-    bucket instead of a range join.
+    bucket instead of a range join. ``how`` is inner or left.
+
+    Left: the buckets of a left row are joined as an outer join, and a count over
+    the row's content says whether any of them has a partner. Rows of the same
+    content have the same partners, so repeated rows and nulls in any column are
+    no matter: a row without partner comes once for each time it stands on the left.
     """
     width = max(1, before + after)
-    a = left.withColumn("_b", F.explode(F.sequence(F.floor((left_ts - before) / width), F.floor((left_ts + after) / width))))
+    first, last = F.floor((left_ts - before) / width), F.floor((left_ts + after) / width)
     b = right.withColumn("_c", F.floor(right_ts / width))
     on = by & (F.col("_b") == F.col("_c")) & right_ts.between(left_ts - before, left_ts + after)
     if how == "inner":
-        return a.join(b, on).drop("_b", "_c")
-    matched = a.join(b, on).drop("_b", "_c")
-    keys = left.columns
-    lonely = left.join(matched.select(*keys).distinct(), keys, "left_anti")
-    return matched.unionByName(lonely, allowMissingColumns=True)
+        return left.withColumn("_b", F.explode(F.sequence(first, last))).join(b, on).drop("_b", "_c")
+    a = left.withColumn("_home", F.coalesce(first, F.lit(0))).withColumn("_b", F.explode(F.coalesce(F.sequence(first, last), F.array(F.lit(0).cast("long")))))
+    out = a.join(b.withColumn("_hit", F.lit(1)), on, "left")
+    partners = F.count("_hit").over(W.partitionBy(*left.columns))
+    return out.withColumn("_n", partners).where("_hit = 1 OR (_n = 0 AND _b = _home)").drop("_b", "_c", "_home", "_hit", "_n")
 
 
 @query("asof_join", """
@@ -92,3 +97,15 @@ def interval_left_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = e.where("event_type = 'purchase'").select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("us").alias("ta"))
     b = e.where("event_type = 'view'").select(F.col("event_id").alias("b"), F.col("user_id").alias("ub"), F.col("us").alias("tb"))
     return interval(a, b, F.col("ua") == F.col("ub"), F.col("ta"), F.col("tb"), 600_000_000, 0, "left").select("a", "b")
+
+
+@query("interval_left_join_nulls", """
+WITH a AS (SELECT nullif(event_id % 3, 0) AS a, nullif(user_id % 4, 1) AS ua, CASE WHEN event_id % 11 > 0 THEN epoch_us(ts) // 600000000 END AS ta FROM events WHERE event_type = 'purchase'),
+b AS (SELECT event_id AS b, user_id AS ub, epoch_us(ts) // 600000000 AS tb FROM events WHERE event_type = 'view')
+SELECT a, ua, ta, b FROM a LEFT JOIN b ON ua = ub AND tb BETWEEN ta - 30 AND ta + 6""")
+def interval_left_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left rows with nulls in every column, in key and time too, many of them repeated."""
+    e = views(spark, sf_dir, "events").sql("SELECT event_id, user_id, event_type, unix_micros(CAST(ts AS TIMESTAMP)) div 600000000 AS t FROM events")
+    a = e.where("event_type = 'purchase'").selectExpr("nullif(event_id % 3, 0) AS a", "nullif(user_id % 4, 1) AS ua", "CASE WHEN event_id % 11 > 0 THEN t END AS ta")
+    b = e.where("event_type = 'view'").selectExpr("event_id AS b", "user_id AS ub", "t AS tb")
+    return interval(a, b, F.col("ua") == F.col("ub"), F.col("ta"), F.col("tb"), 30, 6, "left").select("a", "ua", "ta", "b")
