@@ -46,8 +46,8 @@ sql("is_json", "SELECT x, try_parse_json(x) IS NOT NULL AS ok, coalesce(schema_o
     "SELECT x, json_valid(x) AS ok, CASE WHEN json_valid(x) THEN json_type(x) = 'OBJECT' ELSE false END AS o FROM (VALUES ('{\"a\": 1}'), ('[1]'), ('no'), ('3')) AS v(x)")
 sql("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "same")
 sql("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "same")
-sql("order_by_nulls", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x, k LIMIT 20", "same")
-sql("order_by_desc_nulls", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x DESC, k LIMIT 20", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x DESC NULLS FIRST, k LIMIT 20")
+sql("order_by_nulls", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x, k", "same")
+sql("order_by_desc_nulls", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x DESC, k", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x DESC NULLS FIRST, k")
 sql("order_by_ordinal_alias", "SELECT n_name AS a, n_regionkey AS b FROM nation ORDER BY 2 DESC, a LIMIT 7", "same")
 sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5 + 5 OFFSET 3", "same")
 sql("limit_subquery", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= (SELECT count(*) FROM region)", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) FROM region)")
