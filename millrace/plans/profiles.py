@@ -73,9 +73,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).groupBy("brand", (F.floor(F.col("ts") / 100) * 100).alias("step")).agg(F.sum("value").alias("total"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("profile_heatmap", "SELECT floor((p_partkey - 0) * 10 / 1000.0)::BIGINT AS x, least(4, floor(p_size * 5 / 50.0))::BIGINT AS y, count(*) AS n FROM part WHERE p_partkey < 1000 GROUP BY ALL")
+@query("profile_heatmap", "WITH r AS (SELECT min(p_partkey) AS a, max(p_partkey) + 1 AS z FROM part) SELECT floor((p_partkey - a)::DOUBLE * 10 / (z - a))::BIGINT AS x, least(4, floor(p_size * 5 / 50.0))::BIGINT AS y, count(*) AS n FROM part, r GROUP BY ALL")
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heatmap(parts(spark, sf_dir), 0, 1000, 10, 5, 0, 50)
+    """All samples, from the oldest to the newest."""
+    p = parts(spark, sf_dir)
+    return heatmap(p, *whole_range(p), 10, 5, 0, 50)
 
 
 @query("profile_label_values", "SELECT DISTINCT p_brand AS brand FROM part")
@@ -106,13 +108,20 @@ def stats(samples: DataFrame) -> DataFrame:
     return samples.agg((F.count("*") > 0).alias("data"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
 
 
+def whole_range(samples: DataFrame) -> tuple[int, int]:
+    """The times [start, end) that hold all samples; an empty one if there are none."""
+    known = stats(samples).first()
+    return (known.oldest, known.newest + 1) if known.data else (0, 1)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).withColumn("labels", F.create_map(F.lit("brand"), "brand", F.lit("kind"), F.get("stack", F.lit(0))))
 
 
-@query("profile_select", "SELECT p_partkey AS ts, p_size::BIGINT AS value FROM part WHERE p_brand LIKE 'Brand#1%' AND string_split(p_type, ' ')[1] <> 'SMALL' AND p_partkey >= 50 AND p_partkey < 150")
+@query("profile_select", "SELECT p_partkey AS ts, p_size::BIGINT AS value FROM part WHERE p_brand LIKE 'Brand#1%' AND string_split(p_type, ' ')[1] <> 'SMALL'")
 def profile_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(labelled(spark, sf_dir), '{brand=~"Brand#1.*", kind!="SMALL", none=""}', 50, 150).select("ts", "value")
+    p = labelled(spark, sf_dir)
+    return select(p, '{brand=~"Brand#1.*", kind!="SMALL", none=""}', *whole_range(p)).select("ts", "value")
 
 
 @query("profile_stats", "SELECT count(*) > 0 AS data, min(p_partkey) AS oldest, max(p_partkey) AS newest FROM part")
