@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from millrace.plans.promql import Engine
 from millrace.registry import query, views
 
-START, END, STEP = 1_704_240_000_000, 1_705_104_000_000, 21_600_000
+#: 2024-01-01 to 2024-02-01 in steps of six hours: with a day of lookback every row of ``events`` takes part.
+START, END, STEP = 1_704_067_200_000, 1_706_745_600_000, 21_600_000
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,8 @@ metric("ts_of_max_over_time", "ts_of_max_over_time(v[1d])", _BOTH, _over("max(ts
 metric("instant_selector", 'v{event_type="click"}', _BOTH, _over("arg_max(value, ts)", 300_000, "event_type = 'click'"))
 metric("matchers", 'sum_over_time(v{event_type=~"click|view",u!~"[3-9]",u!="1",none=""}[12h])', _BOTH, _over("sum(value)", 43_200_000, "event_type IN ('click', 'view') AND u IN ('0', '2')"))
 metric("offset", "sum_over_time(v[1d] offset 6h)", _BOTH, _over("sum(value)", offset=21_600_000))
-metric("at_start", "sum_over_time(v[1d] @ start())", _BOTH, f"WITH {_S}, {_G} SELECT step, event_type, u, round(sum(value), 6) AS value FROM g CROSS JOIN s WHERE ts > {START - 86_400_000} AND ts <= {START} GROUP BY ALL")
+metric("at_start", "sum_over_time(v[1d] @ start() offset -1d)", _BOTH, f"WITH {_S}, {_G} SELECT step, event_type, u, round(sum(value), 6) AS value FROM g CROSS JOIN s WHERE ts > {START} AND ts <= {START + 86_400_000} GROUP BY ALL")
+metric("at_end", "max_over_time(v[30d] @ end())", _BOTH, f"WITH {_S}, {_G} SELECT step, event_type, u, round(max(value), 6) AS value FROM g CROSS JOIN s WHERE ts > {END - 30 * 86_400_000} AND ts <= {END} GROUP BY ALL")
 metric("duration_expression", "count_over_time(v[6h+30m*2])", _BOTH, _over("count(*)::DOUBLE", 25_200_000))
 metric("subquery", "max_over_time(sum_over_time(v[6h])[1d:6h])", _BOTH, f"""WITH {_S}, q AS (SELECT unnest(generate_series({START - 86_400_000}::BIGINT, {END}::BIGINT, {STEP}::BIGINT)) AS t), i AS (SELECT t, event_type, u, sum(value) AS value FROM q JOIN s ON s.ts > t - 21600000 AND s.ts <= t GROUP BY ALL), {_G}
 SELECT step, event_type, u, round(max(value), 6) AS value FROM g JOIN i ON i.t > step - 86400000 AND i.t <= step GROUP BY ALL""")

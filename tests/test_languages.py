@@ -201,3 +201,22 @@ def test_histogram_quantiles_are_labelled(spark):
     got = {dict(k)["q"]: v for k, _, v in metric(spark, rows, 'histogram_quantiles(b, "q", 0.4, 0.95)', 0, 0)}
     assert got == {"0.4": pytest.approx(1.5), "0.95": 4.0}
     assert metric(spark, rows, "histogram_fraction(1, 2, b)", 0, 0)[0][2] == pytest.approx(0.4)
+
+
+def test_interval_left_join_with_nulls_and_repeated_rows(spark):
+    from millrace.operators.joins import interval
+
+    left = spark.createDataFrame([(1, 10, None), (1, 10, None), (2, 10, "x"), (2, 10, "x"), (None, 10, None), (1, None, None), (1, 90, "far")], "k int, t int, extra string")
+    right = spark.createDataFrame([(1, 11), (1, 14), (None, 10), (1, None)], "j int, s int")
+    got = interval(left, right, F.col("k") == F.col("j"), F.col("t"), F.col("s"), 2, 5, "left").collect()
+    pairs = [(1, 10, None, 1, 11), (1, 10, None, 1, 14)] * 2
+    lonely = [(2, 10, "x", None, None)] * 2 + [(None, 10, None, None, None), (1, None, None, None, None), (1, 90, "far", None, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(pairs + lonely, key=repr)
+
+
+def test_the_range_of_metric_queries_holds_all_events(spark):
+    from millrace.plans.metric_queries import END, START
+
+    for sf in ("sf0.001", "sf0.01"):
+        t = spark.read.parquet(f"/root/testdata/{sf}/events.parquet").selectExpr("min(unix_millis(CAST(ts AS TIMESTAMP))) AS a", "max(unix_millis(CAST(ts AS TIMESTAMP))) AS z").first()
+        assert START < t.a and t.z <= END
