@@ -9,6 +9,11 @@ is decided when its count is within its tolerance, or when its bracket holds one
 row or one key. A bracket of one hash (a group of copies larger than the tolerance) is
 refined by doc_id inside it, so a hot group is cut as well.
 
+Rows of equal text and doc_id are one key. If such a key outweighs the tolerance
+of a cut that falls into it (a hot group without doc_ids, say), the rows are
+written once to the shared folder with a number each, and the key's second part
+becomes a hash of doc_id and number, which any cut can part.
+
 Besides the cuts between shards, looser cuts split every shard into parts of
 ``PART_BYTES`` at most, so that no task sorts a whole shard. Then the rows are
 exchanged once, each to its part, and sorted there; the first slot of a part is
@@ -18,9 +23,10 @@ The histogram runs over a narrow table (hash, doc_id, size) written to the
 shared folder. What comes to the driver is one row for each probe.
 
 Defined results: a null text has size 1 and the checksum of the empty text; a
-null doc_id stands first in its group; rows of equal text and doc_id are one key,
-are never parted, and have slots in no particular order; an empty table gives no
-rows; a document larger than the tolerance shifts the cut to one of its sides.
+null doc_id stands first in its group; rows of equal text and doc_id have slots
+in no particular order, and where they had to be numbered so has their text's
+whole group; an empty table gives no rows; a document larger than the tolerance
+shifts the cut to one of its sides.
 """
 
 from __future__ import annotations
@@ -106,11 +112,12 @@ def _between(low: Key, high: Key, n: int) -> list[Key]:
     return [k for k in dict.fromkeys(inner) if low < k < high]
 
 
-def splitters(keys: DataFrame, targets: list[tuple[int, float]], total: tuple[int, int]) -> list[tuple[Key, int, int]]:
-    """(key, bytes below, rows below) for each target (bytes below, tolerance)."""
+def splitters(keys: DataFrame, targets: list[tuple[int, float]], total: tuple[int, int]) -> tuple[list[tuple[Key, int, int]], bool]:
+    """(key, bytes below, rows below) for each target (bytes below, tolerance), and whether one lies in a key of many rows."""
     low: list[tuple[Key, int, int]] = [((_LOW, _LOW), 0, 0) for _ in targets]
     high: list[tuple[Key, int, int]] = [((_HIGH, _HIGH), *total) for _ in targets]
     found: list[tuple[Key, int, int] | None] = [None] * len(targets)
+    tied = False
     while any(f is None for f in found):
         asked: dict[int, list[Key]] = {}
         for k, f in enumerate(found):
@@ -120,6 +127,7 @@ def splitters(keys: DataFrame, targets: list[tuple[int, float]], total: tuple[in
                     asked[k] = inner
                 else:
                     found[k] = min(low[k], high[k], key=lambda x: abs(x[1] - targets[k][0]))
+                    tied |= abs(found[k][1] - targets[k][0]) > targets[k][1] and high[k][2] - low[k][2] > 1
         if not asked:
             break
         probes = sorted({p for x in asked.values() for p in x})
@@ -135,7 +143,7 @@ def splitters(keys: DataFrame, targets: list[tuple[int, float]], total: tuple[in
             best = min(low[k], high[k], key=lambda x: abs(x[1] - want))
             if abs(best[1] - want) <= slack or low[k][1] == high[k][1] or high[k][2] - low[k][2] <= 1:
                 found[k] = best
-    return found
+    return found, tied
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -144,13 +152,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, part_bytes: int = PART_BYTES) -
     The rows come out ordered in parts, so writing them partitioned by shard
     gives one sorted file for each part.
     """
+    docs = docs.drop("size", "shard", "slot")
+    names = docs.columns
+    salt, at_h, at_d, at_p = (_free(names, x) for x in ("_salt", "_h", "_d", "_p"))
     h, d = key_of(F.col("text"), F.col("doc_id"))
     keys = stored(docs.select(h.alias("h"), d.alias("d"), size_of(F.col("text")).alias("size")), "keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     per = max(1, -(-total.bytes // (shards * part_bytes)))
     n = shards * per
     slack = lambda k: TOLERANCE * total.bytes / shards if k % per == 0 else LOOSE * total.bytes / n
-    cuts = splitters(keys, [(total.bytes * k // n, slack(k)) for k in range(1, n)], (total.bytes, total.rows))
+    targets = [(total.bytes * k // n, slack(k)) for k in range(1, n)]
+    cuts, tied = splitters(keys, targets, (total.bytes, total.rows))
+    if tied:
+        docs = stored(docs.withColumn(salt, F.monotonically_increasing_id()), "numbered")
+        d = F.xxhash64(d, F.col(salt))
+        keys = stored(docs.select(h.alias("h"), d.alias("d"), size_of(F.col("text")).alias("size")), "keys")
+        cuts, _ = splitters(keys, targets, (total.bytes, total.rows))
     order = sorted(cuts, key=lambda x: x[0])
     probes = [c[0] for c in order]
     first = np.array([0, *(c[2] for c in order)], np.int64)
@@ -163,9 +180,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, part_bytes: int = PART_BYTES) -
         part = below(probes, h.to_numpy(), d.to_numpy()) if probes else np.zeros(len(h), np.int64)
         return pd.DataFrame({"part": part.astype(np.int32), "base": first[part] - start[part]})
 
-    out = docs.drop("size", "shard", "slot")
-    names = out.columns
-    out = out.select("*", h.alias("_h"), d.alias("_d"), size_of(F.col("text")).alias("size")).withColumn("_p", dealt("_h", "_d"))
-    out = out.repartitionById(n, F.col("_p.part")).sortWithinPartitions("_h", "_d")
+    out = docs.select("*", h.alias(at_h), d.alias(at_d), size_of(F.col("text")).alias("size")).withColumn(at_p, dealt(at_h, at_d))
+    out = out.repartitionById(n, F.col(f"{at_p}.part")).sortWithinPartitions(at_h, at_d)
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return out.select(*names, "size", F.floor(F.col("_p.part") / per).cast("int").alias("shard"), (F.col("_p.base") + own).alias("slot"))
+    return out.select(*names, "size", F.floor(F.col(f"{at_p}.part") / per).cast("int").alias("shard"), (F.col(f"{at_p}.base") + own).alias("slot"))
+
+
+def _free(names: list[str], name: str) -> str:
+    """The name, with as many underscores more as make it new."""
+    while name.lower() in (n.lower() for n in names):
+        name += "_"
+    return name

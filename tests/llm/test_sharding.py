@@ -46,6 +46,22 @@ def test_small_parts_and_repeated_rows(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("doc_id", ["CAST(NULL AS LONG)", "7L"])
+def test_a_hot_group_of_one_key_is_parted(spark, doc_id):
+    hot = spark.range(100_000).selectExpr(f"{doc_id} AS doc_id", "'the same text' AS text", "id AS _h")
+    rest = spark.range(30_000).selectExpr("id AS doc_id", "repeat('t', CAST(id % 40 AS INT)) AS text", "id AS _h")
+    docs = hot.union(rest)
+    out = sharding.shard(docs, part_bytes=60_000)
+    assert out.columns == ["doc_id", "text", "_h", "size", "shard", "slot"]
+    got = out.groupBy("shard").agg(sharding.F.sum("size").alias("b"), sharding.F.count("*").alias("n"), sharding.F.count_distinct("slot").alias("s"), sharding.F.max("slot").alias("m")).collect()
+    total = sum(r.b for r in got)
+    assert len(got) == 16 and sum(r.n for r in got) == 130_000
+    assert max(r.b for r in got) - min(r.b for r in got) <= 0.002 * total / 16 + 2 * 41
+    assert all(r.n == r.s == r.m + 1 for r in got)
+    tasks = out.groupBy(sharding.F.spark_partition_id().alias("p")).agg(sharding.F.sum("size").alias("b")).collect()
+    assert max(r.b for r in tasks) <= 1.3 * 60_000
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a")], [(1, None)], [(k, "same") for k in range(5)]])
 def test_few_rows(spark, rows):
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
