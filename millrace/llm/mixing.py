@@ -16,10 +16,15 @@ centred so that the rates of all sources sum to the same at any time. Its
 integral is ``target * (t + k * (t*t - t))``; inverting that at the words a
 source has given before a document gives the document's position.
 
-Sums before a document come from two levels: words of each of ``BUCKETS`` hash
-buckets of a source, and a window inside a bucket. So a source of any size is
-dealt over thousands of keys, and nothing but rows of (source, bucket) is
-gathered; the sources alone, a row each, are ordered in one task.
+Sums before a document come from two levels: words of each cell of a source, and
+a window inside a cell; nothing but rows of (source, cell) is gathered, and the
+sources alone, a row each, are ordered in one task. Where only figures are asked
+for, the words are counted once, into a narrow table of the shared folder, and
+the cells are Spark's own ranges of it by (source, MD5, size, text, row number), so
+neither a hot source nor a hot doc_id makes a large one. Where whole rows are
+asked for, a cell is one of ``BUCKETS`` ranges of the MD5 and ``SUBS`` of the text's
+hash; if a cell holds over ``HOT`` rows all the same, the rows are alike in id and
+text, and are written once with a number each that parts them further.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source
 is a source; a null doc_id counts as an empty one; rows of equal doc_id are
@@ -37,6 +42,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stored, word_count
 
 BUCKETS = 4096
+SUBS = 16
+#: Rows of a cell that one task orders.
+HOT = 1 << 20
 CAP = 3
 #: The greatest part by which a source's rate rises or falls from its mean.
 SLOPE = 0.5
@@ -76,31 +84,61 @@ def position(words: Column, goal: Column, slope: Column) -> Column:
     return F.when(words <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * y / (fall + F.sqrt(fall * fall + F.lit(4.0) * slope * y)))
 
 
-def planned(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """All columns and size, source_size, target, taken, before (words of the source ahead in a pass), goal, slope."""
-    docs = docs.drop("size", "source_size", "target", "taken", "before", "goal", "slope")
-    key = _order(F.col("doc_id"))
-    bucket = (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int")
-    docs = docs.withColumns({"_key": key, "_bucket": bucket, "size": word_count(F.col("text"))})
-    sums = stored(docs.groupBy("source", "_bucket").agg(F.sum("size").alias("size")), "buckets")
-    ahead = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("source", "_bucket", ahead.alias("_ahead")).join(
-        targets(sums).withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src"))
-    ).drop("_src")
-    sums = sums.withColumnsRenamed({"source": "_src", "_bucket": "_b"})
-    out = docs.join(sums, docs["source"].eqNullSafe(sums["_src"]) & (docs["_bucket"] == sums["_b"])).drop("_src", "_b")
-    inside = W.partitionBy("source", "_bucket").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, -1)
+def _shared_out(rows: DataFrame, sums: DataFrame, cells: list[str], order: list[str]) -> DataFrame:
+    """Rows with source_size, target, goal, slope, before, _full, _rest and taken; ``sums`` has the size of each (source, cells)."""
+    by = W.partitionBy("source").orderBy(*cells).rowsBetween(W.unboundedPreceding, -1)
+    ahead = sums.select("source", *cells, F.coalesce(F.sum("size").over(by), F.lit(0)).alias("_ahead"))
+    ahead = ahead.join(targets(sums).withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    ahead = ahead.withColumnsRenamed({"source": "_src"} | {c: f"{c}_of" for c in cells})
+    on = rows["source"].eqNullSafe(ahead["_src"])
+    for c in cells:
+        on &= rows[c] == ahead[f"{c}_of"]
+    out = rows.join(ahead, on).drop("_src", *[f"{c}_of" for c in cells])
+    inside = W.partitionBy("source", *cells).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = out.withColumn("before", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0)
     out = out.withColumn("_full", full.cast("long"))
     rest = F.col("goal") - F.col("_full") * F.col("source_size") - F.col("before")
     out = out.withColumn("_rest", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest)))
-    return out.withColumn("taken", F.col("_full") * F.col("size") + F.col("_rest")).drop("_key", "_bucket", "_ahead")
+    return out.withColumn("taken", F.col("_full") * F.col("size") + F.col("_rest")).drop("_ahead", *cells)
+
+
+def planned(docs: DataFrame, buckets: int = BUCKETS, hot: int = HOT) -> DataFrame:
+    """All columns and size, source_size, target, taken, before (words of the source ahead in a pass), goal, slope."""
+    docs = docs.drop("size", "source_size", "target", "taken", "before", "goal", "slope")
+    own = F.xxhash64("text")
+    key = _order(F.col("doc_id"))
+    bucket = (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int")
+    cells = {"_bucket": bucket, "_sub": F.pmod(own, F.lit(SUBS)).cast("int"), "_salt": F.lit(0)}
+
+    def keyed(df: DataFrame, salt: Column) -> DataFrame:
+        return df.withColumns(cells | {"_salt": salt, "_key": key, "_own": own, "size": word_count(F.col("text"))})
+
+    def summed(df: DataFrame) -> DataFrame:
+        return stored(df.groupBy("source", *cells).agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "buckets")
+
+    rows = keyed(docs, F.lit(0))
+    sums = summed(rows)
+    if (sums.agg(F.max("rows").alias("n")).first().n or 0) > hot:
+        numbered = stored(docs.withColumn("_nr", F.monotonically_increasing_id()), "numbered")
+        rows = keyed(numbered, F.pmod(F.xxhash64("_nr"), F.lit(SUBS * SUBS)).cast("int")).drop("_nr")
+        sums = summed(rows)
+    return _shared_out(rows, sums, list(cells), ["_key", "_own", "size"]).drop("_key", "_own")
+
+
+def planned_sizes(docs: DataFrame) -> DataFrame:
+    """The figures of ``planned`` for each row, without texts: doc_id, size, source_size, target, taken, before, goal, slope."""
+    narrow = docs.select("doc_id", "source", _order(F.col("doc_id")).alias("_key"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_own"), F.monotonically_increasing_id().alias("_nr"))
+    order = ["_key", "size", "_own", "_nr"]
+    ranges = stored(narrow, "sizes").repartitionByRange("source", *order)
+    ranges = stored(ranges.withColumn("_cell", F.spark_partition_id()), "ranges")
+    sums = stored(ranges.groupBy("source", "_cell").agg(F.sum("size").alias("size")), "buckets")
+    return _shared_out(ranges, sums, ["_cell"], order).drop("_key", "_own", "_nr")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, first_position of each row, sorted by ranges of first_position."""
-    out = planned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")).select("doc_id", "text", "source"))
+    out = planned_sizes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")))
     at = F.when(F.col("taken") > 0, position(F.col("before").cast("double"), F.col("goal").cast("double"), F.col("slope")))
     out = out.select("doc_id", "size", "source_size", "target", "taken", at.alias("first_position"))
     return out.repartitionByRange(F.col("first_position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")

@@ -71,3 +71,26 @@ def test_training_order(spark):
         seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
     assert max(v for k, v in seen.items() if k != 1) <= 3
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.training_order(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", ["CAST(NULL AS LONG)", "7L"])
+def test_a_hot_doc_id_is_dealt_over_tasks(spark, doc_id):
+    hot = spark.range(100_000).selectExpr(f"{doc_id} AS doc_id", "'five words in a text' AS text", "'s' AS source")
+    docs = hot.union(spark.range(2000).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 30 AS INT)) AS text", "IF(id % 2 = 0, 's', NULL) AS source"))
+    both = [mixing.planned_sizes(docs), mixing.planned(docs, hot=5000)]
+    for out in both:
+        rows = out.collect()
+        assert len(rows) == 102_000
+        taken, goal = {}, {}
+        for r in rows:
+            taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+            goal[r.source_size] = r.goal
+        assert taken == goal
+        own = sorted(r.before for r in rows if r.goal == max(goal.values()) and r.size == 5 and r.doc_id in (None, 7))
+        assert len(own) >= 100_000 and len(set(own)) == len(own)
+
+
+def test_figures_with_and_without_texts_agree(spark):
+    df = spark.createDataFrame([r for r in rows_of() if r[0] != 1], "doc_id long, text string, source string, x string")
+    key = lambda r: (str(r.doc_id), r.size, r.source_size, r.target, r.goal)
+    assert sorted(map(key, mixing.planned(df).collect())) == sorted(map(key, mixing.planned_sizes(df).collect()))
