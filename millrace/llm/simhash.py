@@ -64,6 +64,8 @@ CELL = 1 << 22
 WORK = 1 << 31
 #: Rows of a cell that are joined by range at once.
 SWEEP = 512
+#: Pairs that are compared at once, a cell's own at least.
+PAIRS = 1 << 18
 _LOW = 0x5555555555555555
 _SEGMENTS = range(32)
 
@@ -143,23 +145,25 @@ def tree(fp: np.ndarray, near: int = NEAR, work: int = WORK) -> tuple[Links, np.
     """Tree links among distinct fingerprints by breadth-first search, those left open as the work ran out, and the work left."""
     fp = np.sort(fp)
     u = embedded(fp)
-    links: Links = []
-    left = np.arange(len(fp))
+    child, parent = [], []
+    left, queue = np.arange(len(fp)), deque()
     while len(left):
         queue, left = deque([int(left[0])]), left[1:]
-        while queue and len(left):
-            if work < len(left):
-                return links, fp[np.concatenate([np.array(queue, int), left])], work
+        while queue and len(left) and work >= len(left):
             work -= len(left)
             at = queue.popleft()
             maybe = np.bitwise_count(u[left] ^ u[at]) <= near  # Manhattan distance, a lower bound
             maybe[maybe] = np.bitwise_count(fp[left[maybe]] ^ fp[at]) <= near
-            found = left[maybe]
-            if len(found):
-                links.append((fp[found], np.full(len(found), fp[at])))
-                queue += found.tolist()
+            found = left[maybe].tolist()
+            if found:
+                child += found
+                parent += [at] * len(found)
+                queue += found
                 left = left[~maybe]
-    return links, fp[:0], work
+        if queue and len(left):
+            break
+    open_rows = fp[np.concatenate([np.array(queue, int), left])] if len(left) else fp[:0]
+    return [(fp[child], fp[parent])] if child else [], open_rows, work
 
 
 def range_links(fp: np.ndarray, cell: np.ndarray, near: int = NEAR) -> Links:
@@ -167,28 +171,44 @@ def range_links(fp: np.ndarray, cell: np.ndarray, near: int = NEAR) -> Links:
     u = embedded(fp)
     place = cell.astype(np.int64) * 128 + np.bitwise_count(fp)
     ends = np.searchsorted(place, place + near, "right")
-    at, j = np.arange(len(fp)), 0
-    found_a, found_b = [], []
+    starts = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+    stops = np.append(starts[1:], len(fp))
+    pairs = np.cumsum(np.add.reduceat(ends - np.arange(len(fp)) - 1, starts))
+    out: Links = []
+    first = 0
+    while first < len(starts):  # whole cells, so many that their pairs fit a budget
+        done = pairs[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(pairs, done + PAIRS, "right")))
+        a, b = _band(fp, u, ends, int(starts[first]), int(stops[last - 1]), near)
+        if len(a):
+            of = np.searchsorted(starts, a, "right") - 1
+            many = np.bincount(of, minlength=len(starts)) > stops - starts
+            few = ~many[of]
+            out.append((fp[b[few]], fp[a[few]]))
+            for c in np.flatnonzero(many):
+                out += tree(fp[starts[c] : stops[c]], near)[0]
+        first = last
+    return out
+
+
+def _band(fp: np.ndarray, u: np.ndarray, ends: np.ndarray, start: int, stop: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the near pairs of rows start to stop, each with those from it to its band's end."""
+    at, j = np.arange(start, stop), 0
+    low, high = [at[:0]], [at[:0]]
     while True:
         j += 1
         at = at[at + j < ends[at]]
         if not len(at):
-            break
+            return np.concatenate(low), np.concatenate(high)
         some = at[np.bitwise_count(u[at] ^ u[at + j]) <= near]  # Manhattan distance, a lower bound
         some = some[np.bitwise_count(fp[some] ^ fp[some + j]) <= near]
-        found_a.append(some)
-        found_b.append(some + j)
-    if not found_a:
-        return []
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    if not len(a):
-        return []
-    dense = np.bincount(cell[a], minlength=cell[-1] + 1) > np.bincount(cell)
-    few = ~dense[cell[a]]
-    out: Links = [(fp[b[few]], fp[a[few]])]
-    for c in np.flatnonzero(dense):
-        out += tree(fp[np.searchsorted(cell, c, "left") : np.searchsorted(cell, c, "right")], near)[0]
-    return out
+        low.append(some)
+        high.append(some + j)
+
+
+def _unique(links: Links) -> Links:
+    pairs = np.unique(np.stack([np.concatenate(side) for side in zip(*links)], axis=1), axis=0)
+    return [(pairs[:, 0].copy(), pairs[:, 1].copy())]
 
 
 def large_cell(fp: np.ndarray, mask: int, near: int = NEAR, work: int = WORK, sweep: int = SWEEP) -> tuple[Links, np.ndarray]:
@@ -208,6 +228,8 @@ def large_cell(fp: np.ndarray, mask: int, near: int = NEAR, work: int = WORK, sw
             more, rest, work = tree(fp[order[np.searchsorted(cell, c, "left") : np.searchsorted(cell, c, "right")]], near, work)
             links += more
             open_rows.append(rest)
+        if sum(len(a) for a, _ in links) > 4 * len(fp):
+            links = _unique(links)
     return links, np.unique(np.concatenate(open_rows)) if open_rows else fp[:0]
 
 
@@ -219,9 +241,8 @@ def _cells(masks: list[int], near: int, cell: int, work: int, sweep: int):
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), low], ["a", "b"])
 
     def emit(links: Links, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b in links:
-            if len(a):
-                yield out(a, b)
+        if links:
+            yield out(*(np.concatenate(side) for side in zip(*links)))
         if len(rest):
             yield out(rest, None)
 
