@@ -1,9 +1,11 @@
 """The metrics query language on DataFrames.
 
 An expression becomes one DataFrame over (labels, series, step, value); the step
-grid is data, never a loop. A sample is sent to the steps whose window holds it by
-exploding the range of step numbers, so selectors and ranges are an equi-grouping
-by (series, step) with partial aggregation and there is no range join.
+grid is data, never a loop. The borders of all windows cut time into panes, two
+for each step at most. Samples are aggregated by (series, pane), with partial
+aggregation, and a window function rolls the panes of a series up to the steps:
+there is no range join, and what is exchanged does not grow with range / step. Long
+series are cut into chunks of time, so a hot one is dealt over tasks.
 
 ``samples`` has labels (map), ts (ms) and value; a null value is a stale marker.
 A time of day or a number is a column of the step, so scalars cost no join.
@@ -99,8 +101,54 @@ _ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a,
 _COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: (a < b) & ~F.isnan(b), "<=": lambda a, b: (a <= b) & ~F.isnan(b), ">": lambda a, b: (a > b) & ~F.isnan(a), ">=": lambda a, b: (a >= b) & ~F.isnan(a)}
 _value = lambda: F.col("value")
 _numbers = lambda: F.when(~F.isnan("value"), F.col("value"))
-_OVER = {"sum": lambda: F.sum(_value()), "avg": lambda: F.avg(_value()), "count": lambda: F.count("*").cast("double"), "min": lambda: _nan(F.min(_numbers())), "max": lambda: _nan(F.max(_numbers())), "stddev": lambda: F.stddev_pop(_value()), "stdvar": lambda: F.var_pop(_value()), "last": lambda: F.max_by(_value(), F.col("ts")), "first": lambda: F.min_by(_value(), F.col("ts")), "present": lambda: F.lit(1.0),
-         "mad": lambda: F.expr("percentile(value, 0.5)"), "ts_of_first": lambda: F.min("ts") / 1000, "ts_of_last": lambda: F.max("ts") / 1000, "ts_of_min": lambda: F.max_by(F.col("ts"), F.struct(-_value(), F.col("ts"))) / 1000, "ts_of_max": lambda: F.max_by(F.col("ts"), F.struct(_value(), F.col("ts"))) / 1000}
+_point = lambda: F.struct("ts", "value")
+_lowest, _highest = (lambda: F.struct((-_value()).alias("v"), "ts")), (lambda: F.struct(_value().alias("v"), "ts"))
+
+
+def _same(agg, of, then=lambda c: c):
+    """An aggregate of a window that is the same aggregate of its panes'."""
+    return {"_a": agg(of())}, lambda over: then(over(agg("_a")))
+
+
+def _spread_of(then):
+    """Moments of the panes, put together pair by pair so that no digits cancel."""
+    value = lambda p: (p["m2"], p["n"], p["mean"])
+
+    def merged(a, p):
+        (m2, n, mean), (q2, k, other) = value(a), value(p)
+        both = n + k
+        off = other - mean
+        return F.struct((m2 + q2 + off * off * n * k / both).alias("m2"), both.alias("n"), (mean + off * k / both).alias("mean"))
+
+    partial = {"_a": F.struct((F.var_pop(_value()) * F.count(_value())).alias("m2"), F.count(_value()).cast("double").alias("n"), F.avg(_value()).alias("mean"))}
+
+    def final(over):
+        panes = over(F.collect_list("_a"))
+        whole = F.aggregate(F.slice(panes, 2, F.greatest(F.size(panes), F.lit(1))), F.element_at(panes, 1), merged)
+        return then(whole["m2"] / whole["n"])
+
+    return partial, final
+
+
+#: For each function over a range: aggregates of a pane, and of a window over its panes.
+_OVER = {
+    "sum": lambda: _same(F.sum, _value),
+    "avg": lambda: ({"_a": F.sum(_value()), "_n": F.count(_value())}, lambda over: over(F.sum("_a")) / over(F.sum("_n"))),
+    "count": lambda: ({"_a": F.count("*")}, lambda over: over(F.sum("_a")).cast("double")),
+    "min": lambda: _same(F.min, _numbers, _nan),
+    "max": lambda: _same(F.max, _numbers, _nan),
+    "stddev": lambda: _spread_of(F.sqrt),
+    "stdvar": lambda: _spread_of(lambda c: c),
+    "last": lambda: _same(F.max, _point, lambda c: c["value"]),
+    "first": lambda: _same(F.min, _point, lambda c: c["value"]),
+    "present": lambda: ({}, lambda over: F.lit(1.0)),
+    "ts_of_first": lambda: _same(F.min, lambda: F.col("ts"), lambda c: c / 1000),
+    "ts_of_last": lambda: _same(F.max, lambda: F.col("ts"), lambda c: c / 1000),
+    "ts_of_min": lambda: _same(F.max, _lowest, lambda c: c["ts"] / 1000),
+    "ts_of_max": lambda: _same(F.max, _highest, lambda c: c["ts"] / 1000),
+}
+#: Ranges that a chunk of a series holds.
+CHUNK = 16
 
 
 class Engine:
@@ -125,20 +173,48 @@ class Engine:
 
     # leaves
 
-    def _spread(self, df: DataFrame, span: int, offset: int, at) -> DataFrame:
-        """Rows (labels, series, ts, value, step): each sample at every step whose window (t - span, t] holds it."""
+    def _rolled(self, df: DataFrame, span: int, offset: int, at, partial: dict[str, Column], final: dict) -> DataFrame:
+        """labels, series, step, _t and final columns of each window (_t - span, _t] that holds a sample.
+
+        ``partial``: aggregates of samples (ts, value); ``final``: for each name a
+        function of ``over``, which makes an aggregate of partial columns one of the window.
+        """
+        labels = F.first("labels").alias("labels")
+        partial = [c.alias(n) for n, c in partial.items()]
         if at is not None:
             at = {"start": self.start, "end": self.end}.get(at, at)
             t = at - offset
+            df = df.where((F.col("ts") > t - span) & (F.col("ts") <= t)).groupBy("series").agg(labels, *partial)
+            df = df.groupBy("series").agg(labels, *[f(lambda agg: agg).alias(n) for n, f in final.items()])
             steps = F.sequence(F.lit(self.start), F.lit(self.end), F.lit(self.step))
-            return df.where((F.col("ts") > t - span) & (F.col("ts") <= t)).withColumn("_t", F.lit(t)).withColumn("step", F.explode(steps))
-        df = df.where((F.col("ts") > self.start - offset - span) & (F.col("ts") <= self.end - offset))
-        ts = F.col("ts") + offset - self.start
-        first = F.greatest(F.lit(0), F.ceil(ts / self.step)).cast("long")
-        last = F.least(F.lit((self.end - self.start) // self.step), F.floor((ts + span - 1) / self.step)).cast("long")
-        df = df.withColumn("_a", first).withColumn("_b", last).where("_a <= _b")
-        df = df.withColumn("_n", F.explode(F.sequence("_a", "_b"))).withColumn("step", F.col("_n") * self.step + self.start).drop("_a", "_b", "_n")
-        return df.withColumn("_t", F.col("step") - offset)
+            return df.select("labels", "series", F.explode(steps).alias("step"), F.lit(t).alias("_t"), *final)
+        step, start, steps = self.step, self.start, (self.end - self.start) // self.step
+        ts = F.col("ts") + offset
+        df = df.where((ts > start - span) & (ts <= start + steps * step))
+        end = F.ceil((ts - start) / step).cast("long") * step + start
+        cut = end - span % step  # where the windows that end later by a multiple of the step begin
+        pane = F.when(ts <= cut, cut).otherwise(end)
+        panes = df.groupBy("series", pane.alias("_p")).agg(labels, *partial)
+        chunk = step * max(1, -(-CHUNK * span // step))
+        number = lambda c: F.floor((c - start) / chunk)
+        panes = panes.withColumn("_c", F.explode(F.sequence(number(F.col("_p")), number(F.col("_p") + (span - 1)))))
+        # A pane opens the steps up to the next pane, as far as its chunk and the windows that hold it reach.
+        following = F.lead("_p").over(W.partitionBy("series", "_c").orderBy("_p"))
+        nth = F.ceil((F.col("_p") - start) / step).cast("long")
+        low = F.greatest(nth, F.col("_c") * (chunk // step), F.lit(0).cast("long"))
+        high = F.least(F.floor((F.col("_p") + (span - 1) - start) / step).cast("long"), (F.col("_c") + 1) * (chunk // step) - 1, F.lit(steps).cast("long"), F.ceil((following - start) / step).cast("long") - 1)
+        panes = panes.withColumns({"_low": low, "_high": high})
+        hit = (F.col("_low") <= F.col("_high")) & (F.col("_low") * step + start == F.col("_p"))
+        row = lambda q, own, out: F.struct(q.cast("long").alias("q"), own.alias("own"), out.alias("out"))
+        first = F.col("_low") + hit.cast("long")
+        opened = F.when(first <= F.col("_high"), F.sequence(first, F.col("_high")))
+        opened = F.transform(F.coalesce(opened, F.array().cast("array<bigint>")), lambda k: row(k * step + start, F.lit(False), F.lit(True)))
+        rows = panes.withColumn("_r", F.explode(F.concat(F.array(row(F.col("_p"), F.lit(True), hit)), opened)))
+        names = [c for c in panes.columns if c not in ("series", "labels", "_p", "_c", "_low", "_high")]
+        rows = rows.select("series", "labels", "_c", "_r.q", "_r.out", *[F.when(F.col("_r.own"), F.col(n)).alias(n) for n in names])
+        frame = W.partitionBy("series", "_c").orderBy("q").rangeBetween(-(span - 1), 0)
+        rows = rows.select("labels", "series", "q", "out", *[f(lambda agg: agg.over(frame)).alias(n) for n, f in final.items()])
+        return rows.where("out").select("labels", "series", F.col("q").alias("step"), (F.col("q") - offset).alias("_t"), *final)
 
     def _rows(self, x) -> tuple[DataFrame, int, int, object]:
         """Samples of a range selector or subquery, with its span, offset and fixed time."""
@@ -155,9 +231,6 @@ class Engine:
         df = self.samples.where(matches(F.col("labels"), x.matchers)).where("value IS NOT NULL")
         return df.select("labels", series_key(F.col("labels")).alias("series"), "ts", "value"), x.range, x.offset, x.at
 
-    def window(self, x) -> DataFrame:
-        return self._spread(*self._rows(x))
-
     def _vector(self, x: PerStep) -> DataFrame:
         return x.rows.select(F.create_map().cast("map<string,string>").alias("labels"), F.lit("").alias("series"), "step", F.col("s").alias("value"))
 
@@ -170,8 +243,7 @@ class Engine:
         """
         df, span, offset, at = self._rows(x)
         after = self.lookback if x.mode == "smoothed" else 0
-        df = self._spread(df, span + self.lookback + after, offset - after, at)
-        df = df.groupBy("series", "step").agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("all"), (F.first("_t") - after).alias("t"))
+        df = self._rolled(df, span + self.lookback + after, offset - after, at, *self._listed("all")).withColumn("t", F.col("_t") - after)
         low = F.col("t") - span
         before, own, later = F.filter("all", lambda s: s["ts"] <= low), F.filter("all", lambda s: (s["ts"] > low) & (s["ts"] <= F.col("t"))), F.filter("all", lambda s: s["ts"] > F.col("t"))
         df = df.withColumns({"lo": F.try_element_at(before, F.lit(-1)), "w": own, "hi": F.get(later, F.lit(0)), "low": low})
@@ -221,19 +293,24 @@ class Engine:
         if x.mode:
             raise ValueError(f"{x.mode} modifier needs a range and a function over it")
         df = self.samples.where(matches(F.col("labels"), x.matchers)).select("labels", series_key(F.col("labels")).alias("series"), "ts", "value")
-        df = self._spread(df, self.lookback, x.offset, x.at)
-        out = df.groupBy("series", "step").agg(F.first("labels").alias("labels"), F.max_by(F.struct("value"), F.col("ts")).alias("v"), F.max("ts").alias("ts"))
-        return out.select("labels", "series", "step", F.col("v.value").alias("value"), "ts").where("value IS NOT NULL")
+        out = self._rolled(df, self.lookback, x.offset, x.at, {"_a": F.max(_point())}, {"v": lambda over: over(F.max("_a"))})
+        return out.select("labels", "series", "step", F.col("v.value").alias("value"), F.col("v.ts").alias("ts")).where("value IS NOT NULL")
 
-    def over(self, x, value: Column, keep_name: bool = False) -> DataFrame:
+    def over(self, x, name: str, keep_name: bool = False) -> DataFrame:
         if getattr(x, "mode", None):
             raise ValueError(f"{x.mode} modifier can only be used with rates, changes and resets")
-        df = self.window(x).groupBy("series", "step").agg(F.first("labels").alias("labels"), value.alias("value")).where("value IS NOT NULL")
+        partial, final = _OVER[name]()
+        df = self._rolled(*self._rows(x), partial, {"value": final}).drop("_t").where("value IS NOT NULL")
         return df if keep_name else _nameless(df)
 
+    @staticmethod
+    def _listed(name: str) -> tuple[dict, dict]:
+        """Samples of a window in time order, from those of its panes."""
+        return {"_a": F.collect_list(_point())}, {name: lambda over: F.sort_array(F.flatten(over(F.collect_list("_a"))))}
+
     def arrays(self, x) -> DataFrame:
         """w: the window's samples in time order; t: its end."""
-        return self.window(x).groupBy("series", "step").agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("w"), F.first("_t").alias("t"))
+        return self._rolled(*self._rows(x), *self._listed("w")).withColumnRenamed("_t", "t")
 
     # expressions
 
@@ -282,9 +359,10 @@ class Engine:
 
     def over_time(self, name: str, args):
         if name == "quantile":
-            return self.over(args[1], self._quantile(self._const(args[0])))
+            df = self.arrays(args[1])
+            return _nameless(df.withColumn("value", self._quantile_of(F.transform("w", lambda s: s["value"]), self._const(args[0]))).select("labels", "series", "step", "value"))
         if name == "absent":
-            return self.fn_absent(args[0], self.window(args[0]))
+            return self.fn_absent(args[0], self._rolled(*self._rows(args[0]), {}, {}))
         if name == "mad":
             df = self.arrays(args[0])
             med = lambda a: self._median(a)
@@ -292,7 +370,7 @@ class Engine:
             df = df.withColumn("m", m)
             df = df.withColumn("value", med(F.transform("w", lambda s: F.abs(s["value"] - F.col("m")))))
             return _nameless(df.select("labels", "series", "step", "value"))
-        return self.over(args[0], _OVER[name](), keep_name=name in ("last", "first"))
+        return self.over(args[0], name, keep_name=name in ("last", "first"))
 
     @staticmethod
     def _median(a: Column) -> Column:
@@ -300,6 +378,15 @@ class Engine:
         n = F.size(s)
         return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
+    @classmethod
+    def _quantile_of(cls, a: Column, q: float) -> Column:
+        if q < 0 or q > 1 or math.isnan(q):
+            return cls._quantile(q)
+        s = F.sort_array(a)
+        at = (F.size(s) - 1) * F.lit(q)
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        return F.when(low == high, F.get(s, low)).otherwise((high - at) * F.get(s, low) + (at - low) * F.get(s, high))
+
     def _const(self, x) -> float:
         if isinstance(x, P.Binary):
             a, b = self._const(x.left), self._const(x.right)

@@ -220,3 +220,35 @@ def test_the_range_of_metric_queries_holds_all_events(spark):
     for sf in ("sf0.001", "sf0.01"):
         t = spark.read.parquet(f"/root/testdata/{sf}/events.parquet").selectExpr("min(unix_millis(CAST(ts AS TIMESTAMP))) AS a", "max(unix_millis(CAST(ts AS TIMESTAMP))) AS z").first()
         assert START < t.a and t.z <= END
+
+
+@pytest.mark.parametrize("chunk", [1, 16])
+@pytest.mark.parametrize(("step", "span", "offset"), [(7000, 20_000, 0), (7000, 21_000, 0), (7000, 3000, 2000), (5000, 1, 0), (4000, 40_001, -6000), (10_000, 10_000, 0)])
+def test_windows_rolled_from_panes(spark, monkeypatch, chunk, step, span, offset):
+    """Sums, extremes, moments and lists of windows whose ends and widths do not fit the step, with long gaps between samples."""
+    import random
+    import statistics
+
+    monkeypatch.setattr(promql, "CHUNK", chunk)
+    rnd = random.Random(step + span)
+    start, end = 100_000, 300_000
+    samples = [(u, t, rnd.random() * 9) for u in "ab" for t in sorted({rnd.choice([rnd.randrange(50_000, 320_000), rnd.randrange(100, 140) * 1000]) for _ in range(90)}) if not 180_000 < t < 240_000]
+    df = spark.createDataFrame([({"__name__": "v", "u": u}, t, x) for u, t, x in samples], "labels map<string,string>, ts long, value double")
+    engine = promql.Engine(df, start, end, step)
+    x = promql_parser.Selector((("__name__", "=", "v"),), range=span, offset=offset)
+    inside = {}
+    for u, t, v in samples:
+        for q in range(start, end + 1, step):
+            if q - offset - span < t <= q - offset:
+                inside.setdefault((u, q), []).append((t, v))
+    plain = {
+        "sum": lambda w: sum(v for _, v in w), "avg": lambda w: sum(v for _, v in w) / len(w), "count": len, "min": lambda w: min(v for _, v in w), "max": lambda w: max(v for _, v in w),
+        "last": lambda w: max(w)[1], "first": lambda w: min(w)[1], "present": lambda w: 1, "stdvar": lambda w: statistics.pvariance([v for _, v in w]), "ts_of_max": lambda w: max((v, t) for t, v in w)[1] / 1000,
+    }
+    for name in ("sum", "avg", "count", "last", "stdvar", "ts_of_max") if chunk > 1 else plain:
+        got = {(r.labels["u"], r.step): r.value for r in engine.over(x, name).collect()}
+        assert set(got) == set(inside)
+        for k, w in inside.items():
+            assert math.isclose(got[k], plain[name](w), rel_tol=1e-9, abs_tol=1e-9), (name, k)
+    listed = {(r.labels["u"], r.step): [tuple(p) for p in r.w] for r in engine.arrays(x).collect()}
+    assert listed == {k: sorted(w) for k, w in inside.items()}
