@@ -337,8 +337,16 @@ def one_of_each(docs: DataFrame, near: int = NEAR) -> DataFrame:
     text's hash, and each class keeps one.
     """
     found = _members(docs, near, hashed=True)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep"), F.col("hash").alias("_text"), F.col("root").alias("_class")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
-    kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]) & (rows["_hash"] == keep["_text"]))
-    nth = W.partitionBy("_class", "_id", F.when(F.col("_id").isNull(), F.col("_hash"))).orderBy("_hash")
-    return kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").select("_row.*")
+    own = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    # A class keeps its least doc_id with one text, and one row of each text without doc_id.
+    keep = found.where(own).groupBy("root", "doc_id", F.when(F.col("doc_id").isNull(), F.col("hash")).alias("_t")).agg(F.min("hash").alias("hash"))
+    keep = keep.select(*_known(F.col("doc_id"), F.col("hash"))).distinct()
+    rows = docs.select(*_known(F.col("doc_id").cast("long"), F.xxhash64("text")), F.struct(*docs.columns).alias("_row"))
+    # Repeated rows go first, most of them before the exchange; the join then finds its rows in place.
+    nth = F.row_number().over(W.partitionBy("_z", "_i", "_h").orderBy(F.lit(0)))
+    return rows.withColumn("_nth", nth).where("_nth = 1").join(keep, ["_z", "_i", "_h"], "left_semi").select("_row.*")
+
+
+def _known(doc_id: Column, text_hash: Column) -> list[Column]:
+    """What a row is known by: no doc_id at all, the doc_id, and the text."""
+    return [doc_id.isNull().alias("_z"), F.coalesce(doc_id, F.lit(0)).alias("_i"), text_hash.alias("_h")]
