@@ -81,19 +81,19 @@ def regexp_nth(s: Column, pattern: str, nth: int) -> Column:
     return F.get(F.regexp_extract_all(s, F.lit(f"({pattern})")), F.lit(nth - 1))
 
 
-@udf("string")
+@udf("string", "pg_initcap")
 def initcap_(s):
     """Words end at anything but letters and digits (Spark: at blanks)."""
     return None if s is None else re.sub(r"[^\W_]+", lambda m: m[0][0].upper() + m[0][1:].lower(), s)
 
 
-@udf("string")
-def normalize(s, form):
+@udf("string", "normalize")
+def normalize(s, form="NFC"):
     return None if s is None else unicodedata.normalize(form or "NFC", s)
 
 
-@udf("boolean")
-def is_normalized(s, form):
+@udf("boolean", "is_normalized")
+def is_normalized(s, form="NFC"):
     return None if s is None else unicodedata.is_normalized(form or "NFC", s)
 
 
@@ -145,7 +145,7 @@ def format_(pattern, args):
     return re.sub(r"%(?:(\d+)\$)?(-)?(\d+)?([sIL])|%%", put, pattern)
 
 
-@udf("string")
+@udf("string", "pg_size_pretty")
 def size_pretty(n):
     """pg_size_pretty."""
     if n is None:
