@@ -203,20 +203,18 @@ class Pipeline:
 
     @staticmethod
     def _ip(line: Column, want: str) -> Column:
-        @F.udf("boolean", useArrow=True)
-        def hit(s):
-            import ipaddress
-
-            nets = [ipaddress.ip_network(want, strict=False)] if "-" not in want else list(ipaddress.summarize_address_range(*map(ipaddress.ip_address, want.split("-"))))
-            for x in re.findall(r"\b\d{1,3}(?:\.\d{1,3}){3}\b", s or ""):
-                try:
-                    if any(ipaddress.ip_address(x) in n for n in nets):
-                        return True
-                except ValueError:
-                    pass
-            return False
-
-        return hit(line)
+        """The line holds an IPv4 address of an address, a network or a range a-b."""
+        import ipaddress
+
+        if "-" in want:
+            low, high = (int(ipaddress.IPv4Address(x.strip())) for x in want.split("-"))
+        else:
+            net = ipaddress.IPv4Network(want, strict=False)
+            low, high = int(net.network_address), int(net.broadcast_address)
+        octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+        found = F.regexp_extract_all(line, F.lit(r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"), F.lit(1))
+        number = lambda x: F.aggregate(F.split(x, r"\."), F.lit(0).cast("long"), lambda n, o: n * 256 + o.cast("long"))
+        return F.exists(F.filter(found, lambda x: x.rlike(rf"^{octet}(\.{octet}){{3}}$")), lambda x: number(x).between(low, high))
 
     @staticmethod
     def _template(text: str) -> Column:
