@@ -277,3 +277,21 @@ def streamed_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emit on close (suppress until the window closes): one row for each closed window; those still open have none, so it has no twin."""
     out = windows.tumbling(event_stream(spark, sf_dir).withWatermark("ts", "1 hour"), "user_id", "ts", "1 day", F.count("*").alias("n"))
     return _us(runtime.drain(out))
+
+
+@query("streamed_grace_join", """
+WITH c AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'click'), p AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'purchase'),
+l AS (SELECT user_id, max(ms) - 3600000 AS low FROM c GROUP BY ALL)
+SELECT c.user_id::VARCHAR AS k, c.ms, c.event_id::VARCHAR AS v, (SELECT arg_max(p.event_id::VARCHAR, (p.ms, p.event_id::VARCHAR)) FROM p WHERE p.user_id = c.user_id AND p.ms <= c.ms) AS found FROM c JOIN l USING (user_id) WHERE c.ms <= l.low""")
+def streamed_grace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks wait an hour of their user's stream time for the version of a table of purchases."""
+    src = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("k"), F.floor(F.col("us") / 1000).alias("ms"), F.col("event_id").cast("string").alias("v"), "event_type")
+    clicks, purchases = (src.where(F.col("event_type") == t).select("k", "ms", "v") for t in ("click", "purchase"))
+    return runtime.drain(stateful.stream_grace_join(clicks, purchases, "k", "ms", "v", 3_600_000))
+
+
+@query("record_cache", "SELECT user_id, epoch_us(ts) // 3600000000 AS commit, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS updates FROM events GROUP BY ALL")
+def record_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of a key between two commits are one: the last of each hour is forwarded."""
+    e = events(spark, sf_dir)
+    return e.groupBy("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("commit")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("updates"))
