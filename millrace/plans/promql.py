@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from millrace.plans import promql_parser as P
 
 LOOKBACK = 300_000
+#: Labels that tell what a metric is; an operation that makes another metric drops them.
+META = ("__name__", "__type__", "__unit__")
 MAX_POINTS = 11_000
 
 
@@ -71,7 +73,7 @@ def _less(labels: Column, names) -> Column:
 
 
 def _nameless(df: DataFrame) -> DataFrame:
-    return _relabel(df, _less(F.col("labels"), ["__name__"]))
+    return _relabel(df, _less(F.col("labels"), META))
 
 
 def _relabel(df: DataFrame, labels: Column) -> DataFrame:
@@ -154,10 +156,10 @@ CHUNK = 16
 class Engine:
     """Evaluates expressions over samples on the grid start, start + step, ..., end (ms)."""
 
-    def __init__(self, samples: DataFrame, start: int, end: int, step: int, lookback: int = LOOKBACK):
+    def __init__(self, samples: DataFrame, start: int, end: int, step: int, lookback: int = LOOKBACK, max_samples: int | None = None):
         if step <= 0 or (end - start) // step + 1 > MAX_POINTS:
             raise ValueError(f"exceeded maximum resolution of {MAX_POINTS} points per series")
-        self.samples, self.start, self.end, self.step, self.lookback = samples, start, end, step, lookback
+        self.samples, self.start, self.end, self.step, self.lookback, self.max_samples = samples, start, end, step, lookback, max_samples
 
     def query(self, text: str) -> DataFrame:
         """labels, step, value of the expression."""
@@ -181,6 +183,8 @@ class Engine:
         """
         labels = F.first("labels").alias("labels")
         partial = [c.alias(n) for n, c in partial.items()]
+        if self.max_samples is not None and df.where((F.col("ts") > self.start - offset - span) & (F.col("ts") <= self.end - offset)).limit(self.max_samples + 1).count() > self.max_samples:
+            raise ValueError(f"query processing would load more than {self.max_samples} samples")
         if at is not None:
             at = {"start": self.start, "end": self.end}.get(at, at)
             t = at - offset
@@ -538,7 +542,7 @@ class Engine:
         df = self.eval(x).withColumn("le", F.try_element_at("labels", F.lit("le")))
         le = F.when(F.col("le").isin("+Inf", "Inf"), F.lit(float("inf"))).otherwise(F.col("le").try_cast("double"))
         df = df.withColumn("le", le).where("le IS NOT NULL")
-        df = _relabel(df, _less(F.col("labels"), ["le", "__name__"]))
+        df = _relabel(df, _less(F.col("labels"), ["le", *META]))
         df = df.groupBy("series", "step").agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(F.struct("le", "value"))).alias("b"))
         # Counts are made monotonic, then the bucket of the rank is found and interpolated.
         rise = F.aggregate("b", F.struct(F.lit(0.0).alias("m"), F.slice(F.col("b"), 1, 0).alias("out")), lambda acc, e: F.struct(F.greatest(acc["m"], e["value"]).alias("m"), F.concat(acc["out"], F.array(F.struct(e["le"].alias("le"), F.greatest(acc["m"], e["value"]).alias("value")))).alias("out")), lambda acc: acc["out"])
@@ -569,7 +573,7 @@ class Engine:
         df = self.eval(x).withColumn("le", F.try_element_at("labels", F.lit("le")))
         le = F.when(F.col("le").isin("+Inf", "Inf"), F.lit(math.inf)).otherwise(F.col("le").try_cast("double"))
         df = df.withColumn("le", le).where("le IS NOT NULL")
-        df = _relabel(df, _less(F.col("labels"), ["le", "__name__"]))
+        df = _relabel(df, _less(F.col("labels"), ["le", *META]))
         df = df.groupBy("series", "step").agg(F.first("labels").alias("labels"), F.sort_array(F.collect_list(F.struct("le", "value"))).alias("b"))
         df = df.withColumn("total", F.element_at("b", -1)["value"])
 
@@ -596,15 +600,19 @@ class Engine:
 
     # aggregation and binary operators
 
-    def aggregate(self, x: P.Aggregate) -> DataFrame:
+    def grouped(self, x: P.Aggregate) -> DataFrame:
+        """The rows of an aggregate's expression with the labels g of their group, and gk, their text."""
         v = self.eval(x.expr)
         if x.by is not None:
             group = _only(F.col("labels"), x.by)
         elif x.without is not None:
-            group = _less(F.col("labels"), [*x.without, "__name__"])
+            group = _less(F.col("labels"), [*x.without, *META])
         else:
             group = F.create_map().cast("map<string,string>")
-        v = v.withColumn("g", group).withColumn("gk", series_key(F.col("g")))
+        return v.withColumn("g", group).withColumn("gk", series_key(F.col("g")))
+
+    def aggregate(self, x: P.Aggregate) -> DataFrame:
+        v = self.grouped(x)
         op = x.op
         if op in ("topk", "bottomk", "limitk"):
             order = {"topk": [F.isnan("value"), F.col("value").desc()], "bottomk": [F.isnan("value"), F.col("value")], "limitk": [F.xxhash64("series")]}[op]
@@ -651,7 +659,7 @@ class Engine:
                 return _nameless(v.withColumn("value", _ARITHMETIC[x.op](left, right).cast("double")))
             test = _COMPARE[x.op](left, right)
             return _nameless(v.withColumn("value", test.cast("int").cast("double"))) if x.bool_ else v.where(test)
-        match = lambda: _only(F.col("labels"), x.on) if x.on is not None else _less(F.col("labels"), [*(x.ignoring or ()), "__name__"])
+        match = lambda: _only(F.col("labels"), x.on) if x.on is not None else _less(F.col("labels"), [*(x.ignoring or ()), *META])
         a, b = (v.withColumn("m", series_key(match())) for v in (a, b))
         if x.op == "and":
             return a.join(b.select("m", "step").distinct(), ["m", "step"], "left_semi").drop("m")
@@ -670,7 +678,7 @@ class Engine:
         left, right = (F.col("value2"), F.col("value")) if x.group == "group_right" else (F.col("value"), F.col("value2"))
         if x.group:
             extra = _only(F.col("labels2"), x.include) if x.include else F.create_map().cast("map<string,string>")
-            labels = F.map_concat(_less(F.col("labels"), ["__name__", *x.include] if x.op in _ARITHMETIC or x.bool_ else list(x.include)), extra)
+            labels = F.map_concat(_less(F.col("labels"), [*META, *x.include] if x.op in _ARITHMETIC or x.bool_ else list(x.include)), extra)
         elif x.op in _ARITHMETIC or x.bool_:
             labels = match()
         else:

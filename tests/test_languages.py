@@ -252,3 +252,56 @@ def test_windows_rolled_from_panes(spark, monkeypatch, chunk, step, span, offset
             assert math.isclose(got[k], plain[name](w), rel_tol=1e-9, abs_tol=1e-9), (name, k)
     listed = {(r.labels["u"], r.step): [tuple(p) for p in r.w] for r in engine.arrays(x).collect()}
     assert listed == {k: sorted(w) for k, w in inside.items()}
+
+
+def test_parts_of_a_range():
+    from millrace.plans import frontend
+
+    for start, end, step, split in ((0, 100, 7, 30), (13, 13, 5, 10), (5, 1000, 45, 20), (-50, 40, 10, 25)):
+        got = [t for a, z in frontend.parts(start, end, step, split) for t in range(a, z + 1, step)]
+        assert got == list(range(start, end + 1, step))
+        assert all(a // split == z // split for a, z in frontend.parts(start, end, step, split))
+    assert frontend.parts(5, 4, 1, 1) == []
+    with pytest.raises(ValueError, match="positive"):
+        frontend.parts(0, 1, 0, 1)
+    with pytest.raises(ValueError, match="maximum resolution"):
+        frontend.parts(0, 10**9, 1, 10)
+    parse = promql_parser.parse
+    assert frontend.shardable(parse("avg by (a) (rate(v[5m]))")) and frontend.shardable(parse("topk(2, v)"))
+    assert not any(frontend.shardable(parse(t)) for t in ("v", "sum(a / b)", "sum(count by (a) (v))", "quantile(0.5, v)", "sum(histogram_quantile(0.9, v))"))
+
+
+def test_results_are_kept_for_a_while():
+    from millrace.plans import frontend
+
+    now = [0.0]
+    kept = frontend.Results(ttl=10, clock=lambda: now[0])
+    kept.put("k", "path")
+    assert kept.get("k") == "path" and kept.get("other") is None
+    now[0] = 10.0
+    assert kept.get("k") is None and not kept.known
+
+
+def test_rule_groups_fall_due_on_their_own_grid():
+    from millrace.plans.rules import Group
+
+    groups = [Group(f"g{k}", 60_000, ()) for k in range(40)]
+    for g in groups:
+        times = g.due(1_000_000, 1_300_000)
+        assert len(times) == 5 and all(1_000_000 < t <= 1_300_000 and t % 60_000 == g.offset() for t in times)
+        assert sum(g.owned_by(s, 3) for s in (1, 2, 3)) == 1
+    assert len({g.offset() for g in groups}) > 30
+    with pytest.raises(ValueError, match="between 1 and 3"):
+        groups[0].owned_by(4, 3)
+
+
+def test_type_and_unit_go_with_the_name(spark):
+    rows = [({"__name__": "v", "__type__": "counter", "__unit__": "s", "job": "a"}, 60_000, 4.0), ({"__name__": "v", "__type__": "gauge", "__unit__": "s", "job": "b"}, 60_000, 6.0)]
+    df = spark.createDataFrame(rows, "labels map<string,string>, ts long, value double")
+    run = lambda t, **more: sorted(((dict(r.labels), r.value) for r in promql.Engine(df, 60_000, 60_000, 1000, **more).query(t).collect()), key=repr)
+    assert run('v{__type__="counter"}') == [({"__name__": "v", "__type__": "counter", "__unit__": "s", "job": "a"}, 4.0)]
+    assert run("-v") == [({"job": "a"}, -4.0), ({"job": "b"}, -6.0)]
+    assert run('sum({__unit__="s"})') == [({}, 10.0)]
+    with pytest.raises(ValueError, match="more than 1 samples"):
+        run("v", max_samples=1)
+    assert len(promql.Engine(df, 60_000, 60_000, 1000, max_samples=2).query("v").collect()) == 2
