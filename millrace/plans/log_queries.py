@@ -66,7 +66,7 @@ _metric("offset", event_lines, 'count_over_time({event_type=~".+"}[6h] offset 6h
 _metric("unwrap", event_lines, 'sum by (event_type) (sum_over_time({event_type=~".+"} | json | unwrap k [1d]))', _EV, _G.format("sum(k)", 86_400_000, 0))
 _metric("quantile", event_lines, 'quantile_over_time(0.5, {event_type=~".+"} | json | unwrap k [1d])', _EV, _G.format("quantile_cont(k, 0.5)", 86_400_000, 0))
 _metric("vector_aggregation", event_lines, 'sum(count_over_time({event_type=~".+"}[1d]))', (), _G.format("count(*)::DOUBLE", 86_400_000, 0).replace("event_type, round", "round"))
-_metric("binary", event_lines, 'count_over_time({event_type=~".+"}[1d]) / on (event_type) count_over_time({event_type=~".+"}[6h]) > 2', _EV, None)
+_metric("binary", event_lines, 'count_over_time({event_type=~".+"}[1d]) / on (event_type) count_over_time({event_type=~".+"}[6h]) > 2', _EV, "SELECT step, event_type, round(d.value / h.value, 6) AS value FROM (" + _G.format("count(*)::DOUBLE", 86_400_000, 0) + ") d JOIN (" + _G.format("count(*)::DOUBLE", 21_600_000, 0) + ") h USING (step, event_type) WHERE d.value / h.value > 2")
 _metric("duration_unwrap", logfmt_lines, 'max by (event_type) (max_over_time({event_type=~".+"} | logfmt | unwrap duration(took) [1d]))', _EV, _G.format("max(event_id % 50) * 0.001::DOUBLE", 86_400_000, 0))
 
 

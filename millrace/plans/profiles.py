@@ -56,7 +56,8 @@ def flame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree(parts(spark, sf_dir))
 
 
-@query("flame_graph_truncated")
+@query("flame_graph_truncated", f"""WITH {_P}, k AS (SELECT * FROM t ORDER BY total DESC, path LIMIT 20), o AS (SELECT regexp_replace(path, '(^|;)[^;]*$', '') AS parent, depth, total FROM t WHERE path NOT IN (SELECT path FROM k))
+SELECT path, depth, total, self FROM k UNION ALL SELECT CASE WHEN parent = '' THEN 'other' ELSE parent || ';other' END, depth, sum(total)::BIGINT, sum(total)::BIGINT FROM o WHERE parent = '' OR parent IN (SELECT path FROM k) GROUP BY parent, depth""")
 def flame_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree(parts(spark, sf_dir), 20)
 

@@ -87,8 +87,9 @@ for _f in ("sum", "avg", "min", "max"):
     _metric(f"{_f}_over_time", f"{{ }} | {_f}_over_time(duration) by (kind)", "step group value", _M.format("kind", f"{_f}(duration)::DOUBLE", "true"))
 _metric("topk", "{ } | count_over_time() by (name) | topk(1)", "step group value", "SELECT step, \"group\", value FROM (" + _M.format("name", "count(*)::DOUBLE", "true") + ") QUALIFY row_number() OVER (PARTITION BY step ORDER BY value DESC, \"group\") = 1")
 _metric("bottomk", "{ } | count_over_time() by (name) | bottomk(1)", "step group value", "SELECT step, \"group\", value FROM (" + _M.format("name", "count(*)::DOUBLE", "true") + ") QUALIFY row_number() OVER (PARTITION BY step ORDER BY value, \"group\") = 1")
-_metric("quantile_over_time", "{ } | quantile_over_time(duration, 0.5, 0.9)", "step group p value", None)
-_metric("histogram_over_time", "{ } | histogram_over_time(duration)", "step group bucket value", None)
+_Q = [f"SELECT *, '{q}' AS p FROM ({_M.format(chr(39) * 2, f'quantile_cont(duration::DOUBLE, {q})', 'true')})" for q in ("0.5", "0.9")]
+_metric("quantile_over_time", "{ } | quantile_over_time(duration, 0.5, 0.9)", "step group p value", " UNION ALL ".join(_Q))
+_metric("histogram_over_time", "{ } | histogram_over_time(duration)", "step group bucket value", _M.format("''", "count(*)::DOUBLE", "true").replace(' AS "group",', ' AS "group", pow(2.0::DOUBLE, ceil(log2(greatest(duration, 1)))) AS bucket,'))
 
 
 @query("traceql_compare", _S + ", f AS (SELECT status = 'error' AS e, unnest(['name', 'service', 'status', 'n', 'turn']) AS attribute, unnest([name, service, status, n::VARCHAR, turn::VARCHAR]) AS v FROM s) SELECT attribute, v, count(*) FILTER (WHERE e) AS selected, count(*) FILTER (WHERE NOT e) AS baseline FROM f GROUP BY attribute, v QUALIFY row_number() OVER (PARTITION BY attribute ORDER BY selected DESC, baseline DESC, v) <= 5")
