@@ -5,7 +5,9 @@ match must hold. Texts come in blocks; a block is indexed once for the trigrams
 of all rules, a rule's postings are intersected and joined as its query says,
 and the expression runs over the candidates alone. Rules without a mandatory
 trigram run over every text. Index and block live in the task, so the scan is
-map-only and needs memory for one block.
+map-only and needs memory for one block: texts become Python objects a block at
+a time, and the index looks at a stretch of their bytes at a time, so a text
+larger than a block costs a few times its own size and no more.
 
 The base kinds are assign, access and hex; the other rules add spans and take
 none away. Places are code points, ends exclusive. A private key's span runs to
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +69,15 @@ MORE = (
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("pay_key", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("pgp_key", r"-----BEGIN PGP PRIVATE KEY BLOCK-----(?:(?:[^-]|-(?!----))*+-----END PGP PRIVATE KEY BLOCK-----)?"),
+    Rule("project_token", r"gl(?:pat|ptt|dt|rt)-[A-Za-z0-9_-]{20,}"),
+    Rule("package_token", r"npm_[A-Za-z0-9]{36,}"),
+    Rule("index_token", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{40,}"),
+    Rule("mail_key", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("fine_token", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("storage_key", r"AccountKey=[A-Za-z0-9+/]{64,}={0,2}"),
+    Rule("web_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/+]{20,}"),
+    Rule("bearer", r"[Aa]uthorization:\x20*(?:[Bb]earer|[Bb]asic)\x20+[A-Za-z0-9._~+/-]{16,}=*"),
     Rule("url_login", r"://[^/\s:@]+:[^/\s:@]{3,}@"),
 )
 
@@ -98,25 +110,25 @@ def _floor(rule: Rule) -> str:
     return f"{run[1]}{{{rule.least},}}" if run and not rule.group else rule.pattern
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, t in enumerate(texts):
-        if k > start and size + len(t) > BLOCK:
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of ``BLOCK`` bytes at most; a larger row is a run."""
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > BLOCK:
             yield start, k
-            start, size = k, 0
-        size += len(t)
-    if len(texts) > start:
-        yield start, len(texts)
+            start, held = k, 0
+        held += size
+    if len(sizes) > start:
+        yield start, len(sizes)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], at: int, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _pieces(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Pieces of batches of a block's size at most, with their texts."""
-    for whole in batches:
-        for k in range(0, whole.num_rows, rows):
-            batch = whole.slice(k, rows)
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in _blocks(texts):
-                yield batch.slice(a, b - a), texts[a:b]
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        for a, b in _blocks(sizes):
+            piece = batch.slice(a, b - a)
+            yield piece, [t or "" for t in piece.column(at).to_pylist()]
 
 
 def _spelled(spans, kinds: list[str]) -> str:

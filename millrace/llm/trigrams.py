@@ -18,6 +18,8 @@ import numpy as np
 
 #: Most strings kept in a set, and most characters of a class that are spelled out.
 MOST, SPELLED = 48, 4
+#: Bytes whose trigrams are looked up at once.
+STRETCH = 1 << 20
 
 
 def _all(op: str, parts: list) -> object:
@@ -150,23 +152,30 @@ class Index:
     def build(self, texts: list[bytes]) -> None:
         """Index the texts; posting lists are sorted numbers of texts."""
         self.size, self.postings = len(texts), {}
-        data = self._lower[np.frombuffer(b"".join(texts), np.uint8)]
-        if len(data) < 3:
-            return
-        codes = data[:-2].astype(np.uint32) << 16
-        codes |= data[1:-1].astype(np.uint32) << 8
-        codes |= data[2:]
-        at = np.flatnonzero(self.table[codes])
+        data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(t) for t in texts])
-        text = np.searchsorted(ends, at, "right")
-        inside = at + 3 <= ends[text]
-        pairs = np.unique(codes[at[inside]].astype(np.uint64) << np.uint64(32) | text[inside].astype(np.uint64))
+        found = [self._pairs(data, ends, k) for k in range(0, max(0, len(data) - 2), STRETCH)]
+        if not found:
+            return
+        pairs = np.unique(np.concatenate(found))
         code = (pairs >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.diff(code)) + 1
         for group in np.split(np.arange(len(pairs)), cut):
             if len(group):
                 self.postings[int(code[group[0]])] = (pairs[group] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
+    def _pairs(self, data: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
+        """Trigrams that begin in a stretch of the bytes, each with its text, packed and without repeats."""
+        own = self._lower[data[start : start + STRETCH + 2]]
+        codes = own[:-2].astype(np.uint32) << 16
+        codes |= own[1:-1].astype(np.uint32) << 8
+        codes |= own[2:]
+        at = np.flatnonzero(self.table[codes])
+        code, at = codes[at].astype(np.uint64), at + start
+        text = np.searchsorted(ends, at, "right")
+        inside = at + 3 <= ends[text]
+        return np.unique(code[inside] << np.uint64(32) | text[inside].astype(np.uint64))
+
     def candidates(self, q: object) -> np.ndarray:
         """Numbers of the texts that satisfy the query, ascending."""
         if q is True:
