@@ -10,8 +10,9 @@ length of the solved difference and the factor's diagonal. The score is the
 logistic function of the difference of the two densities and the log odds of the
 classes, tempered by the number of features.
 
-The statistics are computed once and kept in the shared folder; texts are not
-exchanged. Labels are learnt only from rows that are not held out.
+The statistics are whole multiples of 2^-12 and their sums whole numbers, so the
+model and the scores are the same whatever the order in which tasks end. They
+are computed once and kept in the shared folder; texts are not exchanged. Labels are learnt only from rows that are not held out.
 
 Defined results: a null text counts as empty; an empty text has finite
 statistics and a score; texts of any length are whole; a null doc_id is not held
@@ -36,6 +37,8 @@ from millrace.llm.common import stored
 
 #: Weight of the pooled covariance, and of the unit matrix.
 POOLED, UNIT = 0.2, 0.02
+#: Steps of a statistic to one.
+STEPS = 1 << 12
 FEATURES = ["words", "bytes", "word_length", "symbols", "capitals", "digits", "shouts", "bars", "stops", "not_ascii", "distinct_words", "repeated_windows", "repeated_lines", "lines", "line_length", "symbol_words", "longest_word"]
 
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -78,14 +81,16 @@ def statistics(text: bytes) -> list[float]:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 1024):
-            rows = [statistics(t) for t in binary_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+            rows = np.array([statistics(t) for t in binary_texts(batch.column(1))]).reshape(-1, len(FEATURES))
+            steps = np.rint(rows * STEPS).astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(len(steps) + 1, dtype=np.int32) * len(FEATURES), pa.array(steps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and x (the statistics) of each row, kept in the shared folder."""
+    """doc_id and x (the statistics in steps) of each row, kept in the shared folder."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return stored(texts.mapInArrow(_measured, "doc_id long, x array<double>"), "statistics")
+    return stored(texts.mapInArrow(_measured, "doc_id long, x array<int>"), "statistics")
 
 
 def remainder(doc_id):
@@ -94,10 +99,10 @@ def remainder(doc_id):
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = len(FEATURES)
-    total = np.zeros((2, 1 + d + d * d))
+    total = np.zeros((2, 1 + d + d * d), np.int64)
     for batch in batches:
         y = batch.column(0).to_numpy(zero_copy_only=False)
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.int64)
         for c in (0, 1):
             own = x[y == c]
             total[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
@@ -145,10 +150,12 @@ def fit(x: DataFrame, labels: DataFrame) -> Discriminant:
     """Learn from the labelled rows that are not held out; ``labels`` has doc_id and quality."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     own = own.where(remainder(F.col("doc_id")) != 1).where("y IN (0, 1)")
-    sums = x.join(own, "doc_id").select("y", "x").mapInArrow(_sums, "y int, at int, v double")
-    total = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
-    for r in sums.groupBy("y", "at").agg(F.sum("v").alias("v")).collect():
-        total[r.y, r.at] = r.v
+    sums = x.join(own, "doc_id").select("y", "x").mapInArrow(_sums, "y int, at int, v long")
+    d = len(FEATURES)
+    unit = np.concatenate([[1], np.full(d, STEPS), np.full(d * d, STEPS**2)])
+    total = np.zeros((2, len(unit)))
+    for r in sums.groupBy("y", "at").agg(F.sum(F.col("v").cast("decimal(38, 0)")).alias("v")).collect():
+        total[r.y, r.at] = int(r.v) / int(unit[r.at])
     return Discriminant(total)
 
 
@@ -160,7 +167,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(rows))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(rows / STEPS))], ["doc_id", "score"])
 
     out = x.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
