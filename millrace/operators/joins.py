@@ -28,18 +28,32 @@ sql("lateral_join", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (
 sql("lateral_left_join", "SELECT c.c_custkey, t.n FROM customer c LEFT JOIN LATERAL (SELECT max(o_orderkey) AS n FROM orders o WHERE o.o_custkey = c.c_custkey HAVING count(*) > 2) t ON true", "same")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], how: str = "left") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], how: str = "left", chunk: int | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time.
 
-    Both sides are united and swept by one window over the key: one exchange,
-    no range join. ``last(ignoreNulls)`` keeps a running value, so a key's rows
-    are streamed in order; hot keys cost sort time, never memory.
+    Both sides are united and swept by one window over the key: one exchange, no
+    range join, and a running value streams through a key's rows. A null key
+    matches nothing.
+
+    With ``chunk`` (a width of the times, which are then numbers) a key is cut
+    into pieces of time, so that a hot one is dealt over tasks: a small table of
+    (key, piece) says which value stands when a piece begins, and the sweep goes
+    over pieces.
     """
     packed = F.struct(*values)
+    right = right.where(" AND ".join(f"`{k}` IS NOT NULL" for k in by))
     a = left.withColumn("_row", F.struct(*left.columns)).select(*by, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), "_row", F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"))
     b = right.select(*by, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), packed.alias("_v"))
-    w = W.partitionBy(*by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    both = a.unionByName(b)
+    if chunk:
+        both = both.withColumn("_c", F.floor(F.col("_t") / chunk))
+        pieces = both.groupBy(*by, "_c").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_v")))["_v"].alias("_end"))
+        before = W.partitionBy(*by).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+        pieces = pieces.select(*by, "_c", F.last("_end", ignorenulls=True).over(before).alias("_begin"))
+        both = both.join(pieces, [*by, "_c"], "left")
+    w = W.partitionBy(*by, *(["_c"] if chunk else [])).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    last = F.last("_v", ignorenulls=True).over(w)
+    out = both.withColumn("_last", F.coalesce(last, F.col("_begin")) if chunk else last).where("_side = 1")
     if how == "inner":
         out = out.where("_last IS NOT NULL")
     return out.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
@@ -76,7 +90,7 @@ def asof_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark, sf_dir, "events", "orders")
     e = v.table("events").select("event_id", F.col("user_id").alias("k"), F.col("event_id").alias("t"))
     o = v.table("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("t"), F.col("o_orderkey").alias("last_order"))
-    return as_of(e, o, ["k"], "t", "t", ["last_order"], "inner").select("event_id", "last_order")
+    return as_of(e, o, ["k"], "t", "t", ["last_order"], "inner", chunk=1 << 20).select("event_id", "last_order")
 
 
 @query("interval_join", """

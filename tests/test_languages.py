@@ -305,3 +305,23 @@ def test_type_and_unit_go_with_the_name(spark):
     with pytest.raises(ValueError, match="more than 1 samples"):
         run("v", max_samples=1)
     assert len(promql.Engine(df, 60_000, 60_000, 1000, max_samples=2).query("v").collect()) == 2
+
+
+@pytest.mark.parametrize("chunk", [None, 1, 7, 1000])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_as_of_by_pieces_of_time(spark, chunk, how):
+    import random
+
+    from millrace.operators.joins import as_of
+
+    rnd = random.Random(3)
+    left = [(rnd.choice(["hot", "hot", "a", "b", None]), rnd.choice([rnd.randrange(-30, 60), None]) if k % 9 == 0 else rnd.randrange(-30, 60), k) for k in range(150)]
+    right = [(k, t, f"{k}@{t}") for k, t in {(rnd.choice(["hot", "a", None]), rnd.randrange(-30, 60)) for _ in range(60)}]
+    a, b = spark.createDataFrame(left, "k string, t long, id int"), spark.createDataFrame(right, "k string, u long, v string")
+    got = sorted(tuple(r) for r in as_of(a, b, ["k"], "t", "u", ["v"], how, chunk).select("id", "v").collect())
+    want = []
+    for k, t, i in left:
+        known = [(u, v) for j, u, v in right if j == k and k is not None and t is not None and u <= t]
+        if known or how == "left":
+            want.append((i, max(known)[1] if known else None))
+    assert got == sorted(want)
