@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,13 @@ SMALL = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where a session names none
-    (tests on one machine) a local folder is made and set.
+    It is what ``spark.checkpoint.dir`` names. Only for a session on one machine
+    that names none (as in tests) a local folder is made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -32,6 +35,13 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Have an existing path of the shared folder deleted when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -39,9 +49,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read again: columns stay prunable."""
+    """Write as Parquet in the shared folder and read again: columns stay prunable. The files go when the application ends."""
     path = fresh_dir(df.sparkSession, what)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

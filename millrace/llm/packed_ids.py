@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Codec, binary_texts, slices, tokenizer_path
-from millrace.llm.common import filesystem, fresh_dir
+from millrace.llm.common import filesystem, fresh_dir, until_exit
 
 MAGIC = b"MRPK"
 HEAD = len(MAGIC) + 1
@@ -211,4 +211,5 @@ def read(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> Data
 def write_and_read(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
     spark = docs.sparkSession
     folder = fresh_dir(spark, "packed")
-    return read(spark, folder, write(docs, folder, path, end_id))
+    files = write(docs, folder, path, end_id)
+    return read(spark, until_exit(spark, folder), files)

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Codec, binary_texts, slices, tokenizer_path
-from millrace.llm.common import filesystem, fresh_dir
+from millrace.llm.common import filesystem, fresh_dir, until_exit
 
 #: Ids in a block of the scan.
 BLOCK = 1 << 20
@@ -145,4 +145,5 @@ def count(spark: SparkSession, folder: str, files: list[tuple[str, int]], end_id
 def write_and_count(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = fresh_dir(spark, "flat")
-    return count(spark, folder, write_flat(docs, folder, path))
+    files = write_flat(docs, folder, path)
+    return count(spark, until_exit(spark, folder), files)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, fresh_dir, stored
+from millrace.llm.common import filesystem, fresh_dir, stored, until_exit
 
 SCALE = 1024
 SLICES = 8
@@ -291,6 +291,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
     folder = fresh_dir(spark, "queries")
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk")
     asked.select("vec_id", "v", chunk).repartition(min(chunks, 8 * spark.sparkContext.defaultParallelism), "chunk").write.partitionBy("chunk").parquet(folder)
+    until_exit(spark, folder)
     files = index(rows, width, block).select(F.input_file_name().alias("file")).distinct()
     work = files.select("file", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     work = work.repartition(8 * spark.sparkContext.defaultParallelism, "file", "chunk")
