@@ -126,6 +126,12 @@ metric("double_exponential_smoothing", "double_exponential_smoothing(v[1d], 0.5,
 metric("histogram_quantile", "histogram_quantile(0.9, sum_over_time(h_bucket[2d]))", ("event_type",), _BUCKETS.format("0.9::DOUBLE") + "SELECT step, event_type, " + _AT, source=bucket_samples)
 
 
+metric("ts_of_min_over_time", "ts_of_min_over_time(v[1d])", _BOTH, _over("arg_min(ts, (value, -ts)) / 1000"))
+metric("trig", "sin(avg_over_time(v[1d])) + cos(avg_over_time(v[1d])) * atan(avg_over_time(v[1d])) + tanh(avg_over_time(v[1d]) / 100) + rad(deg(avg_over_time(v[1d]))) + asinh(avg_over_time(v[1d])) - pi()", _BOTH, _over("sin(avg(value)) + cos(avg(value)) * atan(avg(value)) + tanh(avg(value) / 100) + avg(value) + asinh(avg(value)) - pi()"))
+metric("inverse_trig", "asin(avg_over_time(v[1d]) / 1000) + acos(avg_over_time(v[1d]) / 1000) * 2 + atanh(avg_over_time(v[1d]) / 1000) + acosh(avg_over_time(v[1d]) + 2) + sinh(avg_over_time(v[1d]) / 100) + cosh(avg_over_time(v[1d]) / 100) + tan(avg_over_time(v[1d]) / 1000)", _BOTH, _over("asin(avg(value) / 1000) + acos(avg(value) / 1000) * 2 + atanh(avg(value) / 1000) + acosh(avg(value) + 2) + (exp(avg(value) / 100) - exp(-avg(value) / 100)) / 2 + (exp(avg(value) / 100) + exp(-avg(value) / 100)) / 2 + tan(avg(value) / 1000)"))
+metric("min_of_max_of", "vector(min_of(hour(), 10)) + max_of(day_of_month(), 12)", (), f"WITH {_G} SELECT step, (least(extract(hour FROM make_timestamp(step * 1000)), 10) + greatest(extract(day FROM make_timestamp(step * 1000)), 12))::DOUBLE AS value FROM g")
+
+
 @query("metric_label_values", "SELECT DISTINCT 'event_type' AS name, event_type AS v FROM events UNION SELECT DISTINCT 'u', (user_id % 7)::VARCHAR FROM events UNION SELECT '__name__', 'v'")
 def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select(F.explode("labels").alias("name", "v")).distinct()

@@ -160,6 +160,8 @@ class Engine:
         if step <= 0 or (end - start) // step + 1 > MAX_POINTS:
             raise ValueError(f"exceeded maximum resolution of {MAX_POINTS} points per series")
         self.samples, self.start, self.end, self.step, self.lookback, self.max_samples = samples, start, end, step, lookback, max_samples
+        #: Warnings and notes of the queries so far, which do not change a result.
+        self.annotations: list[str] = []
 
     def query(self, text: str) -> DataFrame:
         """labels, step, value of the expression."""
@@ -318,7 +320,27 @@ class Engine:
 
     # expressions
 
+    def _note(self, x) -> None:
+        """What can be said of a call or aggregate before it runs."""
+        name, args = (x.op, (x.param, x.expr)) if isinstance(x, P.Aggregate) else (x.name, x.args)
+        quantiles = {"quantile": args[:1], "quantile_over_time": args[:1], "histogram_quantile": args[:1], "histogram_quantiles": args[2:]}.get(name, ())
+        for q in quantiles:
+            if isinstance(q, P.Number) and not 0 <= q.value <= 1:
+                self._say(f"PromQL warning: quantile value should be between 0 and 1, got {q.value:g}")
+        if name == "limit_ratio" and isinstance(args[0], P.Number) and not -1 <= args[0].value <= 1:
+            self._say(f"PromQL warning: ratio value should be between -1 and 1, got {args[0].value:g}, capping to {max(-1.0, min(1.0, args[0].value)):g}")
+        if name in ("rate", "increase", "irate") and isinstance(args[0], P.Selector):
+            metric = next((v for n, op, v in args[0].matchers if (n, op) == ("__name__", "=")), "")
+            if metric and not metric.endswith(("_total", "_sum", "_count", "_bucket")):
+                self._say(f'PromQL info: metric might not be a counter, name does not end in _total/_sum/_count/_bucket: "{metric}"')
+
+    def _say(self, text: str) -> None:
+        if text not in self.annotations:
+            self.annotations.append(text)
+
     def eval(self, x):
+        if isinstance(x, (P.Call, P.Aggregate)):
+            self._note(x)
         if isinstance(x, P.Number):
             return Scalar(F.lit(x.value))
         if isinstance(x, P.Selector):

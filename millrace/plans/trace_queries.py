@@ -154,3 +154,15 @@ def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of shards with the same labels are summed."""
     s = spans(spark, sf_dir).select("service", F.pmod(F.xxhash64("trace_id"), F.lit(4)).alias("shard"))
     return s.groupBy("shard", "service").agg(F.count("*").alias("calls")).groupBy("service").agg(F.sum("calls").alias("calls"))
+
+
+@query("traceql_more_intrinsics", _S + _X + "n % 3 = 1 AND turn % 2 = 0 AND n * 1000 > 50000 AND turn % 5 <> 4")
+def more_intrinsics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status message, instrumentation scope, time of events since the span's start, spans that links name."""
+    df = spans(spark, sf_dir)
+    n, turn = F.try_element_at("attrs", F.lit("n")).cast("long"), F.try_element_at("attrs", F.lit("turn")).cast("long")
+    event = F.struct(F.lit("tick").alias("name"), (F.col("start") + n * 1000).alias("time"), F.create_map(F.lit("k"), F.lit("v")).alias("attrs"))
+    link = F.struct(F.col("trace_id"), F.concat(F.lit("s"), (turn % 5).cast("string")).alias("span_id"), F.create_map(F.lit("k"), F.lit("v")).alias("attrs"))
+    df = df.withColumns({"status_message": F.concat(F.lit("m"), (n % 3).cast("string")), "scope": F.lit("lib"), "scope_version": F.concat(F.lit("1."), (turn % 2).cast("string")), "events": F.array(event), "links": F.array(link)})
+    text = '{ statusMessage = "m1" && instrumentation:name = "lib" && instrumentation:version = "1.0" && event:timeSinceStart > 50us && !(link:spanID = "s4") && event:name = "tick" && trace:id != nil }'
+    return traceql.Traces(df).search(text).select("trace_id", "span_id")

@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s+|(?P<str>\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|(?P<num>-?\d+(?:\.\d+)?(?:ns|us|ms|s|m|h)?)|(?P<id>[A-Za-z_.][\w.:/-]*)|(?P<op>&>>|&<<|!>>|!<<|&&|\|\||&>|&<|&~|!>|!<|!~|>>|<<|>=|<=|!=|=~|[|{}(),=<>~!+*/%-])")
 _NS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
-_INTRINSIC = {"name": "name", "duration": "duration", "kind": "kind", "status": "status", "childCount": "child_count", "nestedSetLeft": "lft", "nestedSetRight": "rgt", "nestedSetParent": "parent", "traceDuration": "trace_duration", "rootName": "root_name", "rootServiceName": "root_service", "span:id": "span_id", "trace:id": "trace_id", "span:parentID": "parent_id", "statusMessage": "status"}
+_INTRINSIC = {
+    "name": "name", "duration": "duration", "kind": "kind", "status": "status", "statusMessage": "status_message", "childCount": "child_count", "nestedSetLeft": "lft", "nestedSetRight": "rgt", "nestedSetParent": "parent",
+    "traceDuration": "trace_duration", "rootName": "root_name", "rootServiceName": "root_service", "span:id": "span_id", "span:parentID": "parent_id", "span:name": "name", "span:duration": "duration", "span:kind": "kind", "span:status": "status", "span:statusMessage": "status_message",
+    "span:childCount": "child_count", "trace:id": "trace_id", "trace:duration": "trace_duration", "trace:rootName": "root_name", "trace:rootService": "root_service", "instrumentation:name": "scope", "instrumentation:version": "scope_version",
+}
+#: Intrinsics that a table of spans may lack; they are null there.
+_OPTIONAL = {"status_message", "scope", "scope_version"}
 _STRUCTURAL = {">>", "<<", ">", "<", "~", "!>>", "!<<", "!>", "!<", "!~", "&>>", "&<<", "&>", "&<", "&~"}
 
 
@@ -226,7 +232,8 @@ class Traces:
 
     def field(self, name: str) -> Column:
         if name in _INTRINSIC:
-            return F.col(_INTRINSIC[name])
+            column = _INTRINSIC[name]
+            return F.lit(None).cast("string") if column in _OPTIONAL and column not in self.spans.columns else F.col(column)
         scope, _, key = name.partition(".")
         at = lambda m, k: F.try_element_at(F.col(m), F.lit(k))
         if scope == "resource":
@@ -256,6 +263,8 @@ class Traces:
         nested = re.fullmatch(r"(event|link)(?:\.|:)(.+)", word)
         if nested:
             key = nested[2]
+            if word == "event:timeSinceStart":
+                return F.coalesce(F.exists("events", lambda e: self._compare(e["time"] - F.col("start"), op, kind, text)), F.lit(False))
             get = lambda e: e[{"name": "name", "traceID": "trace_id", "spanID": "span_id"}[key]] if word[len(nested[1])] == ":" else F.try_element_at(e["attrs"], F.lit(key))
             return F.coalesce(F.exists(nested[1] + "s", lambda e: self._compare(get(e), op, kind, text)), F.lit(False))
         return self._compare(self.field(word), op, kind, text)

@@ -152,7 +152,11 @@ def streamed_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("k").agg(F.max_by(F.struct("n", "total"), "batch").alias("r")).select("k", "r.n", F.round("r.total", 4).alias("total"))
 
 
-@query("streamed_suppress")
+@query("streamed_suppress", """
+WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS k, epoch_us(ts) // 1000 AS ms, value FROM events), n AS (SELECT a.k, a.ms, min(b.ms) AS due FROM (SELECT DISTINCT k, ms FROM e) a JOIN e b ON b.k = a.k AND b.ms >= a.ms + 86400000 GROUP BY ALL),
+f AS (SELECT k, ms, lead(ms) OVER (PARTITION BY k ORDER BY ms) AS following FROM (SELECT DISTINCT k, ms FROM e)),
+r AS (SELECT k, min(ms) AS since FROM e GROUP BY k UNION ALL SELECT r.k, f.following FROM r JOIN n ON n.k = r.k AND n.ms = r.since JOIN f ON f.k = n.k AND f.ms = n.due WHERE f.following IS NOT NULL)
+SELECT e.k, e.ms, e.value FROM r JOIN n ON n.k = r.k AND n.ms = r.since JOIN e ON e.k = n.k AND e.ms = n.due""")
 def streamed_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one update a day and key."""
     src = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("k"), F.floor(F.col("us") / 1000).alias("ms"), "value")
@@ -272,9 +276,10 @@ def streamed_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.drain(stateful.punctuated(src, "k", "ms", "value", 86_400_000)).withColumn("total", F.round("total", 4))
 
 
-@query("streamed_window_close")
+@query("streamed_window_close", """SELECT * FROM (SELECT user_id, (epoch_us(ts) // 86400000000) * 86400000000 AS start, (epoch_us(ts) // 86400000000 + 1) * 86400000000 AS "end", count(*) AS n FROM events GROUP BY ALL)
+WHERE "end" <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000""")
 def streamed_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emit on close (suppress until the window closes): one row for each closed window; those still open have none, so it has no twin."""
+    """Emit on close (suppress until the window closes): one row for each closed window; those still open at the stream's end have none."""
     out = windows.tumbling(event_stream(spark, sf_dir).withWatermark("ts", "1 hour"), "user_id", "ts", "1 day", F.count("*").alias("n"))
     return _us(runtime.drain(out))
 
@@ -295,3 +300,10 @@ def record_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of a key between two commits are one: the last of each hour is forwarded."""
     e = events(spark, sf_dir)
     return e.groupBy("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("commit")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("updates"))
+
+
+@query("streamed_foreach", "SELECT user_id, event_id, round(value * 2, 4) AS doubled FROM events WHERE event_type = 'click'")
+def streamed_foreach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """foreach: a terminal that hands each record to a function; here it writes what it was given."""
+    src = event_stream(spark, sf_dir).where("event_type = 'click'").select("user_id", "event_id", "value")
+    return runtime.for_each(src, lambda r: (r["user_id"], r["event_id"], round(r["value"] * 2, 4)), "user_id long, event_id long, doubled double")

@@ -34,3 +34,21 @@ def drain(df: DataFrame, mode: str = "append", batch=None) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], df.schema)
         raise
+
+
+def for_each(df: DataFrame, effect, returned: str) -> DataFrame:
+    """Hand each record of a stream to ``effect``, in the tasks that hold them; what it returns is kept, a row for each record.
+
+    A micro-batch that is run again hands its records over again, as a terminal
+    with effects outside the engine is told of a record at least once.
+    """
+
+    def told(batches):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in returned.split(",")]
+        for batch in batches:
+            rows = [effect(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows]) if rows else pa.RecordBatch.from_pylist([])
+
+    return drain(df, batch=lambda rows, n: rows.mapInArrow(lambda it: (b for b in told(it) if b.num_rows), returned)).drop("batch")

@@ -325,3 +325,11 @@ def test_as_of_by_pieces_of_time(spark, chunk, how):
         if known or how == "left":
             want.append((i, max(known)[1] if known else None))
     assert got == sorted(want)
+
+
+def test_annotations(spark):
+    df = spark.createDataFrame([({"__name__": "v"}, 60_000, 4.0), ({"__name__": "v_total"}, 60_000, 4.0)], "labels map<string,string>, ts long, value double")
+    e = promql.Engine(df, 60_000, 60_000, 1000)
+    for text in ("quantile(1.5, v)", "rate(v[5m])", "rate(v_total[5m])", "sum(quantile_over_time(0.5, v[5m]))", "limit_ratio(2, v)"):
+        e.query(text)
+    assert e.annotations == ["PromQL warning: quantile value should be between 0 and 1, got 1.5", 'PromQL info: metric might not be a counter, name does not end in _total/_sum/_count/_bucket: "v"', "PromQL warning: ratio value should be between -1 and 1, got 2, capping to 1"]
