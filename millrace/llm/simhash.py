@@ -64,6 +64,8 @@ CELL = 1 << 22
 WORK = 1 << 31
 #: Rows of a cell that are joined by range at once.
 SWEEP = 512
+#: Comparisons of the first search of a large cell for dense groups.
+FIRST = 1 << 28
 #: Pairs that are compared at once, a cell's own at least.
 PAIRS = 1 << 18
 _LOW = 0x5555555555555555
@@ -213,7 +215,7 @@ def _unique(links: Links) -> Links:
 
 def large_cell(fp: np.ndarray, mask: int, near: int = NEAR, work: int = WORK, sweep: int = SWEEP) -> tuple[Links, np.ndarray]:
     """Links of a large cell, and the fingerprints that the work did not suffice for."""
-    links, fp, _ = tree(fp, near, min(work, 64 * len(fp)))
+    links, fp, _ = tree(fp, near, min(work, FIRST))
     if not len(fp):
         return links, fp
     u, count, open_rows = embedded(fp), np.bitwise_count(fp), []

@@ -113,9 +113,10 @@ def test_hot_cells_lose_no_link(spark, near, cell, work, sweep):
             assert members[0] not in got
 
 
-@pytest.mark.parametrize("sweep", [512, 40])
-def test_large_cells_without_spark(sweep):
-    """Thousands of fingerprints that share two blocks, dense groups among them."""
+@pytest.mark.parametrize(("sweep", "first"), [(512, 1 << 28), (512, 20_000), (40, 20_000), (40, 0)])
+def test_large_cells_without_spark(monkeypatch, sweep, first):
+    """Thousands of fingerprints that share two blocks, dense groups among them; ``first`` leaves more or less to the finer grid."""
+    monkeypatch.setattr(simhash, "FIRST", first)
     rnd = np.random.default_rng(8)
     mask = simhash.cell_masks(4)[3]
     fp = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64) & ~np.uint64(mask)
@@ -142,6 +143,19 @@ def test_large_cells_without_spark(sweep):
             assert find(int(fp[k])) == find(int(fp[k + 1 + j]))
 
 
+def test_a_dense_cell_makes_a_tree():
+    """Tens of thousands of fingerprints within a few bits of each other cost one search and a link each."""
+    rnd = np.random.default_rng(1)
+    mask = simhash.cell_masks(4)[4]
+    free = np.array([b for b in range(64) if not mask >> b & 1], np.uint64)
+    fp = np.full(60_000, np.uint64(0x5555555555555555 & mask))
+    for _ in range(6):
+        fp ^= np.uint64(1) << free[rnd.integers(0, len(free), len(fp))]
+    fp = np.unique(fp)
+    links, rest = simhash.large_cell(fp, mask)
+    assert not len(rest) and sum(len(a) for a, _ in links) == len(fp) - 1
+
+
 def test_a_hub_of_many_links(spark):
     edges = spark.range(1, 50_000).selectExpr("id AS a", "0L AS b").union(spark.range(1, 50_000).selectExpr("id AS a", "id + 100000 AS b"))
     out = components.components(edges)
