@@ -60,14 +60,14 @@ def nested_sets(spans: DataFrame) -> DataFrame:
     """lft, rgt, parent of each span by preorder of its trace; roots have parent -1, cycles are cut at their first span.
 
     Traces are dealt by id and sorted once; a task streams over them and holds one
-    batch and one trace.
+    batch and one trace, so a giant trace is the work and the memory of one task.
     """
     df = spans.drop("lft", "rgt", "parent")
     names = df.columns
     t, s, p = (names.index(c) for c in ("trace_id", "span_id", "parent_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # batches of the trace that is open
 
         def numbered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             trace, span, parent = (rows.column(k).to_pylist() for k in (t, s, p))
@@ -85,16 +85,18 @@ def nested_sets(spans: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            trace = rows.column(t).to_pylist()
+            trace = batch.column(t).to_pylist()
             cut = len(trace) - 1
             while cut and trace[cut - 1] == trace[-1]:
                 cut -= 1
-            if cut:
-                yield from numbered(rows.slice(0, cut))
-            held = rows.slice(cut)
-        if held is not None:
-            yield from numbered(held)
+            if held and (cut or held[-1].column(t)[-1].as_py() != trace[0]):
+                yield from numbered(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from numbered(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from numbered(pa.Table.from_batches(held))
 
     order = [F.col("trace_id"), F.col("start").asc_nulls_last(), F.col("span_id").asc_nulls_last()]
     out = df.schema.add("lft", "long").add("rgt", "long").add("parent", "long")
