@@ -10,6 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.cteRecursionLevelLimit": "1000",
+    "spark.sql.legacy.javaCharsets": "true",  # EUC_JP of COPY
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,53 @@ from millrace.registry import query, views
 ENCODINGS = {"UTF8": "UTF-8", "SQL_ASCII": "US-ASCII", "LATIN1": "ISO-8859-1", "EUC_JP": "EUC-JP"}
 
 
-def copy_out(df: DataFrame, path: str, header: bool = True, delimiter: str = ",", null: str = "", encoding: str = "UTF8") -> None:
-    df.write.mode("overwrite").option("header", header).option("delimiter", delimiter).option("nullValue", null).option("encoding", ENCODINGS[encoding]).csv(path)
+def copy_out(df: DataFrame, path: str, header: bool = True, delimiter: str = ",", null: str = "", encoding: str = "UTF8", quote: str = '"', escape: str | None = None) -> None:
+    w = df.write.mode("overwrite").option("header", header).option("delimiter", delimiter).option("nullValue", null).option("encoding", ENCODINGS[encoding])
+    w.option("quote", quote).option("escape", escape or quote).csv(path)
+
+
+def copy_in(spark: SparkSession, path: str, schema, header: bool = True, delimiter: str = ",", null: str = "", encoding: str = "UTF8", quote: str = '"', escape: str | None = None, multiline: bool = False) -> DataFrame:
+    """COPY FROM in CSV format; ``multiline`` lets quoted fields hold line ends, and then a file is one task."""
+    r = spark.read.schema(schema).option("header", header).option("delimiter", delimiter).option("nullValue", null).option("encoding", ENCODINGS[encoding])
+    return r.option("quote", quote).option("escape", escape or quote).option("multiLine", multiline).csv(path)
+
+
+#: Escapes of COPY's text format besides the backslash's own.
+_ESCAPES = {"\t": "\\t", "\n": "\\n", "\r": "\\r", "\b": "\\b", "\f": "\\f", "\v": "\\v"}
+
+
+def copy_text_out(df: DataFrame, path: str, delimiter: str = "\t", null: str = "\\N") -> None:
+    """COPY TO in text format: one line a row, special characters behind backslashes."""
+    def field(c: str):
+        x = F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        for char, text in _ESCAPES.items():
+            x = F.replace(x, F.lit(char), F.lit(text))
+        if delimiter != "\t":
+            x = F.replace(x, F.lit(delimiter), F.lit("\\" + delimiter))
+        return F.coalesce(x, F.lit(null))
+
+    df.select(F.concat_ws(delimiter, *map(field, df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def copy_text_in(spark: SparkSession, path: str, schema, delimiter: str = "\t", null: str = "\\N") -> DataFrame:
+    """COPY FROM in text format; a line ``\\.`` alone is no row."""
+    from pyspark.sql import types as T
+
+    fields = (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields
+    lines = spark.read.text(path).where(F.col("value") != "\\.")
+    # A delimiter behind an odd number of backslashes belongs to its field.
+    parts = F.split("value", r"(?<=(?<!\\)(?:\\\\){0,64})" + re.escape(delimiter), -1)
+
+    def plain(x):
+        def whole(p):
+            for char, text in _ESCAPES.items():
+                p = F.replace(p, F.lit(text), F.lit(char))
+            return F.replace(p, F.lit("\\" + delimiter), F.lit(delimiter))
 
+        return F.array_join(F.transform(F.split(x, r"\\\\", -1), whole), "\\")
 
-def copy_in(spark: SparkSession, path: str, schema, header: bool = True, delimiter: str = ",", null: str = "", encoding: str = "UTF8") -> DataFrame:
-    return spark.read.schema(schema).option("header", header).option("delimiter", delimiter).option("nullValue", null).option("encoding", ENCODINGS[encoding]).csv(path)
+    rows = lines.select(parts.alias("p"))
+    return rows.select(*[F.when(F.get("p", F.lit(k)) != null, plain(F.get("p", F.lit(k)))).cast(f.dataType).alias(f.name) for k, f in enumerate(fields)])
 
 
 def write_blocks(df: DataFrame, path: str, tenant: str, ms: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.registry import query, views
-from millrace.sources.connectors import copy_in, copy_out, read_blocks, write_blocks
+from millrace.sources.connectors import copy_in, copy_out, copy_text_in, copy_text_out, read_blocks, write_blocks
 from millrace.storage import scratch
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
@@ -184,6 +184,25 @@ def copy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_in(spark, at, df.schema, delimiter="|", null="\\N", encoding="LATIN1")
 
 
+@query("copy_text", "SELECT p_partkey, p_name || chr(9) || 'a' || chr(92) || 'b' || chr(10) || chr(92) || chr(92) || 'n' || CASE WHEN p_size % 3 = 0 THEN chr(92) ELSE '' END AS name, CASE WHEN p_size % 2 = 0 THEN p_size END AS size, CASE WHEN p_size % 5 > 0 THEN '' END AS empty FROM part")
+def copy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY out and in again in text format: tabs, line ends, backslashes, empty texts and NULL marks."""
+    name = F.concat(F.col("p_name"), F.lit("\ta\\b\n\\\\n"), F.when(F.col("p_size") % 3 == 0, "\\").otherwise(""))
+    df = views(spark, sf_dir, "part").table("part").select("p_partkey", name.alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("size"), F.when(F.col("p_size") % 5 > 0, "").alias("empty"))
+    at = scratch(spark, "copy")
+    copy_text_out(df, at)
+    return copy_text_in(spark, at, df.schema)
+
+
+@query("copy_csv_quoted", "SELECT p_partkey, 'a\"' || p_name || chr(39) || chr(10) || 'x' AS name FROM part")
+def copy_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY with another quote and escape, and line ends inside fields; EUC_JP."""
+    df = views(spark, sf_dir, "part").table("part").select("p_partkey", F.concat(F.lit('a"'), F.col("p_name"), F.lit("'\nx")).alias("name"))
+    at = scratch(spark, "copy")
+    copy_out(df, at, quote="'", escape="\\", encoding="EUC_JP")
+    return copy_in(spark, at, df.schema, quote="'", escape="\\", encoding="EUC_JP", multiline=True)
+
+
 @query("tenant_blocks", "SELECT event_id, value FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-06'")
 def tenant_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks by tenant and day; the reader opens those of one tenant and three days."""

@@ -35,6 +35,11 @@ CASES = [
     ("JSON_QUERY(jsonb '{\"a\": \"x\"}', '$.a' OMIT QUOTES)", "x"),
     ("JSON_QUERY(jsonb '{\"a\": 1}', '$.b' EMPTY ARRAY ON EMPTY)", "[]"),
     ("JSON_QUERY(jsonb '{\"a\": 1}', '$.b' EMPTY OBJECT ON EMPTY)", "{}"),
+    ("('{\"a\": [\"a1\", {\"b1\": [\"aaa\", \"bbb\"]}]}'::jsonb)['a'][1]['b1']", '["aaa", "bbb"]'),
+    ("('{\"a\": [\"a1\", {\"b1\": [\"aaa\", \"bbb\"]}]}'::jsonb)['a'][1]['b1'][-1]", '"bbb"'),
+    ("('{\"a\": 1}'::jsonb)['b']", None),
+    ("(NULL::jsonb)['a']", None),
+    ("('{\"a\": 1}'::jsonb)[NULL]", None),
     ("JSON_ARRAY(1, NULL, 2 RETURNING jsonb)", "[1, 2]"),
     ("JSON_ARRAY(1, NULL, 2 NULL ON NULL RETURNING jsonb)", "[1, null, 2]"),
     ("JSON_ARRAY(RETURNING jsonb)", "[]"),
