@@ -16,9 +16,9 @@ centred so that the rates of all sources sum to the same at any time. Its
 integral is ``target * (t + k * (t*t - t))``; inverting that at the words a
 source has given before a document gives the document's position.
 
-Sums before a document come from two levels: words of each cell of a source, and
-a window inside a cell; nothing but rows of (source, cell) is gathered, and the
-sources alone, a row each, are ordered in one task. Where only figures are asked
+Sums before a document come from three levels: words of a run of cells of a
+source, of each cell in a run, and a window inside a cell; the sources alone, a
+row each, are ordered in one task. Where only figures are asked
 for, the words are counted once, into a narrow table of the shared folder, and
 the cells are Spark's own ranges of it by (source, MD5, size, text, row number), so
 neither a hot source nor a hot doc_id makes a large one. Where whole rows are
@@ -43,6 +43,8 @@ from millrace.llm.common import stored, word_count
 
 BUCKETS = 4096
 SUBS = 16
+#: Neighbouring numbers of a cell whose sums are added up apart.
+TOP = 64
 #: Rows of a cell that one task orders.
 HOT = 1 << 20
 CAP = 3
@@ -86,8 +88,14 @@ def position(words: Column, goal: Column, slope: Column) -> Column:
 
 def _shared_out(rows: DataFrame, sums: DataFrame, cells: list[str], order: list[str]) -> DataFrame:
     """Rows with source_size, target, goal, slope, before, _full, _rest and taken; ``sums`` has the size of each (source, cells)."""
-    by = W.partitionBy("source").orderBy(*cells).rowsBetween(W.unboundedPreceding, -1)
-    ahead = sums.select("source", *cells, F.coalesce(F.sum("size").over(by), F.lit(0)).alias("_ahead"))
+    top = F.floor(F.col(cells[0]) / TOP)
+    all_before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = sums.groupBy("source", top.alias("_top")).agg(F.sum("size").alias("size"))
+    tops = tops.select(F.col("source").alias("_src"), "_top", all_before(W.partitionBy("source").orderBy("_top")).alias("_base"))
+    ahead = sums.withColumn("_own_top", top)
+    ahead = ahead.select("source", *cells, "_own_top", all_before(W.partitionBy("source", "_own_top").orderBy(*cells)).alias("_inner"))
+    ahead = ahead.join(tops, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_own_top") == F.col("_top")))
+    ahead = ahead.select("source", *cells, (F.col("_base") + F.col("_inner")).alias("_ahead"))
     ahead = ahead.join(targets(sums).withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     ahead = ahead.withColumnsRenamed({"source": "_src"} | {c: f"{c}_of" for c in cells})
     on = rows["source"].eqNullSafe(ahead["_src"])
