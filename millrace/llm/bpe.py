@@ -13,7 +13,11 @@ left out where they would matter:
 
 Strings of added tokens are taken out first, as the library does. As nearly
 every word end is a cut, fragments repeat, and a memo per worker keeps the ids of
-those already seen; only new fragments reach the library. The memo is bounded in
+those already seen; only new fragments are encoded. Most of them are one word of
+letters or digits, so one piece to the pre-tokenizer; where the vocabulary's ids
+follow its merges and every token encodes to itself, merging by the least id
+that two neighbours make gives the same ids as the list of merges, and such a
+piece goes to a plain merge loop over bytes. All others go to the library. The memo is bounded in
 bytes: fragments above ``MEMO_FRAGMENT`` bytes are encoded and not kept, and when
 those kept reach ``MEMO_BYTES`` they become the past generation, which is dropped
 at the next turn. A long text is worked through in pieces of about ``PIECE``
@@ -41,6 +45,8 @@ MEMO_FRAGMENT = 64
 _ENTRY = 200
 #: Bytes of a text whose fragments are objects at a time, as far as cuts allow.
 PIECE = 1 << 20
+#: Letters below it have been letters in every edition of Unicode that an engine may know.
+LATIN = "\u0250"
 #: Ids that are digested at a time.
 DIGEST = 1 << 16
 
@@ -79,17 +85,42 @@ def forced_cuts(tokens: list[bytes]) -> np.ndarray:
     return cut
 
 
+def one_word(fragment: bytes) -> bool:
+    """ASCII digits or Latin letters alone, behind one blank at most."""
+    body = fragment[1:] if fragment[0] == 32 else fragment
+    if body.isalpha() or body.isdigit():
+        return True
+    if body.isascii():
+        return False
+    text = body.decode()
+    return text.isalpha() and max(text) < LATIN
+
+
+def plain_merges(spec: dict, tokenize) -> bool:
+    """The tokenizer's pieces are blank and word, and its ids say in which order it merges."""
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
+    if not usual or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    vocab, added = model["vocab"], {t["content"] for t in spec["added_tokens"]}
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    return all(a < b for a, b in zip(made, made[1:])) and all([x.id for x in tokenize(t)] == [i] for t, i in vocab.items() if t not in added)
+
+
 class Memo(dict):
     """Ids of fragments; those not yet known are encoded, and kept while there is room."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, merge=None):
         super().__init__()
-        self.encode, self.past, self.held = encode, {}, 0
+        self.encode, self.merge, self.past, self.held = encode, merge, {}, 0
 
     def __missing__(self, fragment: bytes) -> bytes:
         ids = self.past.get(fragment)
         if ids is None:
-            ids = array("I", self.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
+            if self.merge and len(fragment) <= MEMO_FRAGMENT and one_word(fragment):
+                ids = array("I", self.merge(fragment)).tobytes()
+            else:
+                ids = array("I", self.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
             if len(fragment) > MEMO_FRAGMENT:
                 return ids
         size = len(fragment) + len(ids) + _ENTRY
@@ -110,6 +141,7 @@ class Codec:
         import json
         import re
 
+        from tiktoken._tiktoken import CoreBPE
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -129,7 +161,9 @@ class Codec:
         self.cut = forced_cuts([self.bytes_of[i] for t, i in vocab.items() if t not in added]).reshape(-1)
         self.added = {t.encode(): np.array([i], "<u4").tobytes() for t, i in added.items()} if specials else {}
         self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
-        self.memo = Memo(self.tokenizer.encode)
+        ranks = {self.bytes_of[i]: i for t, i in vocab.items() if t not in added}
+        fast = len(ranks) == len(vocab.keys() - added.keys()) and plain_merges(spec, self.tokenizer.model.tokenize)
+        self.memo = Memo(self.tokenizer.encode, CoreBPE(ranks, {}, r"[\s\S]+").encode_single_piece if fast else None)
 
     @classmethod
     def of(cls, path: str, specials: bool = True) -> Codec:

@@ -35,6 +35,21 @@ def test_random_texts_encode_as_the_library_does(library):
         assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_words_merge_as_the_library_does(library):
+    """Random words of Latin letters and of digits, with and without a blank, and every token of the vocabulary that is one."""
+    rnd, codec = random.Random(11), bpe.Codec(bpe.tokenizer_path())
+    assert codec.memo.merge is not None
+    letters = "etaoinshrdlucmfwypvbgkjqxzETAOINéèüßñçøæłőžßđ"
+    words = ["".join(rnd.choices(letters, k=rnd.randint(1, 14))) for _ in range(20_000)] + [str(rnd.randrange(10 ** rnd.randint(1, 12))) for _ in range(5000)]
+    words += [b.decode() for b in codec.bytes_of if b and b.isascii()]
+    for w in words:
+        for text in (w, " " + w):
+            raw = text.encode()
+            if bpe.one_word(raw):
+                assert list(codec.memo.merge(raw)) == library.encode(text, add_special_tokens=False).ids, text
+    assert [bpe.one_word(t.encode()) for t in ("a", " a", " Straße", "12", " 12", "a1", "  a", " ", "a'", "\u6f22", "x\u0301", "\u00bd", " \u0259")] == [True] * 5 + [False] * 8
+
+
 def test_memo_generations_do_not_change_ids(library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_BYTES", 900)
     monkeypatch.setattr(bpe, "PIECE", 20)
