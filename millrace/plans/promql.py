@@ -149,6 +149,37 @@ _OVER = {
     "ts_of_min": lambda: _same(F.max, _lowest, lambda c: c["ts"] / 1000),
     "ts_of_max": lambda: _same(F.max, _highest, lambda c: c["ts"] / 1000),
 }
+def _steps(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Between two values that follow each other: what a counter lost in a reset, whether it was one, whether they differ."""
+    fell = b < a
+    return F.when(fell, a).otherwise(0.0), F.when(fell, 1.0).otherwise(0.0), F.when((a != b) & ~(F.isnan(a) & F.isnan(b)), 1.0).otherwise(0.0)
+
+
+def _course(samples: Column) -> Column:
+    """The course of a pane's samples: first, last and last but one, their number, and sums over neighbours."""
+    w = F.sort_array(samples)
+    n = F.size(w)
+    pairs = F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n), lambda a, b: F.struct(a["value"].alias("a"), b["value"].alias("b")))
+    pairs = F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    total = lambda k: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + _steps(p["a"], p["b"])[k])
+    drops, falls, moves = map(total, range(3))
+    first, last = F.get(w, F.lit(0)), F.element_at(w, -1)
+    before = F.when(n >= 2, F.get(w, n - 2))
+    return F.struct(first["ts"].alias("t0"), first["value"].alias("v0"), last["ts"].alias("t1"), last["value"].alias("v1"), before.alias("before"), n.alias("n"), drops.alias("drops"), falls.alias("falls"), moves.alias("moves"))
+
+
+def _course_of_panes(courses: Column) -> Column:
+    """The course of a window from those of its panes."""
+
+    def joined(a: Column, p: Column) -> Column:
+        drop, fall, move = _steps(a["v1"], p["v0"])
+        before = F.when(p["n"] >= 2, p["before"]).otherwise(F.struct(a["t1"].alias("ts"), a["v1"].alias("value")))
+        return F.struct(a["t0"].alias("t0"), a["v0"].alias("v0"), p["t1"].alias("t1"), p["v1"].alias("v1"), before.alias("before"), (a["n"] + p["n"]).alias("n"), (a["drops"] + p["drops"] + drop).alias("drops"), (a["falls"] + p["falls"] + fall).alias("falls"), (a["moves"] + p["moves"] + move).alias("moves"))
+
+    ordered = F.sort_array(courses)
+    return F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), F.element_at(ordered, 1), joined)
+
+
 #: Ranges that a chunk of a series holds.
 CHUNK = 16
 
@@ -177,11 +208,12 @@ class Engine:
 
     # leaves
 
-    def _rolled(self, df: DataFrame, span: int, offset: int, at, partial: dict[str, Column], final: dict) -> DataFrame:
+    def _rolled(self, df: DataFrame, span: int, offset: int, at, partial: dict[str, Column], final: dict, shrink=None) -> DataFrame:
         """labels, series, step, _t and final columns of each window (_t - span, _t] that holds a sample.
 
-        ``partial``: aggregates of samples (ts, value); ``final``: for each name a
-        function of ``over``, which makes an aggregate of partial columns one of the window.
+        ``partial``: aggregates of samples (ts, value); ``shrink``: what takes the place of
+        the partial column _a of a pane; ``final``: for each name a function of ``over``,
+        which makes an aggregate of partial columns one of the window.
         """
         labels = F.first("labels").alias("labels")
         partial = [c.alias(n) for n, c in partial.items()]
@@ -191,6 +223,7 @@ class Engine:
             at = {"start": self.start, "end": self.end}.get(at, at)
             t = at - offset
             df = df.where((F.col("ts") > t - span) & (F.col("ts") <= t)).groupBy("series").agg(labels, *partial)
+            df = df.withColumn("_a", shrink(F.col("_a"))) if shrink else df
             df = df.groupBy("series").agg(labels, *[f(lambda agg: agg).alias(n) for n, f in final.items()])
             steps = F.sequence(F.lit(self.start), F.lit(self.end), F.lit(self.step))
             return df.select("labels", "series", F.explode(steps).alias("step"), F.lit(t).alias("_t"), *final)
@@ -201,6 +234,7 @@ class Engine:
         cut = end - span % step  # where the windows that end later by a multiple of the step begin
         pane = F.when(ts <= cut, cut).otherwise(end)
         panes = df.groupBy("series", pane.alias("_p")).agg(labels, *partial)
+        panes = panes.withColumn("_a", shrink(F.col("_a"))) if shrink else panes
         chunk = step * max(1, -(-CHUNK * span // step))
         number = lambda c: F.floor((c - start) / chunk)
         panes = panes.withColumn("_c", F.explode(F.sequence(number(F.col("_p")), number(F.col("_p") + (span - 1)))))
@@ -429,45 +463,44 @@ class Engine:
         x = args[0]
         if getattr(x, "mode", None):
             return self.extended_function(name, x)
+        if name in ("rate", "increase", "delta", "irate", "idelta", "changes", "resets"):
+            df = self._rolled(*self._rows(x), {"_a": F.collect_list(_point())}, {"c": lambda over: _course_of_panes(over(F.collect_list("_a")))}, _course).withColumn("t", F.col("_t"))
+            c = F.col("c")
+            if name in ("irate", "idelta"):
+                value = c["v1"] - c["before"]["value"]
+                if name == "irate":
+                    value = F.when(c["v1"] < c["before"]["value"], c["v1"]).otherwise(value) / ((c["t1"] - c["before"]["ts"]) / 1000)
+                value = F.when(c["n"] >= 2, value)
+            elif name in ("changes", "resets"):
+                value = c["moves" if name == "changes" else "falls"]
+            else:
+                first, last = {"ts": c["t0"], "value": c["v0"]}, {"ts": c["t1"], "value": c["v1"]}
+                value = F.when(c["n"] >= 2, self._extrapolated(name, x.range, c["drops"], first, last, c["n"]))
+            return _nameless(df.withColumn("value", value).where("value IS NOT NULL").select("labels", "series", "step", "value"))
         df = self.arrays(x)
         w, n = F.col("w"), F.size("w")
-        first, last = F.get(w, F.lit(0)), F.element_at(w, -1)
-        pairs = F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n), lambda a, b: F.struct(a["value"].alias("a"), b["value"].alias("b")))
-        pairs = F.filter(pairs, lambda p: p["b"].isNotNull() & p["a"].isNotNull())
-        add = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p))
+        first = F.get(w, F.lit(0))
         enough = n >= 2
-        if name in ("irate", "idelta"):
-            before = F.element_at(w, F.when(enough, F.lit(-2)).otherwise(F.lit(-1)))
-            change = last["value"] - before["value"]
-            if name == "irate":
-                change = F.when(last["value"] < before["value"], last["value"]).otherwise(change) / F.when(enough, (last["ts"] - before["ts"]) / 1000)
-            value = F.when(enough, change)
-        elif name == "changes":
-            value = add(lambda p: F.when((p["a"] != p["b"]) & ~(F.isnan(p["a"]) & F.isnan(p["b"])), 1.0).otherwise(0.0))
-        elif name == "resets":
-            value = add(lambda p: F.when(p["b"] < p["a"], 1.0).otherwise(0.0))
-        elif name in ("deriv", "predict_linear"):
+        if name in ("deriv", "predict_linear"):
             at = lambda s: (s["ts"] - (F.col("t") if name == "predict_linear" else first["ts"])) / 1000
             total = lambda f: F.aggregate(w, F.lit(0.0), lambda acc, s: acc + f(s))
             sx, sy, sxy, sxx = total(at), total(lambda s: s["value"]), total(lambda s: at(s) * s["value"]), total(lambda s: at(s) * at(s))
             slope = (sxy - sx * sy / n) / F.nullif(sxx - sx * sx / n, F.lit(0.0))
             value = F.when(enough, slope if name == "deriv" else slope * self._number(args[1]) + sy / n - slope * sx / n)
-        elif name in ("double_exponential_smoothing", "holt_winters"):
+        else:
             sf, tf = self._number(args[1]), self._number(args[2])
             v = F.transform(w, lambda s: s["value"])
             start = F.struct(F.get(v, F.lit(0)).alias("s"), (F.get(v, F.lit(1)) - F.get(v, F.lit(0))).alias("b"))
             step = lambda acc, y: F.struct((sf * y + (1 - sf) * (acc["s"] + acc["b"])).alias("s"), (tf * (sf * y + (1 - sf) * (acc["s"] + acc["b"]) - acc["s"]) + (1 - tf) * acc["b"]).alias("b"))
             value = F.when(enough, F.aggregate(F.slice(v, 2, F.greatest(n, F.lit(1))), start, step, lambda acc: acc["s"]))
-        else:
-            value = F.when(enough, self._extrapolated(name, x.range, add, first, last, n))
         return _nameless(df.withColumn("value", value).where("value IS NOT NULL").select("labels", "series", "step", "value"))
 
-    def _extrapolated(self, name: str, span: int, add, first: Column, last: Column, n: Column) -> Column:
+    def _extrapolated(self, name: str, span: int, drops: Column, first: dict[str, Column], last: dict[str, Column], n: Column) -> Column:
         """Change over the window, carried to its ends unless they are more than 1.1 mean gaps away; counters stop at zero."""
         counter = name != "delta"
         change = last["value"] - first["value"]
         if counter:
-            change = change + add(lambda p: F.when(p["b"] < p["a"], p["a"]).otherwise(0.0))
+            change = change + drops
         sampled = (last["ts"] - first["ts"]) / 1000
         gap = sampled / (n - 1)
         to_start, to_end = (first["ts"] - (F.col("t") - span)) / 1000, (F.col("t") - last["ts"]) / 1000

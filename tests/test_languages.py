@@ -333,3 +333,26 @@ def test_annotations(spark):
     for text in ("quantile(1.5, v)", "rate(v[5m])", "rate(v_total[5m])", "sum(quantile_over_time(0.5, v[5m]))", "limit_ratio(2, v)"):
         e.query(text)
     assert e.annotations == ["PromQL warning: quantile value should be between 0 and 1, got 1.5", 'PromQL info: metric might not be a counter, name does not end in _total/_sum/_count/_bucket: "v"', "PromQL warning: ratio value should be between -1 and 1, got 2, capping to 1"]
+
+
+def test_courses_of_windows_that_do_not_fit_the_step(spark):
+    """Sums over neighbours across the borders of panes."""
+    import random
+
+    rnd = random.Random(9)
+    samples = sorted({rnd.randrange(40_000, 200_000): float(rnd.randrange(5)) for _ in range(120)}.items())
+    df = spark.createDataFrame([({"__name__": "v"}, t, v) for t, v in samples], "labels map<string,string>, ts long, value double")
+    engine = promql.Engine(df, 60_000, 190_000, 7000)
+    plain = {
+        "changes": lambda w: sum(a != b for (_, a), (_, b) in zip(w, w[1:])), "resets": lambda w: sum(b < a for (_, a), (_, b) in zip(w, w[1:])),
+        "idelta": lambda w: w[-1][1] - w[-2][1] if len(w) > 1 else None, "irate": lambda w: (w[-1][1] if w[-1][1] < w[-2][1] else w[-1][1] - w[-2][1]) / ((w[-1][0] - w[-2][0]) / 1000) if len(w) > 1 else None,
+    }
+    for span in (5000, 24_000, 33_000):
+        for name, f in plain.items():
+            want = {}
+            for q in range(60_000, 190_001, 7000):
+                w = [(t, v) for t, v in samples if q - span < t <= q]
+                if w and f(w) is not None:
+                    want[q] = f(w)
+            got = {r.step: r.value for r in engine.query(f"{name}(v[{span}ms])").collect()}
+            assert set(got) == set(want) and all(math.isclose(got[q], want[q], abs_tol=1e-9) for q in want), (name, span)
