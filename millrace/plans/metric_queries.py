@@ -159,7 +159,7 @@ def alerting_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = Engine(samples(spark, sf_dir), START, END, STEP).query("sum by (event_type) (sum_over_time(v[1d])) > 3000").withColumn("event_type", F.try_element_at("labels", F.lit("event_type")))
     w = W.partitionBy("event_type")
-    out = out.withColumn("run", F.col("step") - F.row_number().over(w.orderBy("step")) * STEP)
+    out = out.withColumn("run", F.col("step") - F.row_number().over(w.orderBy("step")).cast("long") * STEP)
     held = F.col("step") - F.min("step").over(W.partitionBy("event_type", "run"))
     return out.select("step", "event_type", F.when(held >= 43_200_000, "firing").otherwise("pending").alias("state"))
 

@@ -356,3 +356,18 @@ def test_courses_of_windows_that_do_not_fit_the_step(spark):
                     want[q] = f(w)
             got = {r.step: r.value for r in engine.query(f"{name}(v[{span}ms])").collect()}
             assert set(got) == set(want) and all(math.isclose(got[q], want[q], abs_tol=1e-9) for q in want), (name, span)
+
+
+def test_alert_held_for_many_steps(spark, tmp_path):
+    """Run numbers are long: an alert that holds at every step of the month is no overflow."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from millrace import catalog
+
+    day = 86_400_000_000
+    us = [1_704_067_200_000_000 + k * day // 2 for k in range(60)]
+    n = len(us)
+    pq.write_table(pa.table({"event_id": list(range(n)), "ts": pa.array(us, pa.timestamp("us")), "user_id": [1] * n, "event_type": ["click"] * n, "value": [5000.0] * n, "props": ["{}"] * n}), tmp_path / "events.parquet")
+    rows = catalog.QUERIES["alerting_rule_for"](spark, str(tmp_path)).collect()
+    assert len(rows) > 100 and sum(r.state == "pending" for r in rows) == 2
