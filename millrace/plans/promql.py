@@ -180,6 +180,24 @@ def _course_of_panes(courses: Column) -> Column:
     return F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), F.element_at(ordered, 1), joined)
 
 
+def _line_of(start: int) -> tuple[dict, dict]:
+    """Moments of (seconds since ``start``, value) of the panes, put together pair by pair so that no digits cancel."""
+    x = (F.col("ts") - start) / 1000
+    n = F.count(_value()).cast("double")
+    partial = {"_a": F.struct(n.alias("n"), F.avg(x).alias("x"), F.avg(_value()).alias("y"), (F.var_pop(x) * n).alias("xx"), (F.covar_pop(x, _value()) * n).alias("xy"))}
+
+    def merged(a: Column, p: Column) -> Column:
+        both = a["n"] + p["n"]
+        dx, dy, share = p["x"] - a["x"], p["y"] - a["y"], p["n"] / both
+        return F.struct(both.alias("n"), (a["x"] + dx * share).alias("x"), (a["y"] + dy * share).alias("y"), (a["xx"] + p["xx"] + dx * dx * a["n"] * share).alias("xx"), (a["xy"] + p["xy"] + dx * dy * a["n"] * share).alias("xy"))
+
+    def final(over) -> Column:
+        panes = F.sort_array(over(F.collect_list("_a")))
+        return F.aggregate(F.slice(panes, 2, F.greatest(F.size(panes), F.lit(1))), F.element_at(panes, 1), merged)
+
+    return partial, {"m": final}
+
+
 #: Ranges that a chunk of a series holds.
 CHUNK = 16
 
@@ -477,22 +495,19 @@ class Engine:
                 first, last = {"ts": c["t0"], "value": c["v0"]}, {"ts": c["t1"], "value": c["v1"]}
                 value = F.when(c["n"] >= 2, self._extrapolated(name, x.range, c["drops"], first, last, c["n"]))
             return _nameless(df.withColumn("value", value).where("value IS NOT NULL").select("labels", "series", "step", "value"))
-        df = self.arrays(x)
-        w, n = F.col("w"), F.size("w")
-        first = F.get(w, F.lit(0))
-        enough = n >= 2
         if name in ("deriv", "predict_linear"):
-            at = lambda s: (s["ts"] - (F.col("t") if name == "predict_linear" else first["ts"])) / 1000
-            total = lambda f: F.aggregate(w, F.lit(0.0), lambda acc, s: acc + f(s))
-            sx, sy, sxy, sxx = total(at), total(lambda s: s["value"]), total(lambda s: at(s) * s["value"]), total(lambda s: at(s) * at(s))
-            slope = (sxy - sx * sy / n) / F.nullif(sxx - sx * sx / n, F.lit(0.0))
-            value = F.when(enough, slope if name == "deriv" else slope * self._number(args[1]) + sy / n - slope * sx / n)
+            df = self._rolled(*self._rows(x), *_line_of(self.start))
+            m = F.col("m")
+            slope = m["xy"] / F.nullif(m["xx"], F.lit(0.0))
+            value = F.when(m["n"] >= 2, slope if name == "deriv" else slope * self._number(args[1]) + m["y"] + slope * ((F.col("_t") - self.start) / 1000 - m["x"]))
         else:
+            df = self.arrays(x)
+            w, n = F.col("w"), F.size("w")
             sf, tf = self._number(args[1]), self._number(args[2])
             v = F.transform(w, lambda s: s["value"])
             start = F.struct(F.get(v, F.lit(0)).alias("s"), (F.get(v, F.lit(1)) - F.get(v, F.lit(0))).alias("b"))
             step = lambda acc, y: F.struct((sf * y + (1 - sf) * (acc["s"] + acc["b"])).alias("s"), (tf * (sf * y + (1 - sf) * (acc["s"] + acc["b"]) - acc["s"]) + (1 - tf) * acc["b"]).alias("b"))
-            value = F.when(enough, F.aggregate(F.slice(v, 2, F.greatest(n, F.lit(1))), start, step, lambda acc: acc["s"]))
+            value = F.when(n >= 2, F.aggregate(F.slice(v, 2, F.greatest(n, F.lit(1))), start, step, lambda acc: acc["s"]))
         return _nameless(df.withColumn("value", value).where("value IS NOT NULL").select("labels", "series", "step", "value"))
 
     def _extrapolated(self, name: str, span: int, drops: Column, first: dict[str, Column], last: dict[str, Column], n: Column) -> Column:

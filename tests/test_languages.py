@@ -358,6 +358,25 @@ def test_courses_of_windows_that_do_not_fit_the_step(spark):
             assert set(got) == set(want) and all(math.isclose(got[q], want[q], abs_tol=1e-9) for q in want), (name, span)
 
 
+def test_slope_of_panes(spark):
+    """The slope put together from the panes of a window is that of its samples, far from zero too."""
+    values = [1e6 + (k * 7) % 11 for k in range(12)]
+    at = [k * 60_000 for k in range(12)]
+    rows = [({"__name__": "m"}, 1_700_000_000_000 + t, v) for t, v in zip(at, values)]
+    end = 1_700_000_000_000 + 660_000
+    got = metric(spark, rows, "deriv(m[7m])", end - 240_000, end, 120_000)
+    assert len(got) == 3
+    for _, step, v in got:
+        own = [(t / 1000, y) for t, y in zip(at, values) if step - 420_000 < t + 1_700_000_000_000 <= step]
+        mx, my = sum(t for t, _ in own) / len(own), sum(y for _, y in own) / len(own)
+        slope = sum((t - mx) * (y - my) for t, y in own) / sum((t - mx) ** 2 for t, _ in own)
+        assert v == pytest.approx(slope, rel=1e-9)
+        ahead = metric(spark, rows, "predict_linear(m[7m], 60)", step, step)[0][2]
+        assert ahead == pytest.approx(my + slope * ((step - 1_700_000_000_000) / 1000 + 60 - mx), rel=1e-9)
+    df = spark.createDataFrame(rows, "labels map<string,string>, ts long, value double")
+    assert "collect_list(struct(ts" not in promql.Engine(df, end, end, 60_000).query("deriv(m[7m])")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_alert_held_for_many_steps(spark, tmp_path):
     """Run numbers are long: an alert that holds at every step of the month is no overflow."""
     import pyarrow as pa
