@@ -487,7 +487,7 @@ class Engine:
             if name in ("irate", "idelta"):
                 value = c["v1"] - c["before"]["value"]
                 if name == "irate":
-                    value = F.when(c["v1"] < c["before"]["value"], c["v1"]).otherwise(value) / ((c["t1"] - c["before"]["ts"]) / 1000)
+                    value = _div(F.when(c["v1"] < c["before"]["value"], c["v1"]).otherwise(value), (c["t1"] - c["before"]["ts"]) / 1000)
                 value = F.when(c["n"] >= 2, value)
             elif name in ("changes", "resets"):
                 value = c["moves" if name == "changes" else "falls"]
@@ -524,7 +524,7 @@ class Engine:
             zero = sampled * first["value"] / F.nullif(change, F.lit(0.0))
             to_start = F.when((change > 0) & (first["value"] >= 0) & (zero < to_start), zero).otherwise(to_start)
         to_end = F.when(to_end >= gap * 1.1, gap / 2).otherwise(to_end)
-        out = change * ((sampled + to_start + to_end) / F.nullif(sampled, F.lit(0.0)))
+        out = change * _div(sampled + to_start + to_end, sampled)
         return out / (span / 1000) if name == "rate" else out
 
     # functions of their own

@@ -390,3 +390,9 @@ def test_alert_held_for_many_steps(spark, tmp_path):
     pq.write_table(pa.table({"event_id": list(range(n)), "ts": pa.array(us, pa.timestamp("us")), "user_id": [1] * n, "event_type": ["click"] * n, "value": [5000.0] * n, "props": ["{}"] * n}), tmp_path / "events.parquet")
     rows = catalog.QUERIES["alerting_rule_for"](spark, str(tmp_path)).collect()
     assert len(rows) > 100 and sum(r.state == "pending" for r in rows) == 2
+
+
+def test_two_values_of_one_time(spark):
+    """Their rate is infinite, no error."""
+    two = [*series(spark, [1, 5, 2, 9]), ({"__name__": "m"}, 180_000, 12.0)]
+    assert [v for *_, v in metric(spark, two, "irate(m[5m])", 180_000, 180_000)] == [math.inf]
