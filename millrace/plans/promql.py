@@ -482,7 +482,8 @@ class Engine:
         if getattr(x, "mode", None):
             return self.extended_function(name, x)
         if name in ("rate", "increase", "delta", "irate", "idelta", "changes", "resets"):
-            df = self._rolled(*self._rows(x), {"_a": F.collect_list(_point())}, {"c": lambda over: _course_of_panes(over(F.collect_list("_a")))}, _course).withColumn("t", F.col("_t"))
+            # A series has one sample of a value at a time: one that comes again adds nothing.
+            df = self._rolled(*self._rows(x), {"_a": F.collect_set(_point())}, {"c": lambda over: _course_of_panes(over(F.collect_list("_a")))}, _course).withColumn("t", F.col("_t"))
             c = F.col("c")
             if name in ("irate", "idelta"):
                 value = c["v1"] - c["before"]["value"]

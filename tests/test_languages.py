@@ -396,3 +396,11 @@ def test_two_values_of_one_time(spark):
     """Their rate is infinite, no error."""
     two = [*series(spark, [1, 5, 2, 9]), ({"__name__": "m"}, 180_000, 12.0)]
     assert [v for *_, v in metric(spark, two, "irate(m[5m])", 180_000, 180_000)] == [math.inf]
+
+
+def test_sample_that_comes_again(spark):
+    """A sample of the same time and value counts once."""
+    once = series(spark, [1, 5, 2, 9])
+    again = once + once[1:3]
+    for name in ("increase", "irate", "changes"):
+        assert metric(spark, again, f"{name}(m[5m])", 180_000, 180_000) == metric(spark, once, f"{name}(m[5m])", 180_000, 180_000)
