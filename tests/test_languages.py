@@ -404,3 +404,24 @@ def test_sample_that_comes_again(spark):
     again = once + once[1:3]
     for name in ("increase", "irate", "changes"):
         assert metric(spark, again, f"{name}(m[5m])", 180_000, 180_000) == metric(spark, once, f"{name}(m[5m])", 180_000, 180_000)
+
+
+def test_suppress_sorts_over_batches(spark, tmp_path):
+    """A key's rows come in several Arrow batches and in no order; the updates are those of the sorted rows."""
+    ms = [(k * 37) % 101 * 10 for k in range(101)]
+    spark.createDataFrame([("a", t, float(t)) for t in ms], "k string, ms long, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    want, since = [], None
+    for t in sorted(ms):
+        since = t if since is None else since
+        if t - since >= 95:
+            want.append((t, float(t)))
+            since = None
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        src = runtime.stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        rows = runtime.drain(stateful.suppress_until(src, "k", "ms", "v", 95)).collect()
+    finally:
+        spark.conf.set(key, old)
+    assert sorted((r.ms, r.v) for r in rows) == want
