@@ -425,3 +425,16 @@ def test_suppress_sorts_over_batches(spark, tmp_path):
     finally:
         spark.conf.set(key, old)
     assert sorted((r.ms, r.v) for r in rows) == want
+
+
+
+def test_last_value_to_the_end(spark):
+    """Frames that hold their row and go to the partition's end become the whole partition, others stay."""
+    over = "last_value(v) OVER (PARTITION BY g ORDER BY k {} AND UNBOUNDED FOLLOWING)"
+    whole = "BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    for start in ("ROWS BETWEEN CURRENT ROW", "ROWS BETWEEN 3 PRECEDING", "RANGE BETWEEN CURRENT ROW"):
+        assert whole in dialect.rewrite(f"SELECT {over.format(start)} FROM t")
+    assert whole not in dialect.rewrite(f"SELECT {over.format('ROWS BETWEEN 1 FOLLOWING')} FROM t")
+    assert whole not in dialect.rewrite("SELECT sum(v) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(v, true) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) FROM t")
+    text = f"SELECT k, {over.format('ROWS BETWEEN CURRENT ROW')} AS x FROM VALUES (1, 1, 10), (1, 2, CAST(NULL AS INT)), (2, 1, 5), (2, 2, 7) AS v(g, k, v)"
+    assert sorted(tuple(r) for r in dialect.run_sql(spark, text).select("k", F.coalesce("x", F.lit(-1))).collect()) == [(1, -1), (1, 7), (2, -1), (2, 7)]
