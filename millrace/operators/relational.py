@@ -50,7 +50,7 @@ sql("order_by_nulls", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size %
 sql("order_by_desc_nulls", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x DESC, k", "SELECT k, x FROM (SELECT p_partkey AS k, nullif(p_size % 5, 0) AS x FROM part) ORDER BY x DESC NULLS FIRST, k")
 sql("order_by_ordinal_alias", "SELECT n_name AS a, n_regionkey AS b FROM nation ORDER BY 2 DESC, a LIMIT 7", "same")
 sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5 + 5 OFFSET 3", "same")
-sql("limit_subquery", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= (SELECT count(*) FROM region)", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) FROM region)")
+sql("limit_subquery", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) FROM region)", "same")
 sql("fetch_first", "SELECT p_partkey FROM part ORDER BY p_partkey FETCH FIRST 4 ROWS ONLY", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 4")
 sql("fetch_with_ties", "SELECT p_partkey, p_size FROM part ORDER BY p_size FETCH FIRST 3 ROWS WITH TIES", "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size) AS r FROM part) WHERE r <= 3")
 sql("topk_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2", "same")

@@ -438,3 +438,13 @@ def test_last_value_to_the_end(spark):
     assert whole not in dialect.rewrite("SELECT sum(v) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(v, true) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) FROM t")
     text = f"SELECT k, {over.format('ROWS BETWEEN CURRENT ROW')} AS x FROM VALUES (1, 1, 10), (1, 2, CAST(NULL AS INT)), (2, 1, 5), (2, 2, 7) AS v(g, k, v)"
     assert sorted(tuple(r) for r in dialect.run_sql(spark, text).select("k", F.coalesce("x", F.lit(-1))).collect()) == [(1, -1), (1, 7), (2, -1), (2, 7)]
+
+
+def test_limit_by_a_subquery(spark):
+    run = lambda t: dialect.run_sql(spark, "SELECT id FROM range(100) ORDER BY id DESC " + t)
+    assert [r.id for r in run("LIMIT (SELECT count(*) FROM range(3)) OFFSET (SELECT 1)").collect()] == [98, 97, 96]
+    assert run("LIMIT (SELECT CAST(NULL AS INT))").count() == 100
+    assert "TakeOrderedAndProject" in run("LIMIT (SELECT 3)")._jdf.queryExecution().executedPlan().toString()
+    for wrong in ("LIMIT (SELECT id FROM range(2))", "LIMIT (SELECT -1)"):
+        with pytest.raises(ValueError):
+            run(wrong)
