@@ -92,10 +92,13 @@ def topic_table(df: DataFrame, partitions: int, key: str, ms: str) -> DataFrame:
 
 
 def offsets_at(synced: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Consumer offsets of a replica: for each (part, source) the target of the last synced source at or before it."""
+    """Consumer offsets of a replica: for each (part, source) the target of the last synced source at or before it.
+
+    A part is cut into pieces of 2^18 offsets, so a long one is dealt over tasks.
+    """
     from millrace.operators.joins import as_of
 
-    return as_of(wanted, synced.select("part", F.col("source").alias("s"), F.col("target")), ["part"], "source", "s", ["target"])
+    return as_of(wanted, synced.select("part", F.col("source").alias("s"), F.col("target")), ["part"], "source", "s", ["target"], chunk=1 << 18)
 
 
 class _Span(InputPartition):

@@ -448,3 +448,14 @@ def test_limit_by_a_subquery(spark):
     for wrong in ("LIMIT (SELECT id FROM range(2))", "LIMIT (SELECT -1)"):
         with pytest.raises(ValueError):
             run(wrong)
+
+
+def test_offsets_of_a_long_part_are_dealt(spark):
+    from millrace.sources.connectors import offsets_at
+
+    n = 1 << 18
+    synced = spark.createDataFrame([("a", 5, 50), ("a", n + 7, 60), ("b", 3 * n, 70)], "part string, source long, target long")
+    wanted = spark.createDataFrame([("a", 4), ("a", 5), ("a", n + 6), ("a", 9 * n), ("b", 3 * n - 1), ("b", 3 * n)], "part string, source long")
+    out = offsets_at(synced, wanted)
+    assert sorted((r.part, r.source, r.target or 0) for r in out.collect()) == [("a", 4, 0), ("a", 5, 50), ("a", n + 6, 50), ("a", 9 * n, 60), ("b", 3 * n - 1, 0), ("b", 3 * n, 70)]
+    assert "_c" in out._jdf.queryExecution().optimizedPlan().toString()
