@@ -34,9 +34,10 @@ def _unit(x: Column, units: dict[str, float]) -> Column:
 
 def seconds(x: Column) -> Column:
     """Seconds of a duration such as 1h2m3.5s, null if it is none."""
-    parts = F.regexp_extract_all(x, F.lit(r"([0-9.]+(?:ns|us|ms|h|m|s|d))"))
-    total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + _unit(p, _DURATION))
-    return F.when(x.rlike(r"^([0-9.]+(ns|us|ms|h|m|s|d))+$"), total)
+    part = F.lit(r"([0-9.]+)(ns|us|ms|h|m|s|d)")
+    scale = F.create_map(*[F.lit(y) for kv in _DURATION.items() for y in kv])
+    each = F.zip_with(F.regexp_extract_all(x, part, F.lit(1)), F.regexp_extract_all(x, part, F.lit(2)), lambda n, u: n.try_cast("double") * F.try_element_at(scale, u))
+    return F.when(x.rlike(r"^([0-9.]+(ns|us|ms|h|m|s|d))+$"), F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v))
 
 
 def size(x: Column) -> Column:
@@ -116,13 +117,15 @@ class Pipeline:
                         break
                     self.take()
                 found = F.create_map(*pairs)
-            return df.withColumn("labels", F.when(found.isNotNull(), _merge(labels, found)).otherwise(labels))
+            return self._once(df, F.when(found.isNotNull(), _merge(labels, found)).otherwise(labels))
         if word == "logfmt":
-            pairs = F.regexp_extract_all(line, F.lit(r'([A-Za-z_][\w.]*=(?:"[^"]*"|\S*))'))
-            entry = lambda p: F.struct(F.regexp_extract(p, "^([^=]*)=", 1).alias("k"), F.regexp_replace(F.regexp_extract(p, "^[^=]*=(.*)$", 1), '^"|"$', "").alias("v"))
-            first = F.array_distinct(F.transform(pairs, lambda p: F.regexp_extract(p, "^([^=]*)=", 1)))
-            values = F.transform(first, lambda n: F.struct(n.alias("k"), F.element_at(F.filter(F.transform(pairs, entry), lambda e: e["k"] == n), -1)["v"].alias("v")))
-            return df.withColumn("labels", _merge(labels, F.map_from_entries(values)))
+            pair = F.lit(r'([A-Za-z_][\w.]*)=("[^"]*"|\S*)')
+            names = F.regexp_extract_all(line, pair, F.lit(1))
+            values = F.transform(F.regexp_extract_all(line, pair, F.lit(2)), lambda v: F.when(v.contains('"'), F.regexp_replace(v, '^"|"$', "")).otherwise(v))
+            last = lambda n: F.element_at(F.filter(F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: e["k"] == n), -1)["v"]
+            again = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), last))
+            found = F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, values)).otherwise(again)
+            return self._once(df, _merge(labels, found))
         if word in ("regexp", "pattern"):
             want, names = self._pattern(self.text(), word == "regexp")
             found = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.regexp_extract(line, want, i + 1))])
@@ -160,6 +163,11 @@ class Pipeline:
         self.k -= 1
         return df.where(self.either())
 
+    @staticmethod
+    def _once(df: DataFrame, labels: Column) -> DataFrame:
+        """New labels that a line is parsed for once: a projection would be repeated in each filter that is pushed below it."""
+        return df.select(*[c for c in df.columns if c != "labels"], F.explode(F.array(labels)).alias("labels"))
+
     def either(self) -> Column:
         out = self.both()
         while self.peek() == "or":

@@ -30,7 +30,7 @@ MAX_POINTS = 11_000
 
 def series_key(labels: Column) -> Column:
     """Canonical text of a label set; empty values count as absent."""
-    entries = F.array_sort(F.map_entries(labels))
+    entries = F.sort_array(F.map_entries(labels))
     return F.array_join(F.transform(F.filter(entries, lambda e: e["value"] != ""), lambda e: F.concat(e["key"], F.lit("\x01"), e["value"])), "\x02")
 
 
@@ -671,18 +671,31 @@ class Engine:
 
     # aggregation and binary operators
 
+    @staticmethod
+    def _group(x: P.Aggregate, labels: Column) -> Column:
+        if x.by is not None:
+            return _only(labels, x.by)
+        return _less(labels, [*x.without, *META]) if x.without is not None else F.create_map().cast("map<string,string>")
+
     def grouped(self, x: P.Aggregate) -> DataFrame:
         """The rows of an aggregate's expression with the labels g of their group, and gk, their text."""
-        v = self.eval(x.expr)
-        if x.by is not None:
-            group = _only(F.col("labels"), x.by)
-        elif x.without is not None:
-            group = _less(F.col("labels"), [*x.without, *META])
-        else:
-            group = F.create_map().cast("map<string,string>")
-        return v.withColumn("g", group).withColumn("gk", series_key(F.col("g")))
+        return self.eval(x.expr).withColumn("g", self._group(x, F.col("labels"))).withColumn("gk", series_key(F.col("g")))
+
+    def _over_groups(self, x: P.Aggregate) -> DataFrame | None:
+        """A sum of sums over time, and so for min and max: the samples of a group are one series from the start, however
+        many series it has."""
+        call = x.expr
+        if x.op not in ("sum", "min", "max") or not isinstance(call, P.Call) or call.name != f"{x.op}_over_time" or getattr(call.args[0], "mode", None):
+            return None
+        df, *window = self._rows(call.args[0])
+        df = _relabel(df, self._group(x, _less(F.col("labels"), META)))
+        partial, final = _OVER[x.op]()
+        return self._rolled(df, *window, partial, {"value": final}).where("value IS NOT NULL").select("labels", "series", "step", "value")
 
     def aggregate(self, x: P.Aggregate) -> DataFrame:
+        own = self._over_groups(x)
+        if own is not None:
+            return own
         v = self.grouped(x)
         op = x.op
         if op in ("topk", "bottomk", "limitk"):

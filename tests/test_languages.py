@@ -459,3 +459,23 @@ def test_offsets_of_a_long_part_are_dealt(spark):
     out = offsets_at(synced, wanted)
     assert sorted((r.part, r.source, r.target or 0) for r in out.collect()) == [("a", 4, 0), ("a", 5, 50), ("a", n + 6, 50), ("a", 9 * n, 60), ("b", 3 * n - 1, 0), ("b", 3 * n, 70)]
     assert "_c" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_are_one_series_from_the_start(spark):
+    rows = series(spark, [1, 9, 2], {"a": "x", "b": "1"}) + series(spark, [4, float("nan"), 3], {"a": "x", "b": "2"}) + series(spark, [float("nan")] * 3, {"a": "y", "b": "1"})
+    got = lambda text: [(dict(k).get("a"), v) for k, _, v in metric(spark, rows, text, 120_000, 120_000)]
+    (x, high), (y, none) = got("max by (a) (max_over_time(m[5m]))")
+    assert (x, high, y) == ("x", 9.0, "y") and math.isnan(none)
+    assert got('sum(sum_over_time(m{b="1",a="x"}[5m]))') == [(None, 12.0)]
+    df = spark.createDataFrame(rows, "labels map<string,string>, ts long, value double")
+    plan = promql.Engine(df, 0, 120_000, 60_000).query("max by (a) (max_over_time(m[5m]))")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
+def test_logfmt_is_read_once(spark):
+    df = spark.createDataFrame([({"app": "s"}, 1, 'a=1 app=t b="x y" a=2 took=1m2.5s e= q=5"'), ({"app": "s"}, 2, "took=3q")], "labels map<string,string>, ts long, line string")
+    out = logql.logs(df, '{app="s"} | logfmt | took != ""')
+    assert sorted((dict(r.labels) for r in out.collect()), key=len) == [{"app": "s", "took": "3q"}, {"app": "s", "a": "2", "app_extracted": "t", "b": "x y", "took": "1m2.5s", "e": "", "q": "5"}]
+    assert spark.createDataFrame([("1m2.5s",), ("3q",), ("1.2.3s",)], "x string").select(logql.seconds(F.col("x")).alias("x")).collect() == [(62.5,), (None,), (None,)]
+    rows = logql.Pipeline('{app="s"} | logfmt | unwrap duration(took)').run(df)
+    assert sum("regexp_extract_all" in x for x in rows.select("labels", "value")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "([A-Za-z_]" in x) == 1
