@@ -128,3 +128,16 @@ def test_frames_that_are_refused(spark, frame):
     spark.range(5).selectExpr("id AS g", "id * 2 AS v").createOrReplaceTempView("frames")
     with pytest.raises(Exception, match="(?i)frame|bound|order"):
         run_sql(spark, f"SELECT sum(v) OVER ({frame}) AS x FROM frames").collect()
+
+
+def test_paths_are_parsed_once():
+    """A path and a test are parsed once for all rows, and give what they gave."""
+    from millrace.functions import jsons
+
+    jsons._steps.cache_clear()
+    jsons._test.cache_clear()
+    for k in range(50):
+        assert jsons.path_query({"a": [k, 99]}, "$.a[*] ? (@ > 40)") == [x for x in (k, 99) if x > 40]
+    assert jsons._test.cache_info().misses == 1 and jsons._steps.cache_info().misses == 2
+    assert jsons._dump({"bb": 1, "a": [True, None, "é\n", 0.5], "c": {}}) == '{"a": [true, null, "é\\n", 0.5], "c": {}, "bb": 1}'
+    assert [jsons.unique_keys.__wrapped__(s) for s in ('{"a": 1}', '[{"a": 1, "a": 2}]', "{", None)] == [True, False, False, None]
